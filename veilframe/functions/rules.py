@@ -18,8 +18,7 @@ import functools
 import re
 from dataclasses import dataclass
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
+from veilframe.functions.tokens import sql_text
 
 
 @dataclass(frozen=True)
@@ -131,6 +130,7 @@ LABELS = tuple(r.label for r in RULES)
 # Java's \b looks at Unicode letters (before JDK 19) and its \s misses the Unicode spaces;
 # both are spelled out so that every JVM finds the same matches.
 ASCII_BOUNDARY = r"(?:(?<=\w)(?!\w)|(?<!\w)(?=\w))"
+WORD_START = r"(?=\w)(?<!\w)"
 SPACE_MEMBERS = (
     r"\t\n\x0B\f\r \u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff"
 )
@@ -142,6 +142,10 @@ def to_java(pattern: str, ignore_case: bool = False) -> str:
     in_class = False
     i = 0
     pattern = pattern.replace(r"[\s\S]", "\0")
+    if pattern.startswith((r"\b(?:\d", r"\b(")):
+        # What follows is a word character, which leaves one side to look at.
+        out.append(WORD_START)
+        i = 2
     while i < len(pattern):
         c = pattern[i]
         if c == "\\":
@@ -187,41 +191,24 @@ def screen(rules: tuple[Rule, ...]) -> str:
     return f"(?=[{''.join(starts)}])(?:{'|'.join(branches)})"
 
 
-def _sql(value: str | int | None) -> str:
-    if value is None:
-        return "CAST(NULL AS STRING)"
-    if isinstance(value, int):
-        return str(value)
-    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
-
-
 @functools.lru_cache(maxsize=256)
-def rule_table_sql(rules: tuple[Rule, ...]) -> str:
-    """The rules as a constant ``ARRAY<STRUCT>`` expression in Spark SQL."""
+def rule_table(rules: tuple[Rule, ...]) -> str:
+    """The rules as a constant array of structs in SQL; Catalyst folds it into a literal."""
     rows = []
     for r in rules:
-        literals = ", ".join(_sql(x) for x in r.literals)
+        if not r.literals and r.probe is None:
+            raise ValueError(f"rule {r.label} has no gate")
+        literals = ", ".join(sql_text(x) for x in r.literals)
         probe = None if r.probe is None else to_java(r.probe)
         rows.append(
-            f"named_struct('label', {_sql(r.label)}"
-            f", 'pattern', {_sql(to_java(r.pattern, r.ignore_case))}, 'grp', {r.group}"
-            f", 'literals', CAST(array({literals}) AS ARRAY<STRING>), 'probe', {_sql(probe)})"
+            f"named_struct('label', {sql_text(r.label)}"
+            f", 'pattern', {sql_text(to_java(r.pattern, r.ignore_case))}, 'grp', {r.group}"
+            f", 'literals', CAST(array({literals}) AS ARRAY<STRING>)"
+            f", 'probe', {sql_text(probe)})"
         )
     return f"array({', '.join(rows)})"
 
 
-def rule_table(rules: tuple[Rule, ...]) -> Column:
-    """The rules as a constant array column; Catalyst folds it into one literal."""
-    return F.expr(rule_table_sql(rules))
-
-
-def gate_open(text: Column, rule: Column) -> Column:
-    """The necessary condition for a row of the rule table to match anywhere in ``text``."""
-    return F.exists(rule["literals"], lambda lit: F.contains(text, lit)) | F.coalesce(
-        F.rlike(text, rule["probe"]), F.lit(False)
-    )
-
-
 def select_rules(labels: list[str] | tuple[str, ...] | None) -> tuple[Rule, ...]:
     """The rules with the given labels, always in table order; ``None`` means all."""
     if labels is None:

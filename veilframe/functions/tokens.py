@@ -1,8 +1,11 @@
-"""Token minting and the token grammar, as Catalyst expressions."""
+"""Token minting and the token grammar, as Spark SQL expressions.
 
-from __future__ import annotations
+Expressions in this package are SQL text: they nest inside the lambdas of higher-order
+functions and cost one parse, where the same tree built call by call would cost hundreds
+of round trips to the JVM.
+"""
 
-from collections.abc import Callable
+from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -14,24 +17,32 @@ TOKEN_PATTERN = r"\[[A-Z][A-Z0-9_]*_[0-9a-f]{6,64}\]"
 CUSTOM_TOKEN_PATTERN = r"\[[A-Za-z0-9_]+\]"
 
 
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """Evaluate ``value`` once and use it several times inside ``body``."""
-    return F.transform(F.array(value), body)[0]
+def sql_text(value: str | int | bool | None) -> str:
+    """A Python value as a Spark SQL literal."""
+    if value is None:
+        return "CAST(NULL AS STRING)"
+    if isinstance(value, bool):
+        return "true" if value else "false"
+    if isinstance(value, int):
+        return str(value)
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def quote(name: str) -> str:
+    """A column name as a quoted identifier."""
+    return "`" + name.replace("`", "``") + "`"
 
 
-def mint(label: Column | str, value: Column, width: int = HASH_WIDTH) -> Column:
-    """``[LABEL_hhhhhh]`` for a value; null stays null."""
+def mint_sql(label: str, value: str, width: int = HASH_WIDTH) -> str:
+    """``[LABEL_hhhhhh]`` for two SQL expressions; a null value stays null."""
     if not 1 <= width <= 64:
         raise ValueError("hash width must be between 1 and 64 hex digits")
-    name = F.lit(label) if isinstance(label, str) else label
-    return F.concat(
-        F.lit("["), name, F.lit("_"), F.substring(F.sha2(value, 256), 1, width), F.lit("]")
-    )
+    return f"concat('[', {label}, '_', substring(sha2({value}, 256), 1, {width}), ']')"
 
 
-def label_of(token: Column) -> Column:
-    """The label part of a token."""
-    return F.regexp_extract(token, r"^\[(.*)_[0-9a-f]+\]$", 1)
+def mint(label: str, value: str, width: int = HASH_WIDTH) -> Column:
+    """The token of column ``value`` under a fixed label."""
+    return F.expr(mint_sql(sql_text(label), quote(value), width))
 
 
 def type_of(token: Column) -> Column:
@@ -39,6 +50,6 @@ def type_of(token: Column) -> Column:
     return F.coalesce(F.get(F.split(token, "_"), 1), F.lit("UNK"))
 
 
-def tokens_in(text: Column, pattern: str = TOKEN_PATTERN) -> Column:
+def tokens_in_sql(text: str, pattern: str = TOKEN_PATTERN) -> str:
     """All token-shaped pieces of a text, in order, with repeats."""
-    return F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    return f"regexp_extract_all({text}, {sql_text(pattern)}, 0)"
