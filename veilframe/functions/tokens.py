@@ -25,7 +25,8 @@ def sql_text(value: str | int | bool | None) -> str:
         return "true" if value else "false"
     if isinstance(value, int):
         return str(value)
-    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+    text = value.replace("\\", "\\\\").replace("'", "\\'")
+    return "'" + text.replace("${", "$\\{") + "'"  # no variable substitution
 
 
 def quote(name: str) -> str:

@@ -66,6 +66,19 @@ def clean_rows(df: DataFrame, column: str = "text") -> DataFrame:
     return df.filter(F.expr(f"size(({redaction_sql(quote(column))}).findings) = 0"))
 
 
+def filter_after(df: DataFrame, condition: str) -> DataFrame:
+    """A filter that stays above the projection its condition reads.
+
+    The optimizer moves a plain filter below a projection by repeating the expressions it
+    needs, which would run a redaction once for every mention.  As a generator of zero or
+    one row the test stays where it is.
+    """
+    return df.select(
+        *[F.col(quote(c)) for c in df.columns],
+        F.expr(f"explode(CASE WHEN {condition} THEN array(0) END)").alias("_kept"),
+    ).drop("_kept")
+
+
 def changed_rows(df: DataFrame, findings: str = "findings") -> DataFrame:
     """The rows in which something was redacted."""
-    return df.filter(F.size(quote(findings)) > 0)
+    return filter_after(df, f"size({quote(findings)}) > 0")

@@ -1,0 +1,206 @@
+"""Input tables, and the request, response, event and log shapes derived from them.
+
+The derived frames are projections and equi-joins of the given tables over all their rows;
+they stand in for the logs of a real deployment.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from veilframe.functions.tokens import sql_text
+from veilframe.operators.nested import json_quote_sql
+from veilframe.operators.redact import redact_text
+from veilframe.session import spread
+
+METHODS = ("POST", "POST", "PUT", "PATCH", "GET")
+PATHS = (
+    "/v1/messages",
+    "/v1/chat/completions",
+    "/api/paas/v4/chat/completions",
+    "/api/coding/paas/v4/chat/completions",
+    "/v1beta/models/demo:generateContent?key=k1",
+    "/v1beta/models/demo:generateContent",
+    "/v1/other?x=1",
+    "/health",
+)
+FILE_NAMES = (
+    ".env", ".env.local", "credentials.yaml", "db-Credentials", "secrets.yaml", "server.pem",
+    "tls.key", "id_rsa.pub", ".netrc", "store.p12", "app.keystore", "private.asc",
+    "package.json", "README.md", ".gitignore", "environment.ts", "key.txt", "my.env",
+    "pem", " .pgpass ",
+)
+COMMANDS = (
+    "cat .env",
+    "cat /app/.env.local",
+    "head -5 secrets.yaml",
+    "tail -n 20 credentials.json",
+    "cat foo.txt && cat .env",
+    "echo hello | cat .env",
+    "cat ${HOME}/.env",
+    'cat "$(echo .env)"',
+    "cat `.env`",
+    "cat <.env",
+    "wc -l < server.pem; less x",
+    "sort < .netrc",
+    "cat README.md",
+    "ls -la .env",
+    "grep password src/config.ts",
+    "head -5 package.json",
+    ".env cat readme",
+    "cat -.env",
+    "batcat id_rsa",
+    "concat .env",
+)
+LEVELS = ("trace", "debug", "info", "warn", "error", "fatal", "verbose")
+
+
+def use_utc(spark: SparkSession) -> None:
+    spark.conf.set("spark.sql.session.timeZone", "UTC")
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    use_utc(spark)
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spread(table(spark, sf_dir, "documents"))
+
+
+def events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = table(spark, sf_dir, "events")
+    return df.withColumn("ts", F.col("ts").cast("timestamp"))
+
+
+def pick_sql(values: tuple[str, ...], index: str) -> str:
+    """The value at ``index`` modulo the number of values."""
+    items = ", ".join(sql_text(v) for v in values)
+    return f"array({items})[CAST(pmod({index}, {len(values)}) AS INT)]"
+
+
+def timed_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as requests: ``request_id, ts, text, source, event_type``."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang")
+    seen = events(spark, sf_dir).select("event_id", "ts", "event_type")
+    joined = spread(docs.join(seen, docs.doc_id == seen.event_id))
+    return joined.select(
+        F.col("doc_id").alias("request_id"), "ts", "text", "source", "lang", "event_type"
+    )
+
+
+def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``request_id, ts, method, path, headers, body``."""
+    stream = (
+        "CASE pmod(request_id, 3) WHEN 0 THEN 'true' WHEN 1 THEN '\"true\"' ELSE 'false' END"
+    )
+    body = (
+        f"concat('{{\"stream\": ', {stream}, ', \"messages\": [{{\"role\": \"user\","
+        f" \"content\": ', {json_quote_sql('text')}, '}}]}}')"
+    )
+    headers = """
+        CASE event_type WHEN 'view' THEN CAST(map() AS MAP<STRING, STRING>)
+            WHEN 'error' THEN map('X-Api-Key', 'k') WHEN 'signup' THEN map('x-goog-api-key', 'g')
+            ELSE map('Authorization', 'Bearer k') END"""
+    return timed_documents(spark, sf_dir).select(
+        "request_id", "ts",
+        F.expr(pick_sql(METHODS, "request_id")).alias("method"),
+        F.expr(pick_sql(PATHS, "request_id")).alias("path"),
+        F.expr(headers).alias("headers"),
+        F.expr(body).alias("body"),
+    )
+
+
+def request_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Redacted documents with the time of their request: ``request_id, ts, findings, ...``."""
+    return redact_text(timed_documents(spark, sf_dir), "text")
+
+
+def echo_responses(redacted: DataFrame) -> DataFrame:
+    """Responses that repeat the redacted text; every tenth one failed."""
+    body = (
+        "concat('{\"id\":\"r\",\"choices\":[{\"message\":{\"content\":', "
+        f"{json_quote_sql('redacted')}, '}}}}]}}')"
+    )
+    return redacted.select(
+        "request_id",
+        F.expr("if(pmod(request_id, 10) = 9, 429L, 200L)").alias("status"),
+        F.expr(body).alias("body"),
+    )
+
+
+def chat_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chat requests: one per turn, with the turn and an attached document as messages."""
+    turns = table(spark, sf_dir, "conversations")
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("attached"))
+    joined = spread(turns.join(docs, turns.conv_id == docs.doc_id, "left"))
+    return joined.select(
+        "conv_id", "turn",
+        F.array(
+            F.struct("role", F.col("text").alias("content")),
+            F.struct(F.lit("tool").alias("role"), F.col("attached").alias("content")),
+        ).alias("messages"),
+    )
+
+
+def tool_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hook payloads in all shapes, one per document: ``event_id, raw``."""
+    t, s = json_quote_sql("text"), json_quote_sql("source")
+    lang = json_quote_sql("lang")
+    payload = f"""
+        CASE pmod(doc_id, 10)
+        WHEN 0 THEN concat('{{"hook_event_name":"PreToolUse","tool_name":"mcp__mail__send",',
+            '"tool_input":{{"channel":"#general","text":', {t}, '}}}}')
+        WHEN 1 THEN concat('{{"hook_event_name":"BeforeTool","tool_name":"mcp__wiki__add",',
+            '"tool_input":{{"title":"Report","properties":{{"note":', {t}, ',"apiKey":', {s}, '}}}}}}')
+        WHEN 2 THEN concat('{{"hook_event_name":"PostToolUse","tool_name":"mcp__db__query",',
+            '"tool_response":{{"content":[{{"type":"text","text":"Result:"}},',
+            '{{"type":"text","text":', {t}, '}}]}}}}')
+        WHEN 3 THEN concat('{{"hook_event_name":"AfterTool","tool_name":"mcp__db__query",',
+            '"tool_response":{{"content":[{{"type":"text","text":"Result:"}},{{"type":"image"}},',
+            '{{"type":"text","text":', {t}, '}}]}}}}')
+        WHEN 4 THEN concat('{{"hook_event_name":"PostToolUse","tool_name":"Bash",',
+            '"tool_response":{{"stdout":', {t}, ',"stderr":', {lang}, '}}}}')
+        WHEN 5 THEN concat('{{"hook_event_name":"AfterTool","tool_name":"run_shell_command",',
+            '"tool_response":{{"stdout":"","stderr":', {t}, '}}}}')
+        WHEN 6 THEN concat('{{"tool_name":"Read","tool_response":{{"file":{{"content":', {t},
+            ',"filePath":"/app/x"}}}}}}')
+        WHEN 7 THEN concat('{{"tool_name":"Grep","tool_response":{{"content":', {t},
+            ',"output":', {lang}, '}}}}')
+        WHEN 8 THEN ' \\n '
+        ELSE '{{"tool_name": ' END"""
+    return documents(spark, sf_dir).select(
+        F.col("doc_id").alias("event_id"), F.expr(payload).alias("raw")
+    )
+
+
+def tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tool calls for the access audit: ``event_id, tool, file_path, command``."""
+    return events(spark, sf_dir).select(
+        "event_id",
+        F.expr(pick_sql(("read", "bash", "write"), "event_id")).alias("tool"),
+        F.expr(
+            f"concat('/srv/', event_type, '/', {pick_sql(FILE_NAMES, 'event_id')})"
+        ).alias("file_path"),
+        F.expr(pick_sql(COMMANDS, "event_id")).alias("command"),
+    )
+
+
+def log_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log records with fields to mask at the top, one and two levels down."""
+    return events(spark, sf_dir).select(
+        "event_id",
+        F.expr(pick_sql(LEVELS, "event_id")).alias("level"),
+        F.col("props").alias("token"),
+        F.expr("if(event_type = 'view', NULL, event_type)").alias("apiKey"),
+        F.col("event_type").alias("Password"),
+        F.struct(
+            F.col("props").alias("password"),
+            F.col("event_type").alias("user"),
+            F.struct(F.col("event_type").alias("secret")).alias("deep"),
+        ).alias("ctx"),
+        F.create_map(F.lit("idToken"), F.col("props"), F.lit("path"), F.col("event_type")).alias(
+            "extra"
+        ),
+    )
