@@ -42,7 +42,7 @@ def latest_before(
     order = [position, *tie]
     frame_end = 0 if inclusive else -1
     work = df.withColumn("_v", value)
-    block = f"_b{levels}"
+    block, carry = f"_b{levels}", f"_c{levels}"
     if levels == 0:
         window = W.partitionBy(*keys).orderBy(*order) if keys else W.orderBy(*order)
         last = F.last("_v", ignorenulls=True).over(
@@ -55,16 +55,16 @@ def latest_before(
         *keys, block, F.col("_s._v").alias("_bv")
     )
     carried = latest_before(
-        blocks, keys, block, F.col("_bv"), "_carry",
+        blocks, keys, block, F.col("_bv"), carry,
         width=fanout, levels=levels - 1, inclusive=False, fanout=fanout,
-    ).select(*keys, block, "_carry")
+    ).select(*keys, block, carry)
     inside = F.last("_v", ignorenulls=True).over(
         W.partitionBy(*keys, block).orderBy(*order).rowsBetween(W.unboundedPreceding, frame_end)
     )
     return (
         work.join(carried, [*keys, block], "left")
-        .withColumn(out, F.coalesce(inside, F.col("_carry")))
-        .drop("_v", block, "_carry")
+        .withColumn(out, F.coalesce(inside, F.col(carry)))
+        .drop("_v", block, carry)
     )
 
 
@@ -84,7 +84,7 @@ def preceding_tail(
     aside, so that ``size`` rows always hold ``size`` characters.
     """
     work = df.withColumn("_t", F.right(text, F.lit(size)))
-    block = f"_b{levels}"
+    block, carry = f"_b{levels}", f"_c{levels}"
 
     def tail(pieces: Column) -> Column:
         return F.right(F.array_join(pieces, ""), F.lit(size))
@@ -99,12 +99,12 @@ def preceding_tail(
         .select(*keys, block, tail(F.col("_l._t")).alias("_bt"))
     )
     carried = preceding_tail(
-        blocks, keys, block, F.col("_bt"), size, "_carry", width=width, levels=levels - 1
-    ).select(*keys, block, "_carry")
+        blocks, keys, block, F.col("_bt"), size, carry, width=width, levels=levels - 1
+    ).select(*keys, block, carry)
     window = W.partitionBy(*keys, block).orderBy(position).rowsBetween(-size, -1)
     inside = F.array_join(F.collect_list("_t").over(window), "")
     return (
         work.join(carried, [*keys, block], "left")
-        .withColumn(out, F.right(F.concat(F.coalesce("_carry", F.lit("")), inside), F.lit(size)))
-        .drop("_t", block, "_carry")
+        .withColumn(out, F.right(F.concat(F.coalesce(carry, F.lit("")), inside), F.lit(size)))
+        .drop("_t", block, carry)
     )

@@ -229,8 +229,8 @@ SQL: dict[str, str] = {
     "rehydrate_nested_tokens": f"""WITH
         {chain('r', f'SELECT doc_id, {BLOCK_TEXT} AS text FROM documents')},
         vault AS (SELECT DISTINCT token, value FROM ({unnested('r')})),
-        o AS (SELECT doc_id, m, {restore('t')} AS once FROM {with_map('r', 'vault')})
-        SELECT doc_id, once, {restore('once')} AS full FROM o""",
+        o AS (SELECT doc_id, m, {restore('t')} AS one_pass FROM {with_map('r', 'vault')})
+        SELECT doc_id, one_pass, {restore('one_pass')} AS two_passes FROM o""",
     "rehydrate_responses": f"""{VAULT} SELECT request_id, {STATUS} AS status,
         CASE WHEN request_id % 10 = 9 THEN {reply('t')}
         ELSE {reply(f"({restore('t')})")} END AS body FROM {with_map('r', 'vault')}""",
@@ -428,3 +428,49 @@ SQL["exchange_join"] = f"""WITH {_SENT}, found AS (
         CASE WHEN request_id % 10 = 9 THEN {reply('t')}
         ELSE {reply(f"({restore('t')})")} END AS client_body
     FROM {with_map('r', 'vault')}"""
+
+# Streams: whole texts and window functions in place of chunk state
+
+_SIZE = src.DELTA_SIZE
+_CUT = f"regexp_extract_all(t, '(?s:.{{1,{_SIZE}}})')"
+_CHUNKS = f"""ck AS (SELECT request_id, t, unnest({_CUT}) AS chunk,
+    unnest(range(0, len({_CUT}))) AS seq FROM r)"""
+
+
+def emitted(hold: str) -> str:
+    """Chunk ends less what ``hold`` says of the text before them, then restored."""
+    return f"""{_CHUNKS}, ends AS (SELECT request_id, t, seq,
+        least((seq + 1) * {_SIZE}, length(t)) AS e FROM ck),
+    tails AS (SELECT *, substr(t, greatest(0, e - 127) + 1, e - greatest(0, e - 127)) AS tail
+        FROM ends),
+    cuts AS (SELECT request_id, seq, t, e - ({hold}) AS e FROM tails),
+    spans AS (SELECT request_id AS stream_id, seq, substr(t, b + 1, e - b) AS span
+        FROM (SELECT *, lag(e, 1, 0) OVER (PARTITION BY request_id ORDER BY seq) AS b
+            FROM cuts))"""
+
+
+_PREFIXES = "SELECT DISTINCT left(token, n) AS p FROM vault, range(1, 90) AS g(n) WHERE n < length(token)"
+_RAW = "regexp_extract(tail, '\\[[A-Z0-9_a-f]*$')"
+SQL["rehydrate_chunks_raw"] = f"""{VAULT}, pref AS ({_PREFIXES}),
+    {emitted(f"CASE WHEN {_RAW} IN (SELECT p FROM pref) THEN length({_RAW}) ELSE 0 END")}
+    SELECT stream_id, seq, {restore('span')} AS emitted FROM {with_map('spans', 'vault')}"""
+SQL["rehydrate_chunks_stream"] = SQL["rehydrate_chunks_raw"]
+_DELTA = "regexp_extract(tail, '\\[(?:[A-Z_][^\\[\\]]*)?$')"
+_LONGEST = "(SELECT max(length(token)) FROM vault)"
+_FIELD = "(['content', 'text', 'reasoning_content'])[stream_id % 3 + 1]"
+SQL["sse_delta_text"] = f"""{VAULT},
+    {emitted(f"CASE WHEN length({_DELTA}) < {_LONGEST} THEN length({_DELTA}) ELSE 0 END")}
+    SELECT stream_id, {_FIELD} AS field, seq + 4 AS seq, {restore('span')} AS emitted
+    FROM {with_map('spans', 'vault')}"""
+SQL["sse_parse"] = f"""WITH {chain('r', TIMED)}, {_CHUNKS}
+    SELECT request_id AS stream_id, seq + 4 AS seq, 'delta' AS kind,
+        CASE WHEN request_id % 3 = 0 THEN chunk END AS content,
+        CASE WHEN request_id % 3 = 1 THEN chunk END AS text,
+        CASE WHEN request_id % 3 = 2 THEN chunk END AS reasoning_content FROM ck
+    UNION ALL SELECT request_id, i, (['plain', 'event', 'text', 'plain'])[i + 1],
+        NULL, NULL, NULL FROM r, range(0, 4) AS g(i)"""
+SQL["stream_redact"] = SQL["redact_text"]
+SQL["stream_vault"] = SQL["vault_upsert"]
+SQL["stream_counters"] = f"""{FOUND} SELECT epoch_us(date_trunc('hour', ts)) AS window_start_us,
+    split_part(token, '_', 2) AS type, count(*) AS n
+    FROM (SELECT DISTINCT request_id, ts, token FROM found) GROUP BY 1, 2"""

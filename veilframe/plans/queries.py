@@ -9,11 +9,13 @@ from pyspark.sql import functions as F
 
 from veilframe.functions.redaction import token_count
 from veilframe.functions.tokens import CUSTOM_TOKEN_PATTERN, mint
-from veilframe.operators import access, events, logs, metrics, redact, rehydrate, vault
+from veilframe.operators import access, chunks, events, logs, metrics, redact, rehydrate, vault
 from veilframe.operators import requests as reqs
 from veilframe.operators.nested import redact_json, redact_nested
 from veilframe.sources import tables as src
 from veilframe.sources.stage import stage
+from veilframe.streaming import jobs
+from veilframe.streaming.sinks import append_to_table, batches_to_table, drain, read_stream
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -311,10 +313,12 @@ def rehydrate_nested_tokens(spark: SparkSession, sf: str) -> DataFrame:
     saved = vault.vault_upsert(
         vault.vault_build(found, F.timestamp_seconds(F.lit(0)), "doc_id")
     )
-    texts = staged.select("doc_id", F.col("redacted").alias("once"))
-    once = rehydrate.rehydrate(texts, ["doc_id"], ["once"], saved)
+    texts = staged.select(
+        "doc_id", F.col("redacted").alias("one_pass"), F.col("redacted").alias("two_passes")
+    )
+    once = rehydrate.rehydrate(texts.drop("two_passes"), ["doc_id"], ["one_pass"], saved)
     full = rehydrate.rehydrate(
-        texts.withColumnRenamed("once", "full"), ["doc_id"], ["full"], saved, fixpoint=True
+        texts.drop("one_pass"), ["doc_id"], ["two_passes"], saved, fixpoint=True
     )
     return once.join(full, "doc_id")
 
@@ -539,3 +543,91 @@ def stream_mode(spark: SparkSession, sf: str) -> DataFrame:
 def exchange_join(spark: SparkSession, sf: str) -> DataFrame:
     replies = src.echo_responses(src.request_findings(spark, sf))
     return reqs.exchange_join(src.requests(spark, sf), replies)
+
+
+# Streams
+
+
+def _in_order(df: DataFrame, name: str) -> DataFrame:
+    """Stage a chunk table with each stream in one file, in order, as a source would."""
+    return stage(df.repartition("stream_id").sortWithinPartitions("stream_id", "seq"), name)
+
+
+def _stream_of(staged: DataFrame, files_per_trigger: int | None = None) -> DataFrame:
+    folder = staged.inputFiles()[0].rsplit("/", 1)[0]
+    return read_stream(staged.sparkSession, folder, staged.schema, files_per_trigger)
+
+
+@query()
+def rehydrate_chunks_raw(spark: SparkSession, sf: str) -> DataFrame:
+    staged, saved = _staged(spark, sf)
+    return chunks.rehydrate_chunks(src.delta_chunks(staged), stage(saved, "vault"))
+
+
+@query()
+def rehydrate_chunks_stream(spark: SparkSession, sf: str) -> DataFrame:
+    """The same through Structured Streaming, in several micro-batches."""
+    staged, saved = _staged(spark, sf)
+    known = stage(saved, "vault")
+    stream = _stream_of(_in_order(src.delta_chunks(staged), "chunks"), 4)
+    out = drain(
+        lambda path, ckpt: jobs.stream_chunks(stream, lambda: known, path, ckpt), spark, "raw"
+    )
+    return spark.read.parquet(out).select("stream_id", "seq", "emitted")
+
+
+@query()
+def rehydrate_sse(spark: SparkSession, sf: str) -> DataFrame:
+    staged, saved = _staged(spark, sf)
+    known = stage(saved, "vault")
+    stream = _stream_of(_in_order(src.sse_wire(staged), "wire"), 4)
+    out = drain(
+        lambda path, ckpt: jobs.stream_sse(stream, lambda: known, path, ckpt), spark, "sse"
+    )
+    return spark.read.parquet(out).select("stream_id", "seq", "emitted")
+
+
+@query()
+def sse_parse(spark: SparkSession, sf: str) -> DataFrame:
+    lines = src.sse_lines(src.request_findings(spark, sf))
+    return chunks.sse_parse(lines).select(
+        "stream_id", "seq", "kind", "content", "text", "reasoning_content"
+    )
+
+
+@query()
+def sse_delta_text(spark: SparkSession, sf: str) -> DataFrame:
+    staged, saved = _staged(spark, sf)
+    return chunks.sse_delta_text(src.sse_lines(staged), stage(saved, "vault"))
+
+
+@query()
+def stream_redact(spark: SparkSession, sf: str) -> DataFrame:
+    path = f"{sf}/documents.parquet"
+    stream = read_stream(spark, path, spark.read.parquet(path).schema)
+    out = drain(
+        lambda table, ckpt: append_to_table(jobs.stream_redact(stream), table, ckpt),
+        spark, "redacted",
+    )
+    return redact.with_flags(spark.read.parquet(out)).select("doc_id", "redacted", "token_count")
+
+
+@query()
+def stream_vault(spark: SparkSession, sf: str) -> DataFrame:
+    arriving = stage(src.timed_documents(spark, sf), "arriving")
+    stream = _stream_of(arriving, 4)
+    out = drain(
+        lambda table, ckpt: jobs.stream_vault(stream, table, ckpt), spark, "vault-log"
+    )
+    return jobs.read_vault(spark, out).select("token", "label", "value", micros("saved_at"))
+
+
+@query()
+def stream_counters(spark: SparkSession, sf: str) -> DataFrame:
+    arriving = stage(src.timed_documents(spark, sf), "arriving")
+    counted = jobs.stream_counters(_stream_of(arriving))
+    out = drain(
+        lambda table, ckpt: batches_to_table(counted, table, ckpt, output_mode="update"),
+        spark, "counters",
+    )
+    return jobs.read_counters(spark, out).select(micros("window_start"), "type", "n")

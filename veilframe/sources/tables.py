@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veilframe.functions.tokens import sql_text
+from veilframe.operators.chunks import cut_into_chunks
 from veilframe.operators.nested import json_quote_sql
 from veilframe.operators.redact import redact_text
 from veilframe.session import spread
@@ -204,3 +205,59 @@ def log_records(spark: SparkSession, sf_dir: str) -> DataFrame:
             "extra"
         ),
     )
+
+
+DELTA_SIZE = 40
+WIRE_SIZE = 100
+
+# One delta event around a JSON string, by kind of stream.
+DELTA_FRAMES = (
+    ('{"id":"c","choices":[{"index":0,"delta":{"content":', "}}]}"),
+    ('{"type":"content_block_delta","delta":{"type":"text_delta","text":', "}}"),
+    ('{"choices":[{"delta":{"role":"assistant","reasoning_content":', "}}]}"),
+)
+
+
+def delta_line_sql(stream: str, chunk: str) -> str:
+    """The data line that carries one piece of text."""
+    cases = " ".join(
+        f"WHEN {n} THEN concat('data: ', {sql_text(head)}, {json_quote_sql(chunk)},"
+        f" {sql_text(tail)})"
+        for n, (head, tail) in enumerate(DELTA_FRAMES)
+    )
+    return f"CASE pmod({stream}, {len(DELTA_FRAMES)}) {cases} END"
+
+
+def delta_chunks(redacted: DataFrame) -> DataFrame:
+    """Redacted text as a stream of short chunks: ``stream_id, seq, chunk``."""
+    return cut_into_chunks(redacted, "request_id", "redacted", DELTA_SIZE)
+
+
+def sse_lines(redacted: DataFrame) -> DataFrame:
+    """The same text as lines of an event stream: ``stream_id, seq, line``."""
+    start = json_quote_sql(f"substr(redacted, 1, {DELTA_SIZE})")
+    head = redacted.select(
+        F.col("request_id").alias("stream_id"),
+        F.expr(
+            "posexplode(array('event: start',"
+            f" concat('data: {{\"type\":\"message_start\",\"note\":', {start}, '}}'),"
+            " 'data: {broken', 'data: [DONE]'))"
+        ).alias("seq", "line"),
+    ).withColumn("seq", F.col("seq").cast("bigint"))
+    data = delta_chunks(redacted).select(
+        "stream_id",
+        (F.col("seq") + 4).alias("seq"),
+        F.expr(delta_line_sql("stream_id", "chunk")).alias("line"),
+    )
+    return head.unionByName(data)
+
+
+def sse_wire(redacted: DataFrame) -> DataFrame:
+    """Whole event streams, cut without regard to lines: ``stream_id, seq, chunk``."""
+    pieces = f"regexp_extract_all(redacted, '(?s:.{{1,{DELTA_SIZE}}})', 0)"
+    events_sql = (
+        f"concat(array_join(transform({pieces}, c -> concat("
+        f"{delta_line_sql('request_id', 'c')}, '\\n\\n')), ''), 'data: [DONE]\\n\\n')"
+    )
+    whole = redacted.select("request_id", F.expr(events_sql).alias("wire"))
+    return cut_into_chunks(whole, "request_id", "wire", WIRE_SIZE)
