@@ -26,11 +26,16 @@ def connect(sf_dir: str) -> duckdb.DuckDBPyConnection:
     return con
 
 
+SPENT: dict[str, float] = {}
+
+
 def differences(spark, con, sf_dir: str, name: str) -> str | None:
     """What differs between the two results, or None."""
+    start = time.time()
     df = contract.queries()[name](spark, sf_dir)
     columns = sorted(df.columns)
     ours = sorted((repr(tuple(r)) for r in df.select(*columns).collect()))
+    SPENT[name] = time.time() - start
     sql = contract.oracle_sql().get(name)
     if sql is None:
         return None
@@ -64,7 +69,8 @@ def main() -> int:
             diff = f"{type(e).__name__}: {str(e)[:600]}"
         bad += diff is not None
         has = name in contract.oracle_sql()
-        print(f"{'FAIL' if diff else 'ok' if has else 'ran':5}{name:28}{time.time() - start:6.2f}s"
+        print(f"{'FAIL' if diff else 'ok' if has else 'ran':5}{name:28}{SPENT.get(name, 0):6.2f}s"
+              f" +{time.time() - start - SPENT.get(name, 0):5.2f}s"
               f"  {(diff or '')[:1500]}", flush=True)
     print("failed:", bad)
     return bad

@@ -2,22 +2,81 @@
 
 A plain window ``PARTITION BY key ORDER BY position`` sends a hot key (one stream, one
 token, or the global timeline) to a single task.  Here positions are cut into blocks of a
-fixed width; a window only ever spans a block, and what a block needs from the rows before
-it comes from a window over block summaries, which are fewer by the block width.  Summaries
-are cut into blocks again, so a few levels cover any number of positions.
+fixed width; a window only ever spans a block.  What a block needs from the rows before it
+is carried over from the last rows of earlier blocks, one row per block, by the same method
+or, at the last level, by a plain window over so few rows that it may.
+
+The rows are shuffled once, by key and block: the block ends are read from the same
+exchange, and the carried values meet the rows on the same partitioning.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, WindowSpec
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
-def _block(position: str, width: int) -> Column:
-    return F.floor(F.col(position) / F.lit(width)).cast("bigint")
+class _Latest:
+    """The last non-null value."""
+
+    def of(self, column: str, window: WindowSpec, end: int) -> Column:
+        frame = window.rowsBetween(W.unboundedPreceding, end)
+        return F.last(column, ignorenulls=True).over(frame)
+
+    def join(self, carried: Column, local: Column) -> Column:
+        return F.coalesce(local, carried)
+
+
+class _Tail:
+    """The last characters of the concatenated text; every row holds at least one."""
 
+    def __init__(self, size: int) -> None:
+        self.size = size
 
+    def of(self, column: str, window: WindowSpec, end: int) -> Column:
+        pieces = F.collect_list(column).over(window.rowsBetween(-self.size, end))
+        return F.right(F.array_join(pieces, ""), F.lit(self.size))
+
+    def join(self, carried: Column, local: Column) -> Column:
+        return F.right(F.concat(F.coalesce(carried, F.lit("")), local), F.lit(self.size))
+
+
+def _look_back(
+    df: DataFrame,
+    keys: list[str],
+    order: list[str],
+    column: str,
+    out: str,
+    summary: _Latest | _Tail,
+    end: int,
+    width: int,
+    fanout: int,
+    levels: int,
+) -> DataFrame:
+    """Add ``out``, the summary of ``column`` over the rows of the same key up to this one
+    (``end`` 0) or before it (``end`` -1)."""
+    if levels == 0:
+        window = W.partitionBy(*keys).orderBy(*order) if keys else W.orderBy(*order)
+        return df.withColumn(out, summary.of(column, window, end))
+    block, carry = f"_block{levels}", f"_carry{levels}"
+    work = df.withColumn(block, F.floor(F.col(order[0]) / F.lit(width)).cast("bigint"))
+    window = W.partitionBy(*keys, block).orderBy(*order)
+    ends = (
+        work.withColumn("_more", F.lead(F.lit(1)).over(window))
+        .withColumn("_through", summary.of(column, window, 0))
+        .filter("_more IS NULL")
+        .select(*keys, block, F.col("_through").alias("_e"))
+    )
+    carried = _look_back(
+        ends, keys, [block], "_e", carry, summary, -1, fanout, fanout, levels - 1
+    ).select(*keys, block, carry)
+    return (
+        work.withColumn(out, summary.of(column, window, end))
+        .join(carried, [*keys, block], "left")
+        .withColumn(out, summary.join(F.col(carry), F.col(out)))
+        .drop(block, carry)
+    )
 
 
 def latest_before(
@@ -28,44 +87,20 @@ def latest_before(
     out: str,
     tie: list[str] | None = None,
     width: int = 4096,
-    levels: int = 2,
-    inclusive: bool = True,
     fanout: int = 4096,
+    levels: int = 2,
 ) -> DataFrame:
     """Add ``out``: the last non-null ``value`` at or before each row of the same key.
 
-    ``position`` is a bigint column; ``tie`` orders rows of equal position.  With
-    ``inclusive=False`` the row's own value does not count.  ``width`` is the block width
-    in units of ``position``, ``fanout`` the number of blocks in a block of the next level.
+    ``position`` is a bigint column; ``tie`` orders rows of equal position.  ``width`` is
+    the block width in units of ``position``, ``fanout`` the number of blocks in a block of
+    the next level.
     """
-    tie = tie or []
-    order = [position, *tie]
-    frame_end = 0 if inclusive else -1
+    order = [position, *(tie or [])]
     work = df.withColumn("_v", value)
-    block, carry = f"_b{levels}", f"_c{levels}"
-    if levels == 0:
-        window = W.partitionBy(*keys).orderBy(*order) if keys else W.orderBy(*order)
-        last = F.last("_v", ignorenulls=True).over(
-            window.rowsBetween(W.unboundedPreceding, frame_end)
-        )
-        return work.withColumn(out, last).drop("_v")
-    work = work.withColumn(block, _block(position, width))
-    stamped = F.when(F.col("_v").isNotNull(), F.struct(*order, F.col("_v")))
-    blocks = work.groupBy(*keys, block).agg(F.max(stamped).alias("_s")).select(
-        *keys, block, F.col("_s._v").alias("_bv")
-    )
-    carried = latest_before(
-        blocks, keys, block, F.col("_bv"), carry,
-        width=fanout, levels=levels - 1, inclusive=False, fanout=fanout,
-    ).select(*keys, block, carry)
-    inside = F.last("_v", ignorenulls=True).over(
-        W.partitionBy(*keys, block).orderBy(*order).rowsBetween(W.unboundedPreceding, frame_end)
-    )
-    return (
-        work.join(carried, [*keys, block], "left")
-        .withColumn(out, F.coalesce(inside, F.col(carry)))
-        .drop("_v", block, carry)
-    )
+    return _look_back(
+        work, keys, order, "_v", out, _Latest(), 0, width, fanout, levels
+    ).drop("_v")
 
 
 def preceding_tail(
@@ -75,8 +110,8 @@ def preceding_tail(
     text: Column,
     size: int,
     out: str,
-    width: int = 512,
-    levels: int = 2,
+    width: int = 65536,
+    levels: int = 1,
 ) -> DataFrame:
     """Add ``out``: the last ``size`` characters of all text before each row of its key.
 
@@ -84,27 +119,6 @@ def preceding_tail(
     aside, so that ``size`` rows always hold ``size`` characters.
     """
     work = df.withColumn("_t", F.right(text, F.lit(size)))
-    block, carry = f"_b{levels}", f"_c{levels}"
-
-    def tail(pieces: Column) -> Column:
-        return F.right(F.array_join(pieces, ""), F.lit(size))
-
-    if levels == 0:
-        window = W.partitionBy(*keys).orderBy(position).rowsBetween(-size, -1)
-        return work.withColumn(out, tail(F.collect_list("_t").over(window))).drop("_t")
-    work = work.withColumn(block, _block(position, width))
-    blocks = (
-        work.groupBy(*keys, block)
-        .agg(F.array_sort(F.collect_list(F.struct(position, "_t"))).alias("_l"))
-        .select(*keys, block, tail(F.col("_l._t")).alias("_bt"))
-    )
-    carried = preceding_tail(
-        blocks, keys, block, F.col("_bt"), size, carry, width=width, levels=levels - 1
-    ).select(*keys, block, carry)
-    window = W.partitionBy(*keys, block).orderBy(position).rowsBetween(-size, -1)
-    inside = F.array_join(F.collect_list("_t").over(window), "")
-    return (
-        work.join(carried, [*keys, block], "left")
-        .withColumn(out, F.right(F.concat(F.coalesce(carry, F.lit("")), inside), F.lit(size)))
-        .drop("_t", block, carry)
-    )
+    return _look_back(
+        work, keys, [position], "_t", out, _Tail(size), -1, width, width, levels
+    ).drop("_t")

@@ -15,8 +15,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veilframe.functions.ordered import preceding_tail
-from veilframe.functions.tokens import TOKEN_PATTERN, sql_text
-from veilframe.operators.rehydrate import rehydrate
+from veilframe.functions.tokens import TOKEN_PATTERN, sql_text, tokens_in_sql
+from veilframe.operators.rehydrate import attach_values, rehydrate, replace_tokens_sql
 
 # No token is longer: a label of at most 60 characters and 64 hex digits.
 MAX_TOKEN = 128
@@ -65,47 +65,45 @@ def emit_raw(chunks: DataFrame, vault: DataFrame, flush_at_end: bool = False) ->
     complete streams).
     """
     work = chunks.select(
-        *KEYS, "chunk", "tail",
+        *KEYS, "chunk",
         _partial(F.col("tail")).alias("_was"),
         _partial(F.concat("tail", "chunk")).alias("_now"),
     )
-    # Only chunks with a candidate at either end meet the prefixes.
-    wanted = work.select(
-        *KEYS, F.explode(F.array_distinct(F.array_compact(F.array("_was", "_now")))).alias("prefix")
-    )
-    held = (
-        wanted.join(token_prefixes(vault), "prefix", "left_semi")
-        .groupBy(*KEYS)
-        .agg(F.collect_set("prefix").alias("_held"))
+    # One lookup answers both questions: is this end a prefix, and what does a token mean.
+    known = vault.select("token", "value").unionByName(
+        token_prefixes(vault).select(
+            F.col("prefix").alias("token"), F.lit(None).cast("string").alias("value")
+        )
     )
-    quiet = F.col("_was").isNull() & F.col("_now").isNull()
-    decided = (
-        work.filter(~quiet)
-        .join(held, KEYS, "left")
-        .unionByName(work.filter(quiet).withColumn("_held", F.lit(None).cast("array<string>")))
+    asked = (
+        f"concat(array_compact(array(_was, _now)), {tokens_in_sql('concat_ws(%s, _was, chunk)')})"
+        % "''"
     )
-
-    def kept(candidate: str) -> Column:
-        return F.when(
-            F.coalesce(F.array_contains("_held", F.col(candidate)), F.lit(False)), F.col(candidate)
-        ).otherwise("")
-
-    text = F.concat(kept("_was"), "chunk")
-    emitted = F.substr(text, F.lit(1), F.length(text) - F.length(kept("_now")))
-    # An empty chunk changes nothing and emits nothing.
-    emitted = F.when(F.length("chunk") == 0, "").otherwise(emitted)
-    out = decided.select(*KEYS, emitted.alias("emitted"), kept("_now").alias("_rest"))
-    if flush_at_end:
-        last = chunks.filter(F.length("chunk") > 0).groupBy("stream_id").agg(
-            F.max("seq").alias("_last")
-        )
-        out = out.join(last, "stream_id", "left").withColumn(
-            "emitted",
-            F.when(F.col("seq") == F.col("_last"), F.concat("emitted", "_rest")).otherwise(
-                F.col("emitted")
-            ),
+    dirty = attach_values(work.filter(f"size({asked}) > 0"), KEYS, asked, known)
+    was = "if(map_contains_key(_values, _was), _was, '')"
+    now = "if(map_contains_key(_values, _now), _now, '')"
+    text = f"concat(coalesce({was}, ''), chunk)"
+    shown = f"substr({text}, 1, length({text}) - length(coalesce({now}, '')))"
+    decided = dirty.select(
+        *KEYS,
+        F.expr(replace_tokens_sql(shown, "_values")).alias("emitted"),
+        F.expr(f"coalesce({now}, '')").alias("_rest"),
+    ).unionByName(
+        work.filter(f"size({asked}) = 0").select(
+            *KEYS, F.coalesce("chunk", F.lit("")).alias("emitted"), F.lit("").alias("_rest")
         )
-    return rehydrate(out.select(*KEYS, "emitted"), KEYS, ["emitted"], vault)
+    )
+    if not flush_at_end:
+        return decided.drop("_rest")
+    last = chunks.filter(F.length("chunk") > 0).groupBy("stream_id").agg(
+        F.max("seq").alias("_last")
+    )
+    return decided.join(last, "stream_id", "left").select(
+        *KEYS,
+        F.when(F.col("seq") == F.col("_last"), F.concat("emitted", "_rest"))
+        .otherwise(F.col("emitted"))
+        .alias("emitted"),
+    )
 
 
 def rehydrate_chunks(

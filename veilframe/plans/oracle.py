@@ -200,12 +200,16 @@ SQL: dict[str, str] = {
         FROM found WHERE source || '-' || lang NOT IN
         (SELECT source || '-' || lang FROM ({TIMED}) WHERE event_type = 'signup')""",
     "vault_asof": f"""{FOUND}, look AS (SELECT request_id, ord, token,
-            ts + INTERVAL {ASOF_DELAY_HOURS} HOUR AS at FROM found)
-        SELECT l.request_id, l.ord, l.token, epoch_us(l.at) AS at_us,
-            (SELECT arg_max(s.value, epoch_us(s.ts) * 1000000 + s.request_id) FROM found s
-             WHERE s.token = l.token AND s.ts <= l.at AND s.ts >= (
-                SELECT max(x.ts) FROM found x WHERE x.ts <= l.at) - INTERVAL 3600 SECOND
-            ) AS value FROM look l""",
+            ts + INTERVAL {ASOF_DELAY_HOURS} HOUR AS due FROM found),
+        last_any AS (SELECT l.due, max(x.ts) AS last FROM (SELECT DISTINCT due FROM look) l
+            JOIN found x ON x.ts <= l.due GROUP BY l.due),
+        own AS (SELECT l.request_id, l.ord, l.token, l.due, s.ts, s.value FROM look l
+            JOIN found s ON s.token = l.token AND s.ts <= l.due
+            QUALIFY row_number() OVER (PARTITION BY l.request_id, l.ord, l.token
+                ORDER BY s.ts DESC, s.request_id DESC, s.ord DESC) = 1)
+        SELECT request_id, ord, token, epoch_us(due) AS at_us,
+            CASE WHEN ts >= last - INTERVAL 3600 SECOND THEN value END AS value
+        FROM own JOIN last_any USING (due)""",
     "vault_collisions": f"""{FOUND} SELECT token, count(DISTINCT value) AS n_values FROM found
         GROUP BY token HAVING count(DISTINCT value) > 1""",
     "vault_collisions_narrow": f"""WITH {chain('r', TIMED, width=2)}

@@ -603,7 +603,7 @@ def sse_delta_text(spark: SparkSession, sf: str) -> DataFrame:
 
 @query()
 def stream_redact(spark: SparkSession, sf: str) -> DataFrame:
-    path = f"{sf}/documents.parquet"
+    path = f"{sf}/documents*.parquet"  # a stream source wants a folder or a pattern
     stream = read_stream(spark, path, spark.read.parquet(path).schema)
     out = drain(
         lambda table, ckpt: append_to_table(jobs.stream_redact(stream), table, ckpt),
