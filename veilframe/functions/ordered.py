@@ -12,7 +12,7 @@ exchange, and the carried values meet the rows on the same partitioning.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, WindowSpec
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -20,23 +20,48 @@ from pyspark.sql import functions as F
 class _Latest:
     """The last non-null value."""
 
-    def of(self, column: str, window: WindowSpec, end: int) -> Column:
-        frame = window.rowsBetween(W.unboundedPreceding, end)
-        return F.last(column, ignorenulls=True).over(frame)
+    def add(self, df: DataFrame, by: list[str], order: list[str], column: str) -> DataFrame:
+        """Add ``_before`` and ``_through``: the summary without and with each row."""
+        window = (W.partitionBy(*by) if by else W).orderBy(*order)
+        last = F.last(column, ignorenulls=True)
+        first = W.unboundedPreceding
+        return df.withColumns(
+            {
+                "_before": last.over(window.rowsBetween(first, -1)),
+                "_through": last.over(window.rowsBetween(first, 0)),
+            }
+        )
 
     def join(self, carried: Column, local: Column) -> Column:
         return F.coalesce(local, carried)
 
 
 class _Tail:
-    """The last characters of the concatenated text; every row holds at least one."""
+    """The last characters of the concatenated text; every row holds at least one.
+
+    The rows that reach into the last ``size`` characters are found by their text offset,
+    so a row gathers as many rows as it needs and not ``size`` of them.
+    """
 
     def __init__(self, size: int) -> None:
         self.size = size
 
-    def of(self, column: str, window: WindowSpec, end: int) -> Column:
-        pieces = F.collect_list(column).over(window.rowsBetween(-self.size, end))
-        return F.right(F.array_join(pieces, ""), F.lit(self.size))
+    def add(self, df: DataFrame, by: list[str], order: list[str], column: str) -> DataFrame:
+        window = (W.partitionBy(*by) if by else W).orderBy(*order)
+        size, first = self.size, W.unboundedPreceding
+        lengths = F.sum(F.length(column)).over(window.rowsBetween(first, -1))
+        placed = df.withColumn("_at", F.coalesce(lengths, F.lit(0)).cast("bigint"))
+        by_text = (W.partitionBy(*by) if by else W).orderBy("_at")
+        reaching = F.last(column).over(by_text.rangeBetween(first, -size - 1))
+        inside = F.collect_list(column).over(by_text.rangeBetween(-size, -1))
+        before = F.right(
+            F.concat(F.coalesce(reaching, F.lit("")), F.array_join(inside, "")), F.lit(size)
+        )
+        return (
+            placed.withColumn("_before", before)
+            .withColumn("_through", F.right(F.concat("_before", column), F.lit(size)))
+            .drop("_at")
+        )
 
     def join(self, carried: Column, local: Column) -> Column:
         return F.right(F.concat(F.coalesce(carried, F.lit("")), local), F.lit(self.size))
@@ -49,33 +74,37 @@ def _look_back(
     column: str,
     out: str,
     summary: _Latest | _Tail,
-    end: int,
+    inclusive: bool,
     width: int,
     fanout: int,
     levels: int,
 ) -> DataFrame:
-    """Add ``out``, the summary of ``column`` over the rows of the same key up to this one
-    (``end`` 0) or before it (``end`` -1)."""
+    """Add ``out``, the summary of ``column`` over the earlier rows of the same key, with
+    the row itself where ``inclusive``."""
+    mine = "_through" if inclusive else "_before"
+    other = "_before" if inclusive else "_through"
     if levels == 0:
-        window = W.partitionBy(*keys).orderBy(*order) if keys else W.orderBy(*order)
-        return df.withColumn(out, summary.of(column, window, end))
+        local = summary.add(df, keys, order, column)
+        return local.drop(other).withColumnRenamed(mine, out)
     block, carry = f"_block{levels}", f"_carry{levels}"
     work = df.withColumn(block, F.floor(F.col(order[0]) / F.lit(width)).cast("bigint"))
-    window = W.partitionBy(*keys, block).orderBy(*order)
+    local = summary.add(work, [*keys, block], order, column)
     ends = (
-        work.withColumn("_more", F.lead(F.lit(1)).over(window))
-        .withColumn("_through", summary.of(column, window, 0))
+        local.withColumn(
+            "_more", F.lead(F.lit(1)).over(W.partitionBy(*keys, block).orderBy(*order))
+        )
         .filter("_more IS NULL")
         .select(*keys, block, F.col("_through").alias("_e"))
     )
     carried = _look_back(
-        ends, keys, [block], "_e", carry, summary, -1, fanout, fanout, levels - 1
+        ends, keys, [block], "_e", carry, summary, False, fanout, fanout, levels - 1
     ).select(*keys, block, carry)
     return (
-        work.withColumn(out, summary.of(column, window, end))
+        local.drop(other)
         .join(carried, [*keys, block], "left")
-        .withColumn(out, summary.join(F.col(carry), F.col(out)))
+        .withColumn(mine, summary.join(F.col(carry), F.col(mine)))
         .drop(block, carry)
+        .withColumnRenamed(mine, out)
     )
 
 
@@ -99,7 +128,7 @@ def latest_before(
     order = [position, *(tie or [])]
     work = df.withColumn("_v", value)
     return _look_back(
-        work, keys, order, "_v", out, _Latest(), 0, width, fanout, levels
+        work, keys, order, "_v", out, _Latest(), True, width, fanout, levels
     ).drop("_v")
 
 
@@ -120,5 +149,5 @@ def preceding_tail(
     """
     work = df.withColumn("_t", F.right(text, F.lit(size)))
     return _look_back(
-        work, keys, [position], "_t", out, _Tail(size), -1, width, width, levels
+        work, keys, [position], "_t", out, _Tail(size), False, width, width, levels
     ).drop("_t")

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from veilframe.functions.ordered import preceding_tail
 from veilframe.functions.tokens import TOKEN_PATTERN, sql_text, tokens_in_sql
 from veilframe.operators.rehydrate import attach_values, rehydrate, replace_tokens_sql
+from veilframe.sources.stage import stage
 
 # No token is longer: a label of at most 60 characters and 64 hex digits.
 MAX_TOKEN = 128
@@ -109,8 +110,11 @@ def emit_raw(chunks: DataFrame, vault: DataFrame, flush_at_end: bool = False) ->
 def rehydrate_chunks(
     chunks: DataFrame, vault: DataFrame, flush_at_end: bool = False
 ) -> DataFrame:
-    """The text emitted for each chunk of complete streams."""
-    return emit_raw(with_tails(chunks), vault, flush_at_end)
+    """The text emitted for each chunk of complete streams.
+
+    The chunks with their tails are staged: three branches of what follows read them.
+    """
+    return emit_raw(stage(with_tails(chunks), "tails"), vault, flush_at_end)
 
 
 def cut_into_chunks(df: DataFrame, stream: str, text: str, size: int) -> DataFrame:
@@ -197,7 +201,7 @@ def sse_delta_text(lines: DataFrame, vault: DataFrame) -> DataFrame:
     # A piece over the cap is flushed with its end, so nothing is carried past it.
     carried = F.when(F.length("chunk") > FIELD_CAP, "]").otherwise(F.col("chunk"))
     tailed = with_tails(fields, ["stream_id", "field"], carried)
-    return emit_deltas(tailed, vault)
+    return emit_deltas(stage(tailed, "tails"), vault)
 
 
 def held_delta(text: Column, longest: Column) -> Column:
