@@ -13,7 +13,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from veilframe.functions.rules import KEY_LABEL, RULES, SENSITIVE_KEYS, Rule, rule_table, screen
-from veilframe.functions.tokens import HASH_WIDTH, mint_sql, quote, sql_text
+from veilframe.functions.tokens import HASH_WIDTH, mint_sql, once_sql, quote, sql_text
 
 FINDINGS_TYPE = "array<struct<label:string,value:string,token:string>>"
 NO_FINDINGS = f"CAST(array() AS {FINDINGS_TYPE})"
@@ -55,8 +55,8 @@ def redaction_sql(text: str, rules: tuple[Rule, ...] = RULES, width: int = HASH_
 
 
 def redaction(column: str, rules: tuple[Rule, ...] = RULES, width: int = HASH_WIDTH) -> Column:
-    """``STRUCT<text, findings>`` for a string column."""
-    return F.expr(redaction_sql(quote(column), rules, width))
+    """``STRUCT<text, findings>`` for a string column, computed once per row."""
+    return F.expr(once_sql(redaction_sql(quote(column), rules, width)))
 
 
 def key_redaction_sql(value: str, width: int = HASH_WIDTH) -> str:

@@ -34,6 +34,16 @@ def quote(name: str) -> str:
     return "`" + name.replace("`", "``") + "`"
 
 
+def once_sql(expr: str) -> str:
+    """Compute an expression in the projection it stands in, and only there.
+
+    The optimizer moves filters below projections by repeating what they read, and derives
+    further filters from generators; a redaction would then run several times per row.  It
+    leaves expressions alone that depend on the task, as this one formally does.
+    """
+    return f"CASE WHEN spark_partition_id() >= 0 THEN {expr} END"
+
+
 def mint_sql(label: str, value: str, width: int = HASH_WIDTH) -> str:
     """``[LABEL_hhhhhh]`` for two SQL expressions; a null value stays null."""
     if not 1 <= width <= 64:

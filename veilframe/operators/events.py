@@ -11,10 +11,9 @@ from pyspark.sql import functions as F
 
 from veilframe.functions.redaction import redaction_sql
 from veilframe.functions.rules import RULES, SPACE_MEMBERS
-from veilframe.functions.tokens import HASH_WIDTH, quote, sql_text
+from veilframe.functions.tokens import HASH_WIDTH, once_sql, quote, sql_text
 from veilframe.operators.access import blocked_reason_sql
 from veilframe.operators.nested import json_quote_sql, json_redaction_sql, redact_nested
-from veilframe.operators.redact import filter_after
 
 # Event names, the tool prefix, and the fields whose text is collected.
 PRE_CLAUDE, POST_CLAUDE, PRE_GEMINI, POST_GEMINI = (
@@ -108,8 +107,8 @@ def event_responses(
     staged = events.select(
         *keep,
         "handler",
-        F.expr(json_redaction_sql(json_in, width)).alias("_j"),
-        F.expr(redaction_sql(text_in, RULES, width)).alias("_x"),
+        F.expr(once_sql(json_redaction_sql(json_in, width))).alias("_j"),
+        F.expr(once_sql(redaction_sql(text_in, RULES, width))).alias("_x"),
     )
     joined_text = """
         array_join(transform(
@@ -135,8 +134,8 @@ def event_responses(
             concat('{{"decision":"', if(handler = 'after_builtin', 'deny', 'block'),
                 '","reason":', {json_quote_sql('_x.text')}, '}}')
         END"""
-    out = staged.select(*keep, "handler", F.expr(response).alias("response"))
-    return filter_after(out, "response IS NOT NULL") if changed_only else out
+    out = staged.select(*keep, "handler", F.expr(once_sql(response)).alias("response"))
+    return out.filter("response IS NOT NULL") if changed_only else out
 
 
 def plugin_after(df: DataFrame, output: str = "output", content: str = "content") -> DataFrame:

@@ -6,8 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from veilframe.functions.redaction import redaction_sql
-from veilframe.functions.tokens import quote, type_of
-from veilframe.operators.redact import filter_after
+from veilframe.functions.tokens import once_sql, quote, type_of
 
 # How many latencies are kept, and the redactions that fill the gauge.
 LATENCIES_KEPT = 50
@@ -119,10 +118,12 @@ def leak_audit(
     text, found = quote(redacted), quote(findings)
     counted = df.select(
         *keys,
-        F.expr(f"CAST(size(({redaction_sql(text)}).findings) AS BIGINT)").alias("n_rescan"),
+        F.expr(once_sql(f"CAST(size(({redaction_sql(text)}).findings) AS BIGINT)")).alias(
+            "n_rescan"
+        ),
         F.expr(
             f"CAST(size(filter(array_distinct({found}.value), v -> contains({text}, v)))"
             " AS BIGINT)"
         ).alias("n_known"),
     )
-    return filter_after(counted, "n_rescan > 0 OR n_known > 0")
+    return counted.filter("n_rescan > 0 OR n_known > 0")

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -20,7 +20,7 @@ from veilframe.functions.redaction import (
     sensitive_key_sql,
 )
 from veilframe.functions.rules import RULES
-from veilframe.functions.tokens import HASH_WIDTH, quote, sql_text
+from veilframe.functions.tokens import HASH_WIDTH, once_sql, quote, sql_text
 
 Leaf = Callable[[str, str | None], str]
 
@@ -118,7 +118,7 @@ def redact_nested(
 
     walked = df.select(
         *[
-            F.expr(rewrite_sql(quote(c), fields[c], leaf, c, map_leaf)).alias(c)
+            F.expr(once_sql(rewrite_sql(quote(c), fields[c], leaf, c, map_leaf))).alias(c)
             if c in chosen
             else F.col(quote(c))
             for c in df.columns
@@ -144,7 +144,7 @@ def json_quote_sql(text: str) -> str:
     """A string expression as a JSON string literal."""
     return (
         f"CASE WHEN {text} RLIKE {sql_text(JSON_ESCAPED)}"
-        f" THEN substr(to_json(array({text})), 2, length(to_json(array({text}))) - 2)"
+        f" THEN transform(array(to_json(array({text}))), q -> substr(q, 2, length(q) - 2))[0]"
         f" ELSE concat('\"', {text}, '\"') END"
     )
 
@@ -201,14 +201,9 @@ def redact_json(
     """
     keep = [F.col(quote(c)) for c in df.columns if c not in (redacted, findings)]
     return df.select(
-        *keep, F.expr(json_redaction_sql(quote(column), width)).alias("_r")
+        *keep, F.expr(once_sql(json_redaction_sql(quote(column), width))).alias("_r")
     ).select(
         *keep,
         F.col("_r.text").alias(redacted),
         F.coalesce(F.col("_r.findings"), F.expr(NO_FINDINGS)).alias(findings),
     )
-
-
-def json_redaction(column: str, width: int = HASH_WIDTH) -> Column:
-    """``STRUCT<text, findings>`` for a JSON text column."""
-    return F.expr(json_redaction_sql(quote(column), width))

@@ -388,11 +388,11 @@ def event_plugin_after(spark: SparkSession, sf: str) -> DataFrame:
 def event_plugin_before(spark: SparkSession, sf: str) -> DataFrame:
     """Tool calls whose arguments carry the document of the same id."""
     calls = src.tool_calls(spark, sf)
-    docs = src.table(spark, sf, "documents").select("doc_id", "text")
+    docs = src.documents(spark, sf).select("doc_id", "text")
     args = F.create_map(
         F.lit("filePath"), "file_path", F.lit("command"), "command", F.lit("text"), "text"
     )
-    df = src.spread(calls.join(docs, calls.event_id == docs.doc_id)).select(
+    df = calls.join(docs, calls.event_id == docs.doc_id).select(
         "event_id", "tool", args.alias("args")
     )
     return events.plugin_before(df).select(

@@ -31,13 +31,17 @@ def build_session(master: str | None = None, app: str = "veilframe", **conf: str
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder the cluster names; a local one only where none is set (tests)."""
+    """The shared folder the cluster names.
+
+    A local folder stands in only where none is named and Spark runs in one process, as in
+    tests: on a cluster other machines could not read it.
+    """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured
-    local = os.path.join(tempfile.gettempdir(), "veilframe-checkpoint")
-    spark.conf.set("spark.checkpoint.dir", local)
-    return local
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder all executors can read")
+    return os.path.join(tempfile.gettempdir(), "veilframe-checkpoint")
 
 
 def spread(df: DataFrame) -> DataFrame:

@@ -83,10 +83,9 @@ def pick_sql(values: tuple[str, ...], index: str) -> str:
 
 def timed_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as requests: ``request_id, ts, text, source, event_type``."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang")
+    docs = documents(spark, sf_dir).select("doc_id", "text", "source", "lang")
     seen = events(spark, sf_dir).select("event_id", "ts", "event_type")
-    joined = spread(docs.join(seen, docs.doc_id == seen.event_id))
-    return joined.select(
+    return docs.join(seen, docs.doc_id == seen.event_id).select(
         F.col("doc_id").alias("request_id"), "ts", "text", "source", "lang", "event_type"
     )
 
@@ -133,10 +132,9 @@ def echo_responses(redacted: DataFrame) -> DataFrame:
 
 def chat_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Chat requests: one per turn, with the turn and an attached document as messages."""
-    turns = table(spark, sf_dir, "conversations")
+    turns = spread(table(spark, sf_dir, "conversations"))
     docs = table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("attached"))
-    joined = spread(turns.join(docs, turns.conv_id == docs.doc_id, "left"))
-    return joined.select(
+    return turns.join(docs, turns.conv_id == docs.doc_id, "left").select(
         "conv_id", "turn",
         F.array(
             F.struct("role", F.col("text").alias("content")),
