@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veilframe.functions.ordered import preceding_tail
-from veilframe.functions.tokens import TOKEN_PATTERN, sql_text, tokens_in_sql
+from veilframe.functions.tokens import once_sql, sql_text, tokens_in_sql
 from veilframe.operators.rehydrate import attach_values, rehydrate, replace_tokens_sql
 from veilframe.sources.stage import stage
 
@@ -58,29 +58,36 @@ def _partial(text: Column) -> Column:
     return F.nullif(F.regexp_extract(text, PARTIAL, 0), F.lit(""))
 
 
-def emit_raw(chunks: DataFrame, vault: DataFrame, flush_at_end: bool = False) -> DataFrame:
-    """``stream_id, seq, emitted`` for chunks that carry their ``tail``.
+def questions(chunks: DataFrame) -> DataFrame:
+    """What each chunk with its ``tail`` has to ask the vault.
 
-    The held-back end of a stream is never emitted, as in a stream that just stops;
-    ``flush_at_end`` appends it to the last chunk (which then must be known, so only for
-    complete streams).
+    ``_was`` and ``_now`` are the possible token starts at the end of the text before and
+    with the chunk; ``_asked`` adds the tokens that the chunk may complete or hold.
     """
     work = chunks.select(
         *KEYS, "chunk",
         _partial(F.col("tail")).alias("_was"),
         _partial(F.concat("tail", "chunk")).alias("_now"),
     )
-    # One lookup answers both questions: is this end a prefix, and what does a token mean.
+    tokens = tokens_in_sql("concat_ws('', _was, chunk)")
+    asked = f"concat(array_compact(array(_was, _now)), coalesce({tokens}, array()))"
+    return work.withColumn("_asked", F.expr(once_sql(asked)))
+
+
+def emit_raw(work: DataFrame, vault: DataFrame, flush_at_end: bool = False) -> DataFrame:
+    """``stream_id, seq, emitted`` for chunks with their ``questions``.
+
+    The held-back end of a stream is never emitted, as in a stream that just stops;
+    ``flush_at_end`` appends it to the last chunk (which then must be known, so only for
+    complete streams).
+    """
+    # One lookup answers both: is this end a token's beginning, and what does a token mean.
     known = vault.select("token", "value").unionByName(
         token_prefixes(vault).select(
             F.col("prefix").alias("token"), F.lit(None).cast("string").alias("value")
         )
     )
-    asked = (
-        f"concat(array_compact(array(_was, _now)), {tokens_in_sql('concat_ws(%s, _was, chunk)')})"
-        % "''"
-    )
-    dirty = attach_values(work.filter(f"size({asked}) > 0"), KEYS, asked, known)
+    dirty = attach_values(work.filter("size(_asked) > 0"), KEYS, "_asked", known)
     was = "if(map_contains_key(_values, _was), _was, '')"
     now = "if(map_contains_key(_values, _now), _now, '')"
     text = f"concat(coalesce({was}, ''), chunk)"
@@ -90,13 +97,13 @@ def emit_raw(chunks: DataFrame, vault: DataFrame, flush_at_end: bool = False) ->
         F.expr(replace_tokens_sql(shown, "_values")).alias("emitted"),
         F.expr(f"coalesce({now}, '')").alias("_rest"),
     ).unionByName(
-        work.filter(f"size({asked}) = 0").select(
+        work.filter("size(_asked) = 0").select(
             *KEYS, F.coalesce("chunk", F.lit("")).alias("emitted"), F.lit("").alias("_rest")
         )
     )
     if not flush_at_end:
         return decided.drop("_rest")
-    last = chunks.filter(F.length("chunk") > 0).groupBy("stream_id").agg(
+    last = work.filter(F.length("chunk") > 0).groupBy("stream_id").agg(
         F.max("seq").alias("_last")
     )
     return decided.join(last, "stream_id", "left").select(
@@ -112,9 +119,9 @@ def rehydrate_chunks(
 ) -> DataFrame:
     """The text emitted for each chunk of complete streams.
 
-    The chunks with their tails are staged: three branches of what follows read them.
+    The questions are staged: three branches of what follows read them.
     """
-    return emit_raw(stage(with_tails(chunks), "tails"), vault, flush_at_end)
+    return emit_raw(stage(questions(with_tails(chunks)), "questions"), vault, flush_at_end)
 
 
 def cut_into_chunks(df: DataFrame, stream: str, text: str, size: int) -> DataFrame:
@@ -201,7 +208,8 @@ def sse_delta_text(lines: DataFrame, vault: DataFrame) -> DataFrame:
     # A piece over the cap is flushed with its end, so nothing is carried past it.
     carried = F.when(F.length("chunk") > FIELD_CAP, "]").otherwise(F.col("chunk"))
     tailed = with_tails(fields, ["stream_id", "field"], carried)
-    return emit_deltas(stage(tailed, "tails"), vault)
+    shown = stage(cut_deltas(tailed, vault), "deltas")
+    return rehydrate(shown, ["stream_id", "field", "seq"], ["emitted"], vault)
 
 
 def held_delta(text: Column, longest: Column) -> Column:
@@ -210,23 +218,22 @@ def held_delta(text: Column, longest: Column) -> Column:
     return F.when(F.length(tail) < longest, tail).otherwise("")
 
 
-def emit_deltas(fields: DataFrame, vault: DataFrame) -> DataFrame:
-    """Decide and rehydrate delta pieces that carry their ``tail``.
+def cut_deltas(fields: DataFrame, vault: DataFrame) -> DataFrame:
+    """What of each delta piece, given its ``tail``, is shown now: ``emitted``, not yet
+    rehydrated.
 
-    A piece that outgrows the field cap is flushed whole, with what was held before it.
+    A piece that outgrows the field cap is shown whole, with what was held before it.
     (Where only the held characters take it over the cap, its own end still counts as held
     for the next piece; the streaming form keeps exact state here.)
     """
     longest = F.coalesce(vault.agg(F.max(F.length("token"))).scalar(), F.lit(0))
-    keys = ["stream_id", "field", "seq"]
     was = held_delta(F.col("tail"), F.col("_longest"))
     now = held_delta(F.concat("tail", "chunk"), F.col("_longest"))
     text = F.concat(was, "chunk")
     rest = F.when(F.length(text) > FIELD_CAP, 0).otherwise(F.length(now))
-    out = fields.withColumn("_longest", longest).select(
-        *keys,
+    return fields.withColumn("_longest", longest).select(
+        "stream_id", "field", "seq",
         F.when(F.length("chunk") == 0, "")
         .otherwise(F.substr(text, F.lit(1), F.length(text) - rest))
         .alias("emitted"),
     )
-    return rehydrate(out, keys, ["emitted"], vault, TOKEN_PATTERN)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from veilframe.functions.redaction import redaction, redaction_sql, token_count
 from veilframe.functions.rules import select_rules
-from veilframe.functions.tokens import HASH_WIDTH, quote
+from veilframe.functions.tokens import HASH_WIDTH, once_sql, quote
 
 
 def redact_text(
@@ -63,7 +63,8 @@ def explode_findings(df: DataFrame, keep: list[str], findings: str = "findings")
 
 def clean_rows(df: DataFrame, column: str = "text") -> DataFrame:
     """The rows in which no rule finds anything, unchanged."""
-    return df.filter(F.expr(f"size(({redaction_sql(quote(column))}).findings) = 0"))
+    clean = once_sql(f"size(({redaction_sql(quote(column))}).findings) = 0")
+    return df.withColumn("_clean", F.expr(clean)).filter("_clean").drop("_clean")
 
 
 def changed_rows(df: DataFrame, findings: str = "findings") -> DataFrame:

@@ -16,7 +16,7 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from veilframe.functions.tokens import tokens_in_sql, type_of
-from veilframe.operators.chunks import MAX_TOKEN, emit_raw
+from veilframe.operators.chunks import MAX_TOKEN, emit_raw, questions
 from veilframe.operators.redact import explode_findings, redact_text
 from veilframe.operators.rehydrate import attach_values, replace_tokens_sql
 from veilframe.operators.vault import SAVE_COLUMNS, vault_build, vault_upsert
@@ -131,7 +131,7 @@ def stream_chunks(
     tailed = stream.groupBy("stream_id").applyInPandasWithState(
         _attach_tail, TAIL_OUT, "tail string", "append", GroupStateTimeout.NoTimeout
     )
-    return batches_to_table(tailed, path, checkpoint, lambda b: emit_raw(b, vault()))
+    return batches_to_table(tailed, path, checkpoint, lambda b: emit_raw(questions(b), vault()))
 
 
 def stream_sse(
