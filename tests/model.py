@@ -10,7 +10,7 @@ from typing import Any
 from veilframe.functions.rules import RULES, SENSITIVE_KEYS
 
 SPACES = (
-    r"\t\n\x0b\f\r    -     　﻿"
+    r"\t\n\x0b\f\r \u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff"
 )
 
 
