@@ -97,6 +97,14 @@ def sse_stream(chunks: list[str], vault: dict[str, str]) -> list[str]:
     buffer, fields, out = "", {}, []
     for chunk in chunks:
         buffer += chunk
+        if "data: " not in buffer:
+            hold = max(
+                (n for t in vault for n in range(1, len(t)) if buffer.endswith(t[:n])), default=0
+            )
+            cut = len(buffer) - hold
+            out.append(rehydrate(buffer[:cut], vault))
+            buffer = buffer[cut:]
+            continue
         done, newline, rest = buffer.rpartition("\n")
         if not newline:
             out.append("")
