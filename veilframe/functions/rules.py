@@ -173,8 +173,8 @@ def screen(rules: tuple[Rule, ...]) -> str:
     """One Java regex that finds something wherever any gate of ``rules`` is open.
 
     It looks ahead for a character some gate can begin with, so running text costs one
-    class test per character.  Literals that end alike share a branch: it waits for that
-    last character and looks back.
+    class test per character.  Literals that end alike share a branch, which waits for that
+    last character and looks back; a literal without company is searched from its start.
     """
     branches: list[str] = []
     starts: list[str] = []
@@ -186,8 +186,9 @@ def screen(rules: tuple[Rule, ...]) -> str:
         for lit in r.literals:
             by_end.setdefault(lit[-1], []).append(re.escape(lit))
     for end, lits in by_end.items():
-        branches.append(f"{re.escape(end)}(?<={'|'.join(lits)})")
-        starts.append(re.escape(end))
+        alone = len(lits) == 1
+        branches.append(lits[0] if alone else f"{re.escape(end)}(?<={'|'.join(lits)})")
+        starts.append(re.escape(lits[0][0] if alone else end))
     return f"(?=[{''.join(starts)}])(?:{'|'.join(branches)})"
 
 

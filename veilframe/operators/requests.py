@@ -119,7 +119,9 @@ def exchange_join(
     The redacted requests are staged once; the vault and the forwarded bodies both read
     from there.
     """
-    sent = stage(body_methods(requests), "exchange")
+    sent = stage(
+        body_methods(requests).select(key, saved_at, "forwarded", "findings"), "exchange"
+    )
     saves = vault_build(explode_findings(sent, [key, saved_at]), saved_at, key)
     restored = rehydrate_responses(responses, vault_upsert(saves), key)
     return sent.select(

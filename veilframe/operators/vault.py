@@ -61,7 +61,10 @@ def vault_merge(vault: DataFrame, saves: DataFrame) -> DataFrame:
 
 
 def vault_prune(vault: DataFrame, ttl_seconds: int = DEFAULT_TTL_SECONDS) -> DataFrame:
-    """Drop what had expired at the last save; an age equal to the TTL survives."""
+    """Drop what had expired at the last save; an age equal to the TTL survives.
+
+    The vault is read twice, for the last save and for the rows: give a stored table.
+    """
     last_save = vault.agg(F.max("saved_at")).scalar()
     return vault.filter(
         F.col("saved_at") >= last_save - F.make_dt_interval(secs=F.lit(ttl_seconds))

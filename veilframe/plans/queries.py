@@ -181,7 +181,7 @@ def vault_upsert(spark: SparkSession, sf: str) -> DataFrame:
 
 @query()
 def vault_prune(spark: SparkSession, sf: str) -> DataFrame:
-    kept = vault.vault_prune(_vault(spark, sf), PRUNE_TTL_SECONDS)
+    kept = vault.vault_prune(stage(_vault(spark, sf), "vault"), PRUNE_TTL_SECONDS)
     return kept.select("token", "value", micros("saved_at"))
 
 
@@ -194,7 +194,8 @@ def vault_get(spark: SparkSession, sf: str) -> DataFrame:
 
 @query()
 def vault_size(spark: SparkSession, sf: str) -> DataFrame:
-    return vault.vault_size(vault.vault_prune(_vault(spark, sf), PRUNE_TTL_SECONDS))
+    saved = stage(_vault(spark, sf), "vault")
+    return vault.vault_size(vault.vault_prune(saved, PRUNE_TTL_SECONDS))
 
 
 @query()
@@ -236,9 +237,10 @@ def vault_collisions_narrow(spark: SparkSession, sf: str) -> DataFrame:
 # Rehydration
 
 
-def _staged(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+def _staged(spark: SparkSession, sf: str, *more: str) -> tuple[DataFrame, DataFrame]:
     """The redacted requests, staged, and the vault read from the same stage."""
-    staged = stage(src.request_findings(spark, sf), "redacted")
+    columns = ["request_id", "ts", "redacted", "findings", *more]
+    staged = stage(src.request_findings(spark, sf).select(*columns), "redacted")
     found = redact.explode_findings(staged, ["request_id", "ts"])
     return staged, vault.vault_upsert(vault.vault_build(found, "ts", "request_id"))
 
@@ -274,7 +276,7 @@ def rehydrate_custom(spark: SparkSession, sf: str) -> DataFrame:
 
 @query()
 def rehydrate_nested(spark: SparkSession, sf: str) -> DataFrame:
-    staged, saved = _staged(spark, sf)
+    staged, saved = _staged(spark, sf, "source")
     record = F.struct(
         F.col("redacted").alias("log"),
         F.array(F.struct(F.col("redacted").alias("text"), "source")).alias("parts"),
@@ -291,7 +293,7 @@ def rehydrate_nested(spark: SparkSession, sf: str) -> DataFrame:
 
 @query()
 def round_trip(spark: SparkSession, sf: str) -> DataFrame:
-    staged, saved = _staged(spark, sf)
+    staged, saved = _staged(spark, sf, "text")
     texts = staged.select("request_id", "text", F.col("redacted").alias("restored"))
     restored = rehydrate.rehydrate(texts, ["request_id"], ["restored"], saved)
     return restored.agg(
@@ -308,7 +310,7 @@ def rehydrate_nested_tokens(spark: SparkSession, sf: str) -> DataFrame:
         F.lit("\n-----END PRIVATE KEY-----"),
     )
     df = src.documents(spark, sf).select("doc_id", block.alias("text"))
-    staged = stage(redact.redact_text(df), "blocks")
+    staged = stage(redact.redact_text(df).drop("text"), "blocks")
     found = redact.explode_findings(staged, ["doc_id"])
     saved = vault.vault_upsert(
         vault.vault_build(found, F.timestamp_seconds(F.lit(0)), "doc_id")
@@ -461,7 +463,8 @@ def request_token_count(spark: SparkSession, sf: str) -> DataFrame:
 
 @query()
 def pii_totals(spark: SparkSession, sf: str) -> DataFrame:
-    staged = stage(src.request_findings(spark, sf), "totals")
+    redacted = src.request_findings(spark, sf).select("request_id", "redacted", "findings")
+    staged = stage(redacted, "totals")
     found = redact.explode_findings(staged, ["request_id"])
     leaks = metrics.leak_audit(staged, ["request_id"])
     return metrics.pii_totals(
