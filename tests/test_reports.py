@@ -65,6 +65,21 @@ def test_leaks(spark):
     assert got == {2: (0, 1), 4: (1, 0)}
 
 
+def test_leaks_of_the_whole_vault(spark):
+    vault = spark.createDataFrame(
+        [("a@b.io",), (" 555-010-0199",), ("x(y)+\\\\E\n.z",), ("::",), ("secret",)],
+        "value string",
+    )
+    df = spark.createDataFrame(
+        [(1, "to a@b.io."), (2, "aa@b.io a@b.iox"), (3, "call 555-010-0199 a@b.io"),
+         (4, "q x(y)+\\\\E\n.z"), (5, "::"), (6, "secrets"), (7, None), (8, "secret secret")],
+        "id long, text string",
+    )
+    got = {r.id: r.n_known for r in
+           metrics.vault_leak_audit(df, ["id"], "text", vault).collect()}
+    assert got == {1: 1, 3: 2, 4: 1, 8: 1}
+
+
 def test_log_mask_and_severity(spark):
     df = spark.sql(
         "SELECT 5 AS token, 'x' AS apikey, CAST(NULL AS STRING) AS password, 'fatal' AS level,"

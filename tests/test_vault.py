@@ -321,3 +321,12 @@ def test_vault_store(spark, tmp_path):
     assert as_dict(read_vault_store(spark, str(tmp_path / "next")))["[USER_EMAIL_aaaaaa]"] == (
         "newer", 9.0,
     )
+
+
+def test_counter_windows(spark):
+    rows = [(i, at(i * 600), "a@b.io") for i in (0, 1, 2, 12)]
+    df = spark.createDataFrame(rows, "request_id long, ts timestamp, text string")
+    sliding = jobs.stream_counters(df, width="1 hour", slide="30 minutes").collect()
+    assert sorted(r.n for r in sliding) == [1, 1, 3, 3]
+    sessions = jobs.stream_counters(df, session_gap="15 minutes").collect()
+    assert sorted(r.n for r in sessions) == [1, 3]

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from veilframe.functions.redaction import redaction_sql
-from veilframe.functions.tokens import once_sql, quote, type_of
+from veilframe.functions.tokens import once_sql, quote, sql_text, type_of
 
 # How many latencies are kept, and the redactions that fill the gauge.
 LATENCIES_KEPT = 50
@@ -127,3 +127,50 @@ def leak_audit(
         ).alias("n_known"),
     )
     return counted.filter("n_rescan > 0 OR n_known > 0")
+
+
+WORD = r"\w+"
+
+
+def _longest_word(column: str) -> str:
+    """The longest word of a text, the first of equals; null if it has none."""
+    words = f"regexp_extract_all({column}, {sql_text(WORD)}, 0)"
+    longer = "length(w) > coalesce(length(a), 0)"
+    return f"aggregate({words}, CAST(NULL AS STRING), (a, w) -> if({longer}, w, a))"
+
+
+def vault_leak_audit(
+    df: DataFrame, keys: list[str], text: str, vault: DataFrame
+) -> DataFrame:
+    """Texts in which a value of the whole vault stands, not only their own.
+
+    A value counts where it is not part of a longer word.  Then each of its words is a word
+    of the text, so the longest serves as the key of an equi-join, and what meets there is
+    checked in full.  A value without a word (as ``::``) has no such key; the rules find
+    those anywhere.  Texts take part with their distinct words, and only those with a
+    candidate are read again.
+    """
+    values = (
+        vault.select("value").distinct()
+        .select("value", F.expr(_longest_word("value")).alias("_word"))
+        .filter("_word IS NOT NULL")
+    )
+    words = df.select(
+        *keys,
+        F.expr(
+            f"explode(array_distinct(regexp_extract_all({quote(text)}, {sql_text(WORD)}, 0)))"
+        ).alias("_word"),
+    )
+    candidates = words.join(values, "_word").select(*keys, "value")
+    escaped = r"regexp_replace(value, '(\\W)', '\\\\$1')"
+    exact = (
+        r"concat(if(value RLIKE '^\\w', '(?<!\\w)', ''), "
+        + escaped
+        + r", if(value RLIKE '\\w\\z', '(?!\\w)', ''))"
+    )
+    return (
+        candidates.join(df.select(*keys, quote(text)), keys)
+        .filter(F.expr(f"contains({quote(text)}, value) AND {quote(text)} RLIKE {exact}"))
+        .groupBy(*keys)
+        .agg(F.count(F.lit(1)).alias("n_known"))
+    )

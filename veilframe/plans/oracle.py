@@ -269,6 +269,13 @@ SQL["leak_audit"] = f"""WITH {chain('a', _TWICE)}, {_RESCAN}
     SELECT doc_id, len(f) AS n_rescan, len(list_filter(list_distinct(
         list_transform(own, lambda x: x.value)), lambda v: contains(text, v))) AS n_known
     FROM b WHERE n_rescan > 0 OR n_known > 0"""
+SQL["leak_audit_vault"] = f"""WITH {chain('a', _TWICE)},
+    vals AS (SELECT DISTINCT value, CASE WHEN regexp_matches(value, '^\\w') THEN '(?:^|\\W)'
+            ELSE '' END || regexp_escape(value) || CASE WHEN regexp_matches(value, '\\w$')
+            THEN '(?:$|\\W)' ELSE '' END AS p
+        FROM ({unnested('a')}) WHERE regexp_matches(value, '\\w'))
+    SELECT doc_id, count(*) AS n_known FROM a, vals
+    WHERE contains(a.t, vals.value) AND regexp_matches(a.t, vals.p) GROUP BY doc_id"""
 _RESCAN_R = chain("b", "SELECT request_id, t AS text, f AS own FROM r")
 SQL["pii_totals"] = f"""{FOUND}, {_RESCAN_R},
     tok AS (SELECT DISTINCT request_id, token FROM found),

@@ -490,13 +490,24 @@ def pii_by_source(spark: SparkSession, sf: str) -> DataFrame:
     return metrics.pii_by_source(_request_findings(spark, sf))
 
 
-@query()
-def leak_audit(spark: SparkSession, sf: str) -> DataFrame:
-    """Redacted text with the row's own secret appended bare, as a sender might repeat it."""
+def _repeated(spark: SparkSession, sf: str) -> DataFrame:
+    """Text with its own secret appended bare, as a sender might repeat it, redacted."""
     doubled = F.concat("text", F.lit("\n"), "text", F.lit(" "), F.regexp_extract(
         "text", r"[:=]\s*([a-zA-Z0-9\-_!@#$%^*()=+]{16,})", 1))
     df = src.documents(spark, sf).select("doc_id", doubled.alias("text"))
-    return metrics.leak_audit(redact.redact_text(df), ["doc_id"])
+    return redact.redact_text(df)
+
+
+@query()
+def leak_audit(spark: SparkSession, sf: str) -> DataFrame:
+    return metrics.leak_audit(_repeated(spark, sf), ["doc_id"])
+
+
+@query()
+def leak_audit_vault(spark: SparkSession, sf: str) -> DataFrame:
+    staged = stage(_repeated(spark, sf).select("doc_id", "redacted", "findings"), "repeated")
+    found = redact.explode_findings(staged, ["doc_id"])
+    return metrics.vault_leak_audit(staged, ["doc_id"], "redacted", found)
 
 
 # Logs and requests

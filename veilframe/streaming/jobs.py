@@ -75,17 +75,23 @@ def stream_counters(
     ts: str = "ts",
     width: str = "1 hour",
     slide: str | None = None,
+    session_gap: str | None = None,
     lateness: str = "1 hour",
 ) -> DataFrame:
     """Redactions per type and time window, as they arrive.
 
-    Windows are over the request time; rows later than ``lateness``
-    are left out and their state is dropped.  A token counts once per request.
+    Windows are over the request time: tumbling, sliding with ``slide``, or sessions that
+    end after ``session_gap``.  Rows later than ``lateness`` are left out and their state is
+    dropped.  A token counts once per request.
+    (Session windows need the append output mode.)
     """
     tokens = redact_text(stream.withWatermark(ts, lateness), column).select(
         ts, F.explode(F.array_distinct(F.col("findings.token"))).alias("token")
     )
-    span = F.window(ts, width, slide) if slide else F.window(ts, width)
+    if session_gap:
+        span = F.session_window(ts, session_gap)
+    else:
+        span = F.window(ts, width, slide) if slide else F.window(ts, width)
     return tokens.groupBy(span.alias("window"), type_of(F.col("token")).alias("type")).agg(
         F.count(F.lit(1)).alias("n")
     )
