@@ -15,7 +15,7 @@ from veilframe.operators import chunks as ch
 from veilframe.operators import vault as v
 from veilframe.operators.redact import explode_findings, redact_text
 from veilframe.operators.rehydrate import rehydrate
-from veilframe.sources.io import append_vault, read_vault_store, write_vault
+from veilframe.sources.io import append_vault, read_vault_store, write_corpus, write_vault
 from veilframe.streaming import jobs
 from veilframe.streaming.sinks import append_to_table, batches_to_table, read_stream
 
@@ -330,3 +330,15 @@ def test_counter_windows(spark):
     assert sorted(r.n for r in sliding) == [1, 1, 3, 3]
     sessions = jobs.stream_counters(df, session_gap="15 minutes").collect()
     assert sorted(r.n for r in sessions) == [1, 3]
+
+
+def test_corpus_goes_to_two_sinks(spark, tmp_path):
+    rows = [(i, at(i), "a@b.io", f"10.0.0.{i}") for i in range(3)]
+    df = spark.createDataFrame(rows, "id long, ts timestamp, a string, b string")
+    table, vault = str(tmp_path / "t"), str(tmp_path / "v")
+    write_corpus(df, ["a", "b"], "id", "ts", table, vault)
+    got = {r.id: (r.a, r.b) for r in spark.read.parquet(table).collect()}
+    assert got == {i: (model.redact(a)[0], model.redact(b)[0]) for i, _, a, b in rows}
+    stored = as_dict(read_vault_store(spark, vault))
+    assert stored[model.token("USER_EMAIL", "a@b.io")] == ("a@b.io", 2.0) and len(stored) == 4
+    assert read_vault_store(spark, vault, ["USER_EMAIL"]).count() == 1

@@ -141,7 +141,7 @@ def body(text: str) -> str:
 
 METHOD = pick(src.METHODS, "request_id")
 PATH = pick(src.PATHS, "request_id")
-STATUS = "CASE WHEN request_id % 10 = 9 THEN 429 ELSE 200 END"
+STATUS = "CAST(CASE WHEN request_id % 10 = 9 THEN 429 ELSE 200 END AS BIGINT)"
 
 
 def reply(text: str) -> str:

@@ -618,7 +618,10 @@ def sse_delta_text(spark: SparkSession, sf: str) -> DataFrame:
 @query()
 def stream_redact(spark: SparkSession, sf: str) -> DataFrame:
     path = f"{sf}/documents*.parquet"  # a stream source wants a folder or a pattern
-    stream = read_stream(spark, path, spark.read.parquet(path).schema)
+    # One file in one row group: spread it, as ``spread`` does for a batch.
+    stream = read_stream(spark, path, spark.read.parquet(path).schema).repartition(
+        spark.sparkContext.defaultParallelism
+    )
     out = drain(
         lambda table, ckpt: append_to_table(jobs.stream_redact(stream), table, ckpt),
         spark, "redacted",
