@@ -61,7 +61,17 @@ def batches_to_table(
 
 
 def drain(start: Callable[[str, str], StreamingQuery], spark: SparkSession, name: str) -> str:
-    """Run a query over all available input; returns the folder of its table."""
+    """Run a query over all available input; returns the folder of its table.
+
+    A stream keeps the number of state partitions it starts with, and each costs a task per
+    micro-batch, so it is set to the cores at hand and not to the session's default.
+    """
     path = stage_path(spark, name)
-    start(f"{path}/table", f"{path}/checkpoint").awaitTermination()
+    partitions = "spark.sql.shuffle.partitions"
+    default = spark.conf.get(partitions)
+    spark.conf.set(partitions, str(spark.sparkContext.defaultParallelism))
+    try:
+        start(f"{path}/table", f"{path}/checkpoint").awaitTermination()
+    finally:
+        spark.conf.set(partitions, default)
     return f"{path}/table"
