@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from veilframe.llm.bpe import encode_texts
 from veilframe.llm.common import read
 from veilframe.llm.simhash_dedup import hex_word, simhash_components
 
@@ -26,3 +28,11 @@ def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(
         F.col("id").alias("doc_id"), hex_word("fp").alias("fingerprint"), "component_id"
     )
+
+
+@query
+def op6_bpe_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Byte-level BPE of every text and back, as digests."""
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    coded = encode_texts(read(spark, sf_dir, "documents"), "doc_id", "text", path, digest=True)
+    return coded.withColumnRenamed("id", "doc_id")
