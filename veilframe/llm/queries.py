@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 
 from veilframe.llm.bpe import encode_texts
 from veilframe.llm.common import read
+from veilframe.llm.langid import languages
 from veilframe.llm.simhash_dedup import hex_word, simhash_components
+from veilframe.llm.toxicity import toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -36,3 +38,15 @@ def op6_bpe_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_50k.json")
     coded = encode_texts(read(spark, sf_dir, "documents"), "doc_id", "text", path, digest=True)
     return coded.withColumnRenamed("id", "doc_id")
+
+
+@query
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Predicted language of every text."""
+    return languages(read(spark, sf_dir, "documents"))
+
+
+@query
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity score of every text."""
+    return toxicity(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
