@@ -10,6 +10,7 @@
 
 from __future__ import annotations
 
+import heapq
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -29,25 +30,27 @@ VOTERS = 60
 THRESHOLD = 0.7
 
 
-def terms_of(word: str) -> list[str]:
-    """The word itself and its stems; a stem ends in ``*``."""
-    return [word, *(word[:n] + "*" for n in STEMS if len(word) > n)]
-
-
 def words_of(text: str | None) -> set[str]:
     return set(WORD.findall(text.lower())) if text else set()
 
 
+def terms_of(words: set[str]) -> set[str]:
+    """The words, their stems (``stem*``), and stems that two or more of them share
+    (``stem**``)."""
+    stems = Counter(w[:n] for w in words for n in STEMS if len(w) > n)
+    return words | {s + "*" for s in stems} | {s + "**" for s, n in stems.items() if n > 1}
+
+
 def select_terms(bags: list[set[str]], toxic: np.ndarray, weight: np.ndarray, most: int = TERMS) -> list[str]:
     """Terms that tell toxic rows, chosen so that each toxic row is met by several."""
-    spread = [set(t for w in bag for t in terms_of(w)) for bag in bags]
-    hits: Counter = Counter(t for bag, y in zip(spread, toxic) if y for t in bag)
+    spread = {i: terms_of(bag) for i, bag in enumerate(bags) if toxic[i]}
+    hits: Counter = Counter(t for bag in spread.values() for t in bag)
     least = max(2, int(0.004 * toxic.sum()))
     hits = Counter({t: n for t, n in hits.items() if n >= least})
     misses: Counter = Counter()
-    for bag, y, w in zip(spread, toxic, weight):
+    for bag, y, w in zip(bags, toxic, weight):
         if not y:
-            for t in bag & hits.keys():
+            for t in terms_of(bag) & hits.keys():
                 misses[t] += w
     positives, negatives = toxic.sum(), weight[toxic == 0].sum()
     odds = {
@@ -56,26 +59,23 @@ def select_terms(bags: list[set[str]], toxic: np.ndarray, weight: np.ndarray, mo
     }
     good = [t for t, o in odds.items() if o > 2.5 and misses[t] <= 0.1 * hits[t]]
     where: dict[str, list[int]] = {t: [] for t in good}
-    for i, (bag, y) in enumerate(zip(spread, toxic)):
-        if y:
-            for t in bag & where.keys():
-                where[t].append(i)
-    need = np.where(toxic == 1, 4.0, 0.0)
-    worth = {t: len(where[t]) * min(1.0, odds[t] / 6) for t in good}
+    for i, bag in spread.items():
+        for t in bag & where.keys():
+            where[t].append(i)
+    need = np.where(toxic == 1, 4, 0)
+    queue = [(-len(where[t]) * min(1.0, odds[t] / 6), len(t), t) for t in good]
+    heapq.heapify(queue)
     chosen: list[str] = []
-    while worth and len(chosen) < most:
-        # gains only shrink, so a stale best is measured anew before it is taken
-        t = max(worth, key=lambda k: (worth[k], len(where[k]), -len(k), k))
+    while queue and len(chosen) < most:
+        # gains only shrink, so a best one that is out of date is measured anew
+        worth, size, t = heapq.heappop(queue)
         gain = float((need[where[t]] > 0).sum()) * min(1.0, odds[t] / 6)
-        if gain < worth[t]:
-            if gain < 1:
-                del worth[t]
-            else:
-                worth[t] = gain
+        if gain < -worth:
+            if gain >= 1:
+                heapq.heappush(queue, (-gain, size, t))
             continue
         chosen.append(t)
         need[where[t]] -= 1
-        del worth[t]
     return chosen
 
 
@@ -103,7 +103,7 @@ def label_model(votes: np.ndarray, gold: np.ndarray, weight: np.ndarray, rounds:
     return q
 
 
-def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 0.3) -> np.ndarray:
+def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 0.05) -> np.ndarray:
     """Weights (the last is the constant) of a ridge logistic regression on soft labels."""
     x = np.column_stack([x, np.ones(len(x))]).astype(np.float64)
     beta = np.zeros(x.shape[1])
@@ -125,25 +125,35 @@ class ToxicityModel:
 
     def __init__(self, terms: list[str], beta: np.ndarray) -> None:
         self.place = {t: i for i, t in enumerate(terms)}
+        self.stems = {t.rstrip("*") for t in terms if t[-1] == "*"}
         self.beta = beta
 
-    def features(self, text: str | None) -> list[int]:
-        place = self.place
-        stems = {t[:-1] for t in place if t[-1] == "*"} if not hasattr(self, "_stems") else self._stems
-        self._stems = stems
-        found = set()
-        for w in words_of(text):
-            if w in place:
+    def features(self, text: str | None) -> tuple[list[int], int]:
+        """The terms that the text holds, and how many of its words, repeats included, meet one."""
+        place, stems = self.place, self.stems
+        words = Counter(WORD.findall(text.lower())) if text else Counter()
+        found, met, repeats = set(), Counter(), 0
+        for w, n in words.items():
+            meets = w in place
+            if meets:
                 found.add(place[w])
-            for n in STEMS:
-                if len(w) > n and w[:n] in stems:
-                    found.add(place[w[:n] + "*"])
-        return sorted(found)
-
-    def row(self, found: list[int]) -> np.ndarray:
-        x = np.zeros(len(self.place) + 2)
+            for k in STEMS:
+                if w[:k] in stems and len(w) > k:
+                    met[w[:k]] += 1
+                    meets = True
+            repeats += n * meets
+        for stem, n in met.items():
+            if (at := place.get(stem + "*")) is not None:
+                found.add(at)
+            if n > 1 and (at := place.get(stem + "**")) is not None:
+                found.add(at)
+        return sorted(found), repeats
+
+    def row(self, features: tuple[list[int], int]) -> np.ndarray:
+        found, repeats = features
+        x = np.zeros(len(self.place) + 3)
         x[found] = 1
-        x[-2], x[-1] = bool(found), min(len(found), 4) / 4
+        x[-3], x[-2], x[-1] = bool(found), bool(found) and repeats > 1, min(len(found), 4) / 4
         return x
 
     def score(self, text: str | None) -> float:
@@ -159,16 +169,16 @@ def train(labelled: DataFrame, sample: int = SAMPLE) -> ToxicityModel:
     rows = bounded_sample(labelled.filter("toxic in (0, 1)"), "toxic", sample, "id")
     toxic = np.array([r["toxic"] for r in rows], dtype=np.int64)
     if not len(rows) or not toxic.any():
-        return ToxicityModel([], np.array([0.0, 0.0, -30.0]))
+        return ToxicityModel([], np.array([0.0, 0.0, 0.0, -30.0]))
     counts = {r["toxic"]: r["n"] for r in labelled.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     drawn = {c: max(1, int((toxic == c).sum())) for c in (0, 1)}
     weight = np.array([counts[c] / drawn[c] for c in toxic], dtype=np.float64)
     weight *= len(weight) / weight.sum()
     bags = [words_of(r["text"]) for r in rows]
     terms = select_terms(bags, toxic, weight)
-    model = ToxicityModel(terms, np.zeros(len(terms) + 3))
+    model = ToxicityModel(terms, np.zeros(len(terms) + 4))
     x = np.array([model.row(model.features(r["text"])) for r in rows])
-    q = label_model(np.column_stack([x[:, :VOTERS], x[:, -2:] >= 0.5]), toxic, weight)
+    q = label_model(np.column_stack([x[:, :VOTERS], x[:, -3:] >= 0.5]), toxic, weight)
     model.beta = logistic(x, q, weight)
     return model
 
