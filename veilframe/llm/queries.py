@@ -11,7 +11,9 @@ from pyspark.sql import functions as F
 from veilframe.llm.bpe import encode_texts
 from veilframe.llm.common import read
 from veilframe.llm.langid import languages
+from veilframe.llm.mixing import mixture
 from veilframe.llm.simhash_dedup import hex_word, simhash_components
+from veilframe.llm.topk import top_k
 from veilframe.llm.toxicity import toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -50,3 +52,30 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity score of every text."""
     return toxicity(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
+@query
+def op2_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best inner products for every hundredth vector."""
+    return top_k(read(spark, sf_dir, "embeddings"), F.col("id") % 100 == 0)
+
+
+SQL["op2_exact_top_k"] = """
+WITH v AS (
+    SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * CAST(x AS DOUBLE))) AS v FROM embeddings
+    WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+      AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+    SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(q.v, c.v) AS BIGINT) AS score
+    FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 100 = 0
+)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM (
+    SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s
+) WHERE rank <= 10
+"""
+
+
+@query
+def op3_temperature_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The mixed order of the corpus: every use of every document."""
+    return mixture(read(spark, sf_dir, "documents"))
