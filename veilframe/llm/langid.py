@@ -26,6 +26,7 @@ BATCH = 768
 SAMPLE = 400  # labelled rows of each language that training may use
 MEMO = 1 << 19
 UNKNOWN = "und"
+LEAST_SCORE = 0.3  # of a document in a known language
 
 
 def segments(text: str) -> list[bytes]:
@@ -225,34 +226,41 @@ class Scorer:
         return out
 
 
-def identify(docs: DataFrame, id_col: str, text_col: str, model: ByteGru | None) -> DataFrame:
-    """All columns of ``docs`` with ``lang_pred, lang_score`` in front of them.
-
-    A text that is null or has no letter is ``und`` with score 0, as is every text if nothing
-    could be learned.  Rows are kept as they are, repeated ones too.
-    """
-    names = docs.columns
-    kept = docs.select(F.col(text_col).alias("_lang_text"), F.struct(*[docs[c] for c in names]).alias("_row"))
+def label_rows(docs: DataFrame, text_col: str, model: ByteGru | None) -> DataFrame:
+    """``_lang, _score, _row``: language and score of every row's whole text, and the row as a
+    struct.  A text that is null or has no letter is ``und`` with score 0, as is every text
+    if nothing could be learned."""
+    at = docs.columns.index(text_col)
+    kept = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("_row"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(model) if model else None
         for batch in text_batches(batches, 256):
-            texts = [t or "" for t in batch.column(0).to_pylist()]
+            texts = [t or "" for t in batch.column(0).flatten()[at].to_pylist()]
             found = scorer.documents(texts) if scorer else [(UNKNOWN, 0.0)] * len(texts)
             yield pa.RecordBatch.from_arrays(
                 [pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64()),
-                 batch.column(1)], ["lang_pred", "lang_score", "_row"])
+                 batch.column(0)], ["_lang", "_score", "_row"])
 
     kind = kept.schema["_row"].dataType.simpleString()
-    out = kept.mapInArrow(run, f"lang_pred string, lang_score double, _row {kind}")
-    return out.select("lang_pred", "lang_score", *(F.col("_row").getField(c).alias(c) for c in names))
+    return kept.mapInArrow(run, f"_lang string, _score double, _row {kind}")
+
+
+def reject_unknown(docs: DataFrame, text_col: str, model: ByteGru | None) -> DataFrame:
+    """The rows of ``docs`` in a known language, with their columns; repeated rows stay or go
+    together."""
+    kept = label_rows(docs, text_col, model).filter(
+        (F.col("_lang") != UNKNOWN) & (F.col("_score") >= LEAST_SCORE))
+    return kept.select(*(F.col("_row").getField(c).alias(c) for c in docs.columns))
 
 
 def languages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
               sample: int = SAMPLE) -> DataFrame:
     """``id_col, held_out, lang_pred, score`` of every row; learns from rows not held out,
-    those whose crc32 of the id leaves another rest than 2 by 4."""
+    those whose crc32 of the id leaves another rest than 2 by 4.  Repeated rows stay."""
     test = held_out(id_col, 4, 2)
     model = train(docs.filter(~test), text_col, lang_col, id_col, sample)
-    out = identify(docs.select(id_col, text_col), id_col, text_col, model)
-    return out.select(id_col, test.alias("held_out"), "lang_pred", F.col("lang_score").alias("score"))
+    out = label_rows(docs.select(id_col, text_col), text_col, model).select(
+        F.col("_row").getField(id_col).alias(id_col), F.col("_lang").alias("lang_pred"),
+        F.col("_score").alias("score"))
+    return out.select(id_col, test.alias("held_out"), "lang_pred", "score")

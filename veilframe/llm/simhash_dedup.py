@@ -9,6 +9,7 @@ therefore meets in at least one of the ``2 ** (radius + 1) - 1`` tables.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -142,6 +143,107 @@ def simhash_components(docs: DataFrame, id_col: str, text_col: str, n: int = 3)
     return fps.join(by_fp, "fp").select("id", "fp", "component_id")
 
 
+SIMILARITY = 0.8
+SHINGLE = 5
+RADIUS = 5
+PARTS = 2
+
+
+def profile(text: str | None) -> tuple[str, list[int]]:
+    """A key of the text, and its word SimHashes: distinct words vote with 1 + ln(count).
+
+    Words, not shingles, vote: an edit of one word then moves one voter and not five, so that
+    texts with four fifths of their five-word shingles in common differ in few bits.
+    """
+    counts = Counter(words(text))
+    key = xxhash.xxh3_128_hexdigest((text or "").encode())
+    if not counts:
+        return key, [0] * PARTS
+    digests = b"".join(xxhash.xxh3_128_digest(w) for w in counts)
+    signs = np.unpackbits(np.frombuffer(digests, np.uint8).reshape(-1, 8 * PARTS), axis=1)
+    votes = (1 + np.log(np.fromiter(counts.values(), np.float32, len(counts))))
+    packed = np.packbits(2 * (votes @ signs.astype(np.float32)) > votes.sum())
+    return key, [int(v) for v in packed.view(">i8")]
+
+
+def profiles(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in text_batches(batches, 256):
+            found = [profile(t.as_py()) for t in batch.column(1)]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array([k for k, _ in found]),
+                 pa.array([f for _, f in found], pa.list_(pa.int64()))], ["id", "key", "fps"])
+
+    kept = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    return kept.filter("id is not null").mapInArrow(run, "id long, key string, fps array<long>")
+
+
+def shingle_sets(docs: DataFrame) -> DataFrame:
+    """``id, shingles``: the distinct five-word shingles of whole texts as hashes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in text_batches(batches, 64):
+            sets = [sorted({signed(xxhash.xxh64_intdigest(s, 42)) for s in shingles(words(t.as_py()), SHINGLE)})
+                    for t in batch.column(1)]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array(sets, pa.list_(pa.int64()))], ["id", "shingles"])
+
+    return docs.mapInArrow(run, "id long, shingles array<long>")
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``id, root`` of every id that is in a group with another: exact copies, and texts whose
+    five-word shingles have a Jaccard similarity of 0.8 or more; ``root`` is the smallest id.
+
+    Equal texts are one text from here on.  Each has two 64-bit SimHashes, and the covering
+    tables of radius 5 bring together every pair that is within the radius in either.  An
+    entry of a table is never compared all to all: its members are compared with its smallest
+    and its largest id, and those pairs are checked on the shingles of the whole texts.
+    Texts of fewer than five words are near only to texts of the same words.  Null and empty
+    texts are copies of each other.  Rows of one id are one document; null ids take no part.
+    """
+    every = stage(profiles(docs, id_col, text_col), "profiles")
+    texts = stage(every.groupBy("key").agg(F.min("id").alias("id"), F.min("fps").alias("fps")), "texts")
+    masks = covering_masks(RADIUS)
+    slots = F.array(*(
+        F.xxhash64(F.lit(p * len(masks) + t), F.col("fps")[p].bitwiseAND(F.lit(signed(m))))
+        for p in range(PARTS) for t, m in enumerate(masks)
+    ))
+    placed = texts.select("id", F.explode(slots).alias("slot"))
+    entries = placed.groupBy("slot").agg(
+        F.count("*").alias("n"), F.min("id").alias("low"), F.max("id").alias("high")
+    ).filter("n > 1").drop("n")
+    ends = stage(entries, "slots")
+    pairs = (
+        placed.join(ends, "slot").select("id", F.explode(F.array("low", "high")).alias("other"))
+        .filter("id <> other").select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b"))
+        .distinct()
+    )
+    fps = texts.select(F.col("id").alias("a"), F.col("fps").alias("fa"))
+    near = F.least(*(F.bit_count(F.col("fa")[p].bitwiseXOR(F.col("fb")[p])) for p in range(PARTS))) <= RADIUS
+    pairs = stage(
+        pairs.join(fps, "a").join(fps.toDF("b", "fb"), "b").filter(near).select("a", "b"), "pairs"
+    )
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    body = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    sets = stage(shingle_sets(body.join(wanted, "id", "left_semi").dropDuplicates(["id"])), "shingles")
+    left, right = sets.toDF("a", "sa"), sets.toDF("b", "sb")
+    shared = F.size(F.array_intersect("sa", "sb"))
+    close = shared >= SIMILARITY * (F.size("sa") + F.size("sb") - shared)
+    links = pairs.join(left, "a").join(right, "b").filter(close & (F.size("sa") > 0)).select("a", "b")
+    roots = components(links)
+    by_text = texts.select("key", F.col("id").alias("node")).join(roots, "node", "left").select(
+        "key", F.coalesce("root", "node").alias("root"))
+    return every.select("id", "key").join(by_text, "key").groupBy("id").agg(F.min("root").alias("root"))
+
+
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` without those of ids that are not the smallest of their group."""
+    extra = near_duplicates(docs, id_col, text_col).filter("id <> root").select(F.col("id").alias("_extra"))
+    extra = stage(extra, "extra")
+    return docs.join(extra, docs[id_col] == extra["_extra"], "left_anti")
+
+
 def hex_word(column: str) -> Column:
     """A 64-bit word as 16 lower-case hex digits."""
     return F.lower(F.lpad(F.hex(column), 16, "0"))

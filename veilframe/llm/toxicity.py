@@ -183,21 +183,26 @@ def train(labelled: DataFrame, sample: int = SAMPLE) -> ToxicityModel:
     return model
 
 
-def score_texts(docs: DataFrame, text_col: str, model: ToxicityModel) -> DataFrame:
-    """All columns of ``docs`` with ``tox_score`` in front of them.  A null or empty text has
-    the score of a text without any term.  Repeated rows stay."""
-    names = docs.columns
-    kept = docs.select(F.col(text_col).alias("_tox_text"), F.struct(*[docs[c] for c in names]).alias("_row"))
+def score_rows(docs: DataFrame, text_col: str, model: ToxicityModel) -> DataFrame:
+    """``_score, _row``: the score of every row's whole text, and the row as a struct."""
+    at = docs.columns.index(text_col)
+    kept = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("_row"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_batches(batches, 256):
-            scores = [model.score(t.as_py()) for t in batch.column(0)]
+            scores = [model.score(t.as_py()) for t in batch.column(0).flatten()[at]]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(scores, pa.float64()), batch.column(1)], ["tox_score", "_row"])
+                [pa.array(scores, pa.float64()), batch.column(0)], ["_score", "_row"])
 
     kind = kept.schema["_row"].dataType.simpleString()
-    out = kept.mapInArrow(run, f"tox_score double, _row {kind}")
-    return out.select("tox_score", *(F.col("_row").getField(c).alias(c) for c in names))
+    return kept.mapInArrow(run, f"_score double, _row {kind}")
+
+
+def reject_toxic(docs: DataFrame, text_col: str, model: ToxicityModel) -> DataFrame:
+    """The rows of ``docs`` below the threshold, with their columns.  A null or empty text has
+    the score of a text without any term, and repeated rows stay or go together."""
+    kept = score_rows(docs, text_col, model).filter(F.col("_score") < THRESHOLD)
+    return kept.select(*(F.col("_row").getField(c).alias(c) for c in docs.columns))
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -211,8 +216,9 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     """``id_col, held_out, score, predicted`` of every row; learns from labelled rows not held
     out, those whose crc32 of the id leaves another rest than 1 by 3."""
     model = train(training_rows(docs, labels, id_col, text_col))
-    out = score_texts(docs.select(id_col, text_col), text_col, model)
+    scored = score_rows(docs.select(id_col, text_col), text_col, model)
+    out = scored.select(F.col("_row").getField(id_col).alias(id_col), F.col("_score").alias("score"))
     return out.select(
-        id_col, held_out(id_col, 3, 1).alias("held_out"), F.col("tox_score").alias("score"),
-        (F.col("tox_score") >= THRESHOLD).cast("int").alias("predicted"),
+        id_col, held_out(id_col, 3, 1).alias("held_out"), "score",
+        (F.col("score") >= THRESHOLD).cast("int").alias("predicted"),
     )
