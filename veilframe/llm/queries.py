@@ -11,11 +11,13 @@ from pyspark.sql import functions as F
 from veilframe.llm.bpe import encode_texts
 from veilframe.llm.chat import formatted_conversations
 from veilframe.llm.common import read
+from veilframe.llm.fingerprints import document_fingerprints
 from veilframe.llm.langid import languages
 from veilframe.llm.mixing import mixture
 from veilframe.llm.simhash_dedup import hex_word, simhash_components
 from veilframe.llm.topk import top_k
 from veilframe.llm.toxicity import toxicity
+from veilframe.llm.url_lists import dated_pages, evaluate, listed_hosts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -110,3 +112,53 @@ WITH c AS (
 SELECT conv_id, n_turns, sha256(told) AS turns_sha256, length(loss) AS loss_chars,
     sha256(loss) AS loss_sha256, formatted_chars FROM g
 """
+
+
+@query
+def op8_url_list_asof(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page's URL against the list entries active on its fetch day."""
+    pages = read(spark, sf_dir, "pages").select("page_id", "url")
+    found = evaluate(dated_pages(pages), listed_hosts(pages)).withColumnRenamed("id", "page_id")
+    return found.withColumns({c: F.col(c).cast("string") for c in ("day", "since", "until")})
+
+
+SQL["op8_url_list_asof"] = r"""
+WITH p AS (
+    SELECT page_id, url, DATE '2024-01-01' + CAST((page_id * 37) % 366 AS INTEGER) AS day,
+        regexp_replace(lower(regexp_extract(url, '^(?i:https?)://(?:[^/?#@]*@)?([^/?#:@]+)', 1)), '\.$', '') AS host,
+        regexp_extract(url, '^(?i:https?)://[^/?#]*/([^/?#]+)', 1) AS segment
+    FROM pages
+), l AS (
+    SELECT *, string_split(host, '.') AS labels FROM p
+), k AS (
+    SELECT page_id, url, day, n AS specificity, array_to_string(labels[len(labels) - n + 1:], '.') AS key
+    FROM l, unnest(range(least(2, len(labels)), len(labels) + 1)) AS t(n) WHERE host <> ''
+    UNION ALL
+    SELECT page_id, url, day, len(labels) + 1, host || '/' || segment FROM l WHERE host <> '' AND segment <> ''
+), e0 AS (
+    SELECT DISTINCT key, md5(key) AS m FROM k
+), e1 AS (
+    SELECT key, CAST('0x' || substr(m, 1 + 4 * i, 4) AS INTEGER) AS d FROM e0, unnest([1, 2, 3]) AS t(i)
+    WHERE CAST('0x' || substr(m, 1, 4) AS INTEGER) % 3 = 0
+), e AS (
+    SELECT key, DATE '2023-12-01' + d % 400 AS since, max(CASE d % 3 WHEN 0 THEN 'remove' WHEN 1 THEN 'allow' ELSE 'block' END) AS action
+    FROM e1 GROUP BY ALL
+), v AS (
+    SELECT *, lead(since) OVER (PARTITION BY key ORDER BY since) AS until FROM e
+), j AS (
+    SELECT k.page_id, k.specificity, k.key, v.action, v.since, v.until
+    FROM k ASOF JOIN v ON k.key = v.key AND k.day >= v.since
+), b AS (
+    SELECT * FROM j WHERE action <> 'remove'
+    QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY specificity DESC) = 1
+)
+SELECT p.page_id, p.url, CAST(p.day AS VARCHAR) AS day, coalesce(b.action, 'none') AS verdict, b.key AS rule,
+    CAST(b.since AS VARCHAR) AS since, CAST(b.until AS VARCHAR) AS until
+FROM p LEFT JOIN b USING (page_id)
+"""
+
+
+@query
+def op10_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every text and of its edited text."""
+    return document_fingerprints(read(spark, sf_dir, "documents"))
