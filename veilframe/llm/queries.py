@@ -13,6 +13,7 @@ from veilframe.llm.chat import formatted_conversations
 from veilframe.llm.common import read
 from veilframe.llm.fingerprints import document_fingerprints
 from veilframe.llm.langid import languages
+from veilframe.llm.license_scan import license_report
 from veilframe.llm.mixing import mixture
 from veilframe.llm.simhash_dedup import hex_word, simhash_components
 from veilframe.llm.topk import top_k
@@ -162,3 +163,9 @@ FROM p LEFT JOIN b USING (page_id)
 def op10_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints of every text and of its edited text."""
     return document_fingerprints(read(spark, sf_dir, "documents"))
+
+
+@query
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licence paragraphs of every document."""
+    return license_report(read(spark, sf_dir, "documents"))
