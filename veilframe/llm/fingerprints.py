@@ -90,7 +90,7 @@ def table_keys(prefix: str, radius: int) -> Column:
     """One key for each permuted table: with ``radius`` of the blocks possibly changed, the
     others are equal in one of the tables."""
     return F.array(*(
-        F.struct(F.lit(t).alias("t"), F.xxhash64(*(block(prefix, i) for i in same)).alias("key"))
+        F.xxhash64(F.lit(t), *(block(prefix, i) for i in same))
         for t, same in enumerate(combinations(range(BLOCKS), BLOCKS - radius))
     ))
 
@@ -105,24 +105,23 @@ def within_radius(fingerprints: DataFrame, queries: DataFrame, radius: int = RAD
     groups = list(combinations(range(BLOCKS), BLOCKS - radius))
     base = fingerprints.select("hi", "lo").distinct()
     asked = queries.select(F.col("hi").alias("qhi"), F.col("lo").alias("qlo")).distinct()
-    left = asked.select("qhi", "qlo", F.explode(table_keys("q", radius)).alias("e")).select(
-        "qhi", "qlo", F.col("e.t").alias("qt"), F.col("e.key").alias("qkey"))
-    right = base.select("hi", "lo", F.explode(table_keys("", radius)).alias("e")).select("hi", "lo", "e.t", "e.key")
+    left = asked.select("qhi", "qlo", F.explode(table_keys("q", radius)).alias("slot"))
+    right = base.select("hi", "lo", F.explode(table_keys("", radius)).alias("key"))
     equal = [F.when(block("", i) == block("q", i), F.lit(1 << i)).otherwise(F.lit(0)) for i in range(BLOCKS)]
     agreed = equal[0]
     for e in equal[1:]:
         agreed = agreed.bitwiseOR(e)
-    first = F.lit(len(groups))
+    first = F.lit(None).cast("long")
     for t in reversed(range(len(groups))):
         need = sum(1 << i for i in groups[t])
-        first = F.when(agreed.bitwiseAND(F.lit(need)) == need, F.lit(t)).otherwise(first)
-    met = left.join(right, (F.col("qt") == F.col("t")) & (F.col("qkey") == F.col("key")) & (
-        distance("", "q") <= radius) & (F.col("t") == first))
+        meets = F.xxhash64(F.lit(t), *(block("q", i) for i in groups[t]))
+        first = F.when(agreed.bitwiseAND(F.lit(need)) == need, meets).otherwise(first)
+    met = left.join(right, (F.col("slot") == F.col("key")) & (distance("", "q") <= radius) & (F.col("slot") == first))
     return met.select("qhi", "qlo", "hi", "lo", distance("", "q").alias("distance"))
 
 
 def with_next(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``row, id, text, next_row, next_text``: every row beside the next by descending id.
+    """``bucket, row, id, text, next_row, next_text``: every row beside the next by descending id.
 
     Ids are cut into ranges at quantiles that are ids of the table; the row with such an id is
     also dealt to the range above it, where it precedes the first row, and the rows with the
@@ -144,11 +143,11 @@ def with_next(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     above = F.when(on_cut, F.pmod(number + 1, F.lit(max(1, len(cuts)))))
     dealt = base.select("*", F.explode(F.filter(F.array(
         F.struct(number.alias("bucket"), F.lit(1).alias("own")),
-        F.struct(above.alias("bucket"), F.lit(0).alias("own"))), lambda s: s.bucket.isNotNull())).alias("d"))
-    tie = F.xxhash64("text")
-    order = W.partitionBy("d.bucket").orderBy("d.own", "at", tie, "row")
+        F.struct(above.alias("bucket"), F.lit(0).alias("own"))), lambda s: s.bucket.isNotNull())).alias("d")
+    ).select("d.bucket", "d.own", "row", "id", "at", "text")
+    order = W.partitionBy("bucket").orderBy("own", "at", F.xxhash64("text"), "row")
     placed = dealt.withColumn("next_row", F.lag("row").over(order)).withColumn("next_text", F.lag("text").over(order))
-    return placed.filter("d.own = 1").select("row", "id", "text", "next_row", "next_text")
+    return placed.filter("own = 1").select("bucket", "row", "id", "text", "next_row", "next_text")
 
 
 def edited(text: Column, following: Column) -> Column:
@@ -165,10 +164,11 @@ def document_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str
     next.  Repeated rows and ids give one row each.  ``near_rows`` says, for ids divisible by
     50, how many other rows have a fingerprint within six bits; it is null for other ids.
     """
-    told = ["row", "id", "next_row", "n_chars", "edited_sha256"]
+    # the rows stay where the ranges put them: grouping by range and row needs no shuffle
+    told = ["bucket", "row", "id", "next_row", "n_chars", "edited_sha256"]
     pair = with_next(docs, id_col, text_col).withColumn("edited", edited(F.col("text"), F.col("next_text")))
     versions = pair.select(
-        "row", "id", "next_row", F.length("text").cast("long").alias("n_chars"),
+        "bucket", "row", "id", "next_row", F.length("text").cast("long").alias("n_chars"),
         F.sha2("edited", 256).alias("edited_sha256"),
         F.explode(F.array(*(F.struct(F.lit(v).alias("v"), F.col(c).alias("body"))
                             for v, c in enumerate(("text", "edited"))))).alias("e"),
