@@ -20,6 +20,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from veilframe.llm.common import bounded_sample
+
 TOKEN = r"[a-z0-9]+(?:[.-][a-z0-9]+)*"
 UNKNOWN = "unknown"
 SAMPLE = 400  # documents whose paragraphs may serve as examples of no licence
@@ -194,9 +196,9 @@ def _sparse_softmax(x: np.ndarray, y: np.ndarray, k: int, l1: float = 2e-4, roun
 
 
 def train(docs: DataFrame, text_col: str, sample: int = SAMPLE) -> LicenseModel:
-    """Fit on paragraphs of at most ``sample`` texts, those with the smallest hashes."""
-    rows = docs.filter(F.col(text_col).isNotNull()).select(F.col(text_col).alias("t")).orderBy(
-        F.xxhash64("t")).limit(sample).collect()
+    """Fit on paragraphs of at most ``sample`` texts, chosen by a hash of the text."""
+    texts = docs.filter(F.col(text_col).isNotNull()).select(F.lit(0).alias("all"), F.col(text_col).alias("t"))
+    rows = bounded_sample(texts, "all", sample, "t")
     return fit([line for r in rows for line in r["t"].split("\n") if line.strip()])
 
 
