@@ -38,6 +38,10 @@ def test_trees_equal_the_library(coder, library):
     for _ in range(200):
         token = "".join(rng.choices("etaoinshr", k=rng.randint(1, 900)))
         assert coder.tree(token.encode()) == library.encode(token, add_special_tokens=False).ids
+    mixed = " ".join(
+        "".join(rng.choices("etaoin'.,;!<|>éßñ12😀\xa0\x85\x1c", k=rng.randint(1, 12))) + rng.choice(["", "\n", " \n", "'s", "<|endoftext|>"])
+        for _ in range(6000))
+    assert coder.fast and coder.encode(mixed) == library.encode(mixed, add_special_tokens=False).ids
     assert coder.memo and coder.long_unit("x" * 3000) == coder.encode("x" * 3000)
 
 

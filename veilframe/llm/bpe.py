@@ -2,7 +2,7 @@
 
 A text falls apart at every change from visible characters to white space: no pre-token
 spans one, so the pieces between (units) are encoded on their own, each distinct unit of a
-task once.  What has no such change is *unsplit*; its pre-tokens may be long, and merging a
+task once; a library for ranks encodes plain ones, the tokenizer itself the others.  What has no such change is *unsplit*; its pre-tokens may be long, and merging a
 long pre-token step by step costs more than linear time.  A long pre-token is therefore
 encoded as a tree: both halves on their own, then the join is mended by re-encoding a window
 around it, which grows until its first token equals the left half's token there and its last
@@ -20,10 +20,14 @@ import hashlib
 import heapq
 import json
 import re
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 from functools import lru_cache
+from itertools import chain
 
+import numpy as np
+import public_tokenizers
 import pyarrow as pa
+import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -32,6 +36,8 @@ from veilframe.llm.common import text_batches
 # Unicode White_Space, as the tokenizer's own expression has it (fixed values).
 SPACE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 UNIT = re.compile(f"[{SPACE}]*[^{SPACE}]+|[{SPACE}]+")
+# A unit with its white space whose characters every Unicode version classes alike.
+PLAIN = re.compile("[ \n][!-~\xc0-\xd6\xd8-\xf6\xf8-\xff]+")
 LEAF = 64
 LONG = 256
 PARALLEL = 1 << 16
@@ -67,6 +73,14 @@ class Codec:
             (self.ids[a], self.ids[b]): (rank, self.ids[a + b]) for rank, (a, b) in enumerate(pairs)
         }
         self.memo: dict[str, tuple[int, str, bytes]] = {}
+        self.size = np.zeros(1 + max(self.bytes), np.int64)
+        for i, t in self.bytes.items():
+            self.size[i] = len(t)
+        self.fast = None
+        made = [joined for _, joined in self.ranks.values()]
+        if made == sorted(made) and len(made) + 256 == len(self.ids):  # ids follow the merges
+            self.fast = tiktoken.Encoding(
+                "by rank", pat_str=public_tokenizers.PATTERN, mergeable_ranks=self.ids, special_tokens={})
 
     def merge(self, data: bytes) -> list[int]:
         """BPE of a pre-token's bytes, best rank first, leftmost first among equals."""
@@ -148,6 +162,14 @@ class Codec:
         if len(self.memo) > MEMO:
             self.memo.clear()
         fresh = [u for u in dict.fromkeys(units) if u not in self.memo]
+        plain = [
+            u for u in fresh if self.fast and len(u) <= LONG and PLAIN.fullmatch(u)
+            and not any(s in u for s in self.special)
+        ]
+        for at in range(0, len(plain), 1000):
+            self.keep_joined(plain[at : at + 1000])
+        if plain:
+            fresh = [u for u in fresh if u not in self.memo]
         short = [u for u in fresh if len(u) <= LONG]
         for unit, coded in zip(short, self.library.encode_batch_fast(short, add_special_tokens=False)):
             self.keep(unit, coded.ids)
@@ -155,6 +177,17 @@ class Codec:
             if len(unit) > LONG:
                 self.keep(unit, self.long_unit(unit))
 
+    def keep_joined(self, units: list[str]) -> None:
+        """Encode units side by side: each begins with white space after a visible character,
+        so they do not touch each other, and byte counts say whose the ids are."""
+        ids = self.fast.encode_ordinary("".join(units))
+        ends = np.cumsum([len(u.encode()) for u in units])
+        cuts = np.searchsorted(np.cumsum(self.size[ids]), ends) + 1
+        begin = 0
+        for unit, end in zip(units, cuts.tolist()):
+            self.keep(unit, ids[begin:end])
+            begin = end
+
     def keep(self, unit: str, ids: list[int]) -> None:
         self.memo[unit] = len(ids), ",".join(map(str, ids)), b"".join(map(self.bytes.__getitem__, ids))
 
@@ -198,7 +231,7 @@ def encode_texts(
     names = ["n_tokens", "ids_sha256", "decoded_sha256"] if digest else ["n_tokens", "ids", "decoded"]
     schema = f"id long, {names[0]} long, {names[1]} string, {names[2]} string"
 
-    def finish(ids: list[str], decoded: list[bytes]) -> tuple[str, str]:
+    def finish(ids: Sequence[str], decoded: Sequence[bytes]) -> tuple[str, str]:
         joined, text = ",".join(ids), b"".join(decoded).decode("utf-8", errors="replace")
         if not digest:
             return joined, text
@@ -209,12 +242,12 @@ def encode_texts(
         for batch in text_batches(batches, 128):
             texts = [t or "" for t in batch.column(1).to_pylist()]
             units = [UNIT.findall(t) for t in texts]
+            coder.remember(list(chain.from_iterable(units)))
             counts, firsts, seconds = [], [], []
             for found in units:
-                coder.remember(found)
-                kept = [coder.memo[u] for u in found]
-                a, b = finish([x[1] for x in kept], [x[2] for x in kept])
-                counts.append(sum(x[0] for x in kept))
+                n, ids, decoded = zip(*map(coder.memo.__getitem__, found)) if found else ((), (), ())
+                a, b = finish(ids, decoded)
+                counts.append(sum(n))
                 firsts.append(a)
                 seconds.append(b)
             yield pa.RecordBatch.from_arrays(
@@ -222,8 +255,8 @@ def encode_texts(
                  pa.array(seconds, pa.string())], ["id", *names])
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    unsplit = F.regexp_count("text", F.lit(f"[^{SPACE}]{{{max(1, parallel // 4)}}}"))
-    rows = rows.withColumn("long", F.coalesce((F.length("text") * 4 > parallel) & (unsplit > 0), F.lit(False)))
+    unsplit = F.col("text").rlike(f"(?:^|[{SPACE}])[^{SPACE}]{{{max(1, parallel // 4)}}}")
+    rows = rows.withColumn("long", F.coalesce((F.length("text") * 4 > parallel) & unsplit, F.lit(False)))
     done = rows.filter(~F.col("long")).select("id", "text").mapInArrow(whole, schema)
     return done.unionByName(
         _encode_unsplit(rows.filter("long").select("id", "text"), shared, finish, parallel, schema)
