@@ -22,8 +22,8 @@ from veilframe.sources.stage import stage
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score under 0.7."""
-    rows = toxicity.training_rows(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"), "doc_id", "text")
-    return toxicity.reject_toxic(docs, "text", toxicity.train(rows))
+    model = toxicity.train(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"), "doc_id", "text")
+    return toxicity.reject_toxic(docs, "text", model)
 
 
 def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -161,18 +161,27 @@ class ToxicityModel:
         return float(1 / (1 + np.exp(-np.clip(logit, -30, 30))))
 
 
-def train(labelled: DataFrame, sample: int = SAMPLE) -> ToxicityModel:
-    """Fit on ``id, text, toxic``; at most ``sample`` rows of each class reach the driver.
+def train(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, sample: int = SAMPLE) -> ToxicityModel:
+    """Fit on labelled rows that are not held out (``labels`` has ``doc_id, toxic``).
 
-    With no toxic row, every score is 0.
+    At most ``sample`` ids of each class are drawn from the labels; only their texts are
+    looked up, by a list of ids that this bounds, and reach the driver.  Of several labels of
+    an id the greatest holds.  With no toxic row, every score is 0.
     """
-    rows = bounded_sample(labelled.filter("toxic in (0, 1)"), "toxic", sample, "id")
-    toxic = np.array([r["toxic"] for r in rows], dtype=np.int64)
+    marked = labels.filter(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out("doc_id", 3, 1))
+    marked = marked.groupBy(F.col("doc_id").cast("long").alias("id")).agg(F.max("toxic").cast("int").alias("toxic"))
+    counts = {r["toxic"]: r["n"] for r in marked.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
+    drawn = [(r["id"], r["toxic"]) for r in bounded_sample(marked, "toxic", sample, "id")]
+    ids = docs.sparkSession.createDataFrame(drawn, "_id long, _toxic int")
+    rows = sorted(
+        docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+        .join(F.broadcast(ids), F.col("id") == F.col("_id")).select("id", "text", "_toxic").collect(),
+        key=lambda r: (r["id"], r["text"] or ""))
+    toxic = np.array([r["_toxic"] for r in rows], dtype=np.int64)
     if not len(rows) or not toxic.any():
         return ToxicityModel([], np.array([0.0, 0.0, 0.0, -30.0]))
-    counts = {r["toxic"]: r["n"] for r in labelled.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
-    drawn = {c: max(1, int((toxic == c).sum())) for c in (0, 1)}
-    weight = np.array([counts[c] / drawn[c] for c in toxic], dtype=np.float64)
+    found = {c: max(1, int((toxic == c).sum())) for c in (0, 1)}
+    weight = np.array([counts[c] / found[c] for c in toxic], dtype=np.float64)
     weight *= len(weight) / weight.sum()
     bags = [words_of(r["text"]) for r in rows]
     terms = select_terms(bags, toxic, weight)
@@ -205,17 +214,10 @@ def reject_toxic(docs: DataFrame, text_col: str, model: ToxicityModel) -> DataFr
     return kept.select(*(F.col("_row").getField(c).alias(c) for c in docs.columns))
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``id, text, toxic`` of labelled rows that are not held out."""
-    left = docs.filter(~held_out(id_col, 3, 1)).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    right = labels.select(F.col("doc_id").alias("id"), F.col("toxic").cast("int").alias("toxic"))
-    return left.join(right.filter("toxic is not null").dropDuplicates(["id"]), "id")
-
-
 def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id_col, held_out, score, predicted`` of every row; learns from labelled rows not held
     out, those whose crc32 of the id leaves another rest than 1 by 3."""
-    model = train(training_rows(docs, labels, id_col, text_col))
+    model = train(docs, labels, id_col, text_col)
     scored = score_rows(docs.select(id_col, text_col), text_col, model)
     out = scored.select(F.col("_row").getField(id_col).alias(id_col), F.col("_score").alias("score"))
     return out.select(
