@@ -41,7 +41,7 @@ PLAIN = re.compile("[ \n][!-~\xc0-\xd6\xd8-\xf6\xf8-\xff]+")
 LEAF = 64
 LONG = 256
 PARALLEL = 1 << 16
-MEMO = 1 << 20
+MEMO = 1 << 18  # units that a task remembers
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -159,9 +159,10 @@ class Codec:
 
     def remember(self, units: list[str]) -> None:
         """Encode the units that this task has not met yet."""
-        if len(self.memo) > MEMO:
-            self.memo.clear()
         fresh = [u for u in dict.fromkeys(units) if u not in self.memo]
+        if len(self.memo) + len(fresh) > MEMO:
+            self.memo.clear()
+            fresh = list(dict.fromkeys(units))
         plain = [
             u for u in fresh if self.fast and len(u) <= LONG and PLAIN.fullmatch(u)
             and not any(s in u for s in self.special)
@@ -200,7 +201,7 @@ class Codec:
         return b"".join(map(self.bytes.__getitem__, ids)).decode("utf-8", errors="replace")
 
 
-@lru_cache(maxsize=2)
+@lru_cache(maxsize=1)
 def codec(vocabulary: str) -> Codec:
     return Codec(vocabulary)
 
@@ -238,8 +239,9 @@ def encode_texts(
         return hashlib.sha256(joined.encode()).hexdigest(), hashlib.sha256(text.encode()).hexdigest()
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = codec(shared.value)
+        coder = None
         for batch in text_batches(batches, 128):
+            coder = coder or Codec(shared.value)  # the task's own, gone with it
             texts = [t or "" for t in batch.column(1).to_pylist()]
             units = [UNIT.findall(t) for t in texts]
             coder.remember(list(chain.from_iterable(units)))

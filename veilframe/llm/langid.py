@@ -24,7 +24,7 @@ HIDDEN = 16
 STEPS = 400
 BATCH = 768
 SAMPLE = 400  # labelled rows of each language that training may use
-MEMO = 1 << 19
+MEMO = 1 << 18  # segments that a task remembers
 UNKNOWN = "und"
 LEAST_SCORE = 0.3  # of a document in a known language
 

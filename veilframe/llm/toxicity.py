@@ -13,7 +13,7 @@ from __future__ import annotations
 import heapq
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Collection, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -34,24 +34,37 @@ def words_of(text: str | None) -> set[str]:
     return set(WORD.findall(text.lower())) if text else set()
 
 
-def terms_of(words: set[str]) -> set[str]:
-    """The words, their stems (``stem*``), and stems that two or more of them share
-    (``stem**``)."""
-    stems = Counter(w[:n] for w in words for n in STEMS if len(w) > n)
-    return words | {s + "*" for s in stems} | {s + "**" for s, n in stems.items() if n > 1}
+def stems_of(words: Iterable[str], n: int) -> Iterator[str]:
+    """Stems of ``n`` letters (``stem*``), and those that two words share (``stem**``)."""
+    for stem, count in Counter(w[:n] for w in words if len(w) > n).items():
+        yield stem + "*"
+        if count > 1:
+            yield stem + "**"
 
 
-def select_terms(bags: list[set[str]], toxic: np.ndarray, weight: np.ndarray, most: int = TERMS) -> list[str]:
-    """Terms that tell toxic rows, chosen so that each toxic row is met by several."""
-    spread = {i: terms_of(bag) for i, bag in enumerate(bags) if toxic[i]}
-    hits: Counter = Counter(t for bag in spread.values() for t in bag)
+def known_terms(words: Collection[str], known: Collection[str]) -> set[str]:
+    """The words and stems that are among ``known``."""
+    found = {w for w in words if w in known}
+    for n in STEMS:
+        found.update(t for t in stems_of(words, n) if t in known)
+    return found
+
+
+def select_terms(texts: list[str | None], toxic: np.ndarray, weight: np.ndarray, most: int = TERMS) -> list[str]:
+    """Terms that tell toxic rows, chosen so that each toxic row is met by several.
+
+    Rare terms are dropped kind by kind, so that only one kind's are held at a time.
+    """
+    bags = {i: tuple(words_of(texts[i])) for i in np.flatnonzero(toxic)}
     least = max(2, int(0.004 * toxic.sum()))
-    hits = Counter({t: n for t, n in hits.items() if n >= least})
+    hits: dict[str, int] = {}
+    for n in (0, *STEMS):
+        met = Counter(t for bag in bags.values() for t in (stems_of(bag, n) if n else bag))
+        hits.update((t, k) for t, k in met.items() if k >= least)
     misses: Counter = Counter()
-    for bag, y, w in zip(bags, toxic, weight):
-        if not y:
-            for t in terms_of(bag) & hits.keys():
-                misses[t] += w
+    for i in np.flatnonzero(toxic == 0):
+        for t in known_terms(words_of(texts[i]), hits):
+            misses[t] += weight[i]
     positives, negatives = toxic.sum(), weight[toxic == 0].sum()
     odds = {
         t: np.log((n + 0.5) / (positives + 1)) - np.log((misses[t] + 0.5) / (negatives + 1))
@@ -59,8 +72,8 @@ def select_terms(bags: list[set[str]], toxic: np.ndarray, weight: np.ndarray, mo
     }
     good = [t for t, o in odds.items() if o > 2.5 and misses[t] <= 0.1 * hits[t]]
     where: dict[str, list[int]] = {t: [] for t in good}
-    for i, bag in spread.items():
-        for t in bag & where.keys():
+    for i, bag in bags.items():
+        for t in known_terms(bag, where):
             where[t].append(i)
     need = np.where(toxic == 1, 4, 0)
     queue = [(-len(where[t]) * min(1.0, odds[t] / 6), len(t), t) for t in good]
@@ -183,8 +196,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, sample
     found = {c: max(1, int((toxic == c).sum())) for c in (0, 1)}
     weight = np.array([counts[c] / found[c] for c in toxic], dtype=np.float64)
     weight *= len(weight) / weight.sum()
-    bags = [words_of(r["text"]) for r in rows]
-    terms = select_terms(bags, toxic, weight)
+    terms = select_terms([r["text"] for r in rows], toxic, weight)
     model = ToxicityModel(terms, np.zeros(len(terms) + 4))
     x = np.array([model.row(model.features(r["text"])) for r in rows])
     q = label_model(np.column_stack([x[:, :VOTERS], x[:, -3:] >= 0.5]), toxic, weight)
