@@ -71,6 +71,7 @@ OPENINGS = (
     "licensed under", "released under", "distributed under", "available under", "this work is licensed under",
     "this project is released under", "the code is made available under", "published under the terms of",
 )
+VERSIONS = ("1", "1.0", "1.1", "2", "2.0", "2.1", "2.5", "3", "3.0", "4.0")
 # Sentences with licence words that name no licence.
 OTHER = (
     "he lost his driver license and the plate number", "a licensed professional engineer signed the report",
@@ -104,11 +105,13 @@ class LicenseModel:
 
 
 def variants(template: str, fillers: list[str], rng: random.Random, n: int) -> list[list[str]]:
-    """Word lists made from a template: words lost, ends cut, other words around it."""
+    """Word lists made from a template: words lost, ends cut, other version numbers,
+    other words around it."""
     words = tokens_of(template)
     out = [words]
     for _ in range(n - 1):
         kept = [w for w in words if rng.random() > 0.08] or words
+        kept = [rng.choice(VERSIONS) if w[0].isdigit() and rng.random() < 0.7 else w for w in kept]
         if len(kept) > 12 and rng.random() < 0.5:
             at = rng.randint(0, len(kept) // 3)
             kept = kept[at : at + max(10, int(len(kept) * 0.7))]

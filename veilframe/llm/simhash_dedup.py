@@ -147,6 +147,7 @@ SIMILARITY = 0.8
 SHINGLE = 5
 RADIUS = 5
 PARTS = 2
+SPREAD = 8192  # texts that one task puts into tables
 
 
 def profile(text: str | None) -> tuple[str, list[int]]:
@@ -209,7 +210,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         F.xxhash64(F.lit(p * len(masks) + t), F.col("fps")[p].bitwiseAND(F.lit(signed(m))))
         for p in range(PARTS) for t, m in enumerate(masks)
     ))
-    placed = texts.select("id", F.explode(slots).alias("slot"))
+    # a text makes many rows here, so the small table is spread by its number of texts
+    spread = texts.repartition(max(1, -(-texts.count() // SPREAD)), "id")
+    placed = spread.select("id", F.explode(slots).alias("slot"))
     entries = placed.groupBy("slot").agg(
         F.count("*").alias("n"), F.min("id").alias("low"), F.max("id").alias("high")
     ).filter("n > 1").drop("n")
