@@ -139,11 +139,18 @@ def event_responses(
 
 
 def plugin_after(df: DataFrame, output: str = "output", content: str = "content") -> DataFrame:
-    """Redact a tool result in place: the output string, and blocks of type ``text``."""
+    """Redact a tool result in place: the output string, and blocks of type ``text``.
+
+    Blocks may have more fields, in any order; only the text of text blocks changes.
+    """
+    fields = ", ".join(
+        f"{sql_text(f.name)}, "
+        + (f"({redaction_sql('b.text')}).text" if f.name == "text" else f"b.{quote(f.name)}")
+        for f in df.schema[content].dataType.elementType.fields
+    )
     block = f"""
         transform({quote(content)}, b -> CASE WHEN b.type = 'text' AND b.text IS NOT NULL
-            THEN named_struct('type', b.type, 'text', ({redaction_sql('b.text')}).text)
-            ELSE b END)"""
+            THEN named_struct({fields}) ELSE b END)"""
     return df.withColumns(
         {output: F.expr(f"({redaction_sql(quote(output))}).text"), content: F.expr(block)}
     )

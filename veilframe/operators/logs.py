@@ -31,7 +31,10 @@ def _masked(expr: str) -> str:
 
 
 def _mask_inside(expr: str, dtype: T.DataType) -> str:
-    """One level down: fields of a struct, entries of a string map."""
+    """One level down: fields of a struct, entries of a map.
+
+    The mask is a string; in a map of other values a masked entry is left out instead.
+    """
     if isinstance(dtype, T.StructType):
         parts = ", ".join(
             f"{sql_text(f.name)}, "
@@ -43,8 +46,10 @@ def _mask_inside(expr: str, dtype: T.DataType) -> str:
             for f in dtype.fields
         )
         return f"CASE WHEN {expr} IS NOT NULL THEN named_struct({parts}) END"
-    if isinstance(dtype, T.MapType) and isinstance(dtype.valueType, T.StringType):
+    if isinstance(dtype, T.MapType) and isinstance(dtype.keyType, T.StringType):
         names = ", ".join(sql_text(n) for n in MASKED_FIELDS)
+        if not isinstance(dtype.valueType, T.StringType):
+            return f"map_filter({expr}, (k, v) -> k NOT IN ({names}) OR v IS NULL)"
         return (
             f"transform_values({expr}, (k, v) -> CASE WHEN k IN ({names}) AND v IS NOT NULL"
             f" THEN {sql_text(MASK)} ELSE v END)"

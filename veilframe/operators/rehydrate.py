@@ -47,13 +47,22 @@ def attach_values(
 ) -> DataFrame:
     """Add a map of the vault values of the tokens in each row.
 
-    ``tokens`` is SQL for an array of tokens; ``keys`` identify a row.
+    ``tokens`` is SQL for an array of tokens; ``keys`` identify a row.  Rows that share their
+    keys share a map.  If the vault lists a token more than once, its smallest value holds.
     """
+    entries = F.array_sort(F.collect_set(F.struct("token", "value")))
     pairs = df.select(*keys, F.expr(f"explode(array_distinct({tokens}))").alias("token"))
     found = (
         pairs.join(vault.select("token", "value"), "token")
         .groupBy(*keys)
-        .agg(F.map_from_entries(F.collect_list(F.struct("token", "value"))).alias(out))
+        .agg(entries.alias("_entries"))
+        .select(
+            *keys,
+            F.expr(
+                "map_from_entries(filter(_entries,"
+                " (e, i) -> i = 0 OR e.token <> _entries[greatest(i - 1, 0)].token))"
+            ).alias(out),
+        )
     )
     return df.join(found, keys, "left")
 
