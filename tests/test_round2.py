@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from conftest import SF_SMALL
+
 from veilframe.operators.events import plugin_after
 from veilframe.operators.logs import log_mask
 from veilframe.operators.rehydrate import rehydrate
@@ -31,3 +33,32 @@ def test_blocks_keep_their_other_fields(spark):
     )
     block = plugin_after(df).first().content[0]
     assert block.id == 7 and block.type == "text" and block.text.startswith("ip [NETWORK_IP_")
+
+
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_filters_pass_below_a_redaction(spark):
+    from veilframe.operators.events import event_responses
+    from veilframe.operators.redact import redact_corpus, redact_text
+
+    docs = spark.read.parquet(f"{SF_SMALL}/documents.parquet")
+    for df in (redact_text(docs), redact_corpus(docs, ["text", "source"])):
+        plan = _plan(df.filter("lang = 'en' AND size(findings) > 0"))
+        assert "EqualTo(lang,en)" in plan and plan.count("sha2(") <= 6, plan
+    raw = docs.selectExpr("doc_id", "text AS raw")
+    plan = _plan(event_responses(raw, handlers=("pre_claude",)))
+    assert plan.index("Generate") < plan.rindex("pre_claude")
+
+
+def test_every_rule_has_hits(spark):
+    from veilframe.functions.rules import LABELS
+    from veilframe.operators.redact import redact_text
+    from veilframe.sources import tables as src
+
+    assert set(src.KEYS) == set(LABELS)
+    docs = src.documents(spark, SF_SMALL)
+    for label in src.KEYS:
+        hits = redact_text(src.with_keys(docs, label), labels=[label]).filter("size(findings) > 0")
+        assert hits.filter("doc_id % 3 = 0").count() == docs.filter("doc_id % 3 = 0").count(), label

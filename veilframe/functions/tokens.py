@@ -35,13 +35,14 @@ def quote(name: str) -> str:
 
 
 def once_sql(expr: str) -> str:
-    """Compute an expression in the projection it stands in, and only there.
+    """A generator of one row per row, which computes an expression once.
 
-    The optimizer moves filters below projections by repeating what they read, and derives
-    further filters from generators; a redaction would then run several times per row.  It
-    leaves expressions alone that depend on the task, as this one formally does.
+    The optimizer moves a filter below a plain projection by repeating what it reads, and a
+    redaction would then run several times per row.  It does not merge generators with what
+    stands above them, while filters on other columns still pass below to the scan.  A
+    projection can hold one such expression; put several values into one struct.
     """
-    return f"CASE WHEN spark_partition_id() >= 0 THEN {expr} END"
+    return f"explode_outer(array({expr}))"
 
 
 def mint_sql(label: str, value: str, width: int = HASH_WIDTH) -> str:

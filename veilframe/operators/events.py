@@ -91,14 +91,21 @@ def parse_events(df: DataFrame, raw: str = "raw") -> DataFrame:
 
 
 def event_responses(
-    df: DataFrame, raw: str = "raw", width: int = HASH_WIDTH, changed_only: bool = True
+    df: DataFrame,
+    raw: str = "raw",
+    width: int = HASH_WIDTH,
+    changed_only: bool = True,
+    handlers: tuple[str, ...] | None = None,
 ) -> DataFrame:
     """The decision for each event: its handler and the JSON response.
 
     A row in which nothing was redacted has no response; ``changed_only`` drops it.
+    ``handlers`` limits the work to the events routed to these.
     """
     keep = [F.col(quote(c)) for c in df.columns]
     events = parse_events(df, raw)
+    if handlers is not None:
+        events = events.filter(F.col("handler").isin(*handlers))
     json_in = (
         "CASE WHEN handler LIKE 'pre_%' THEN tool_input"
         " WHEN handler LIKE '%_mcp' THEN content END"
@@ -107,9 +114,13 @@ def event_responses(
     staged = events.select(
         *keep,
         "handler",
-        F.expr(once_sql(json_redaction_sql(json_in, width))).alias("_j"),
-        F.expr(once_sql(redaction_sql(text_in, RULES, width))).alias("_x"),
-    )
+        F.expr(
+            once_sql(
+                f"named_struct('j', {json_redaction_sql(json_in, width)},"
+                f" 'x', {redaction_sql(text_in, RULES, width)})"
+            )
+        ).alias("_r"),
+    ).select(*keep, "handler", F.col("_r.j").alias("_j"), F.col("_r.x").alias("_x"))
     joined_text = """
         array_join(transform(
             filter(try_variant_get(try_parse_json(_j.text), '$', 'array<variant>'),

@@ -116,21 +116,24 @@ def redact_nested(
             f" ELSE {redaction_sql(value, RULES, width)} END"
         )
 
+    if not chosen:
+        return df.withColumn("findings", F.expr(NO_FINDINGS))
+    at = {c: f"_r.c{i}" for i, c in enumerate(chosen)}
+    parts = ", ".join(
+        f"{sql_text(at[c][3:])}, {rewrite_sql(quote(c), fields[c], leaf, c, map_leaf)}"
+        for c in chosen
+    )
     walked = df.select(
-        *[
-            F.expr(once_sql(rewrite_sql(quote(c), fields[c], leaf, c, map_leaf))).alias(c)
-            if c in chosen
-            else F.col(quote(c))
-            for c in df.columns
-        ]
+        *[F.col(quote(c)) for c in df.columns if c not in chosen],
+        F.expr(once_sql(f"named_struct({parts})")).alias("_r"),
     )
-    found = [_findings_sql(quote(c), fields[c]) or NO_FINDINGS for c in chosen]
+    found = [_findings_sql(at[c], fields[c]) or NO_FINDINGS for c in chosen]
     return walked.select(
         *[
-            F.expr(_text_sql(quote(c), fields[c])).alias(c) if c in chosen else F.col(quote(c))
+            F.expr(_text_sql(at[c], fields[c])).alias(c) if c in chosen else F.col(quote(c))
             for c in df.columns
         ],
-        F.expr(f"concat({', '.join(found)})" if found else NO_FINDINGS).alias("findings"),
+        F.expr(f"concat({', '.join(found)})").alias("findings"),
     )
 
 

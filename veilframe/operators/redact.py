@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from veilframe.functions.redaction import redaction, redaction_sql, token_count
 from veilframe.functions.rules import select_rules
-from veilframe.functions.tokens import HASH_WIDTH, once_sql, quote
+from veilframe.functions.tokens import HASH_WIDTH, once_sql, quote, sql_text
 
 
 def redact_text(
@@ -37,10 +37,16 @@ def redact_corpus(
     """Replace several text columns by their redacted form and add all findings at once."""
     rules = select_rules(labels)
     others = [F.col(quote(c)) for c in df.columns if c not in columns]
-    staged = df.select(*others, *[redaction(c, rules, width).alias(c) for c in columns])
+    parts = ", ".join(
+        f"{sql_text(f'c{i}')}, {redaction_sql(quote(c), rules, width)}" for i, c in enumerate(columns)
+    )
+    staged = df.select(*others, F.expr(once_sql(f"named_struct({parts})")).alias("_r"))
     return staged.select(
-        *[F.col(f"{quote(c)}.text").alias(c) if c in columns else F.col(quote(c)) for c in df.columns],
-        F.concat(*[F.col(f"{quote(c)}.findings") for c in columns]).alias("findings"),
+        *[
+            F.col(f"_r.c{columns.index(c)}.text").alias(c) if c in columns else F.col(quote(c))
+            for c in df.columns
+        ],
+        F.concat(*[F.col(f"_r.c{i}.findings") for i in range(len(columns))]).alias("findings"),
     )
 
 

@@ -259,6 +259,26 @@ for _label in SUBSET_LABELS:
         f" SELECT doc_id, t AS redacted, {N_TOKENS} AS token_count FROM r"
     )
 
+_HASHED = "SELECT *, sha256(CAST(doc_id AS VARCHAR)) AS h FROM documents"
+for _label, _key in src.KEYS.items():
+    _free = "planted" if _label in SUBSET_LABELS else "subset"
+    _with_key = (
+        f"SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN text || ' ' || {_key} || ' .' ELSE text END"
+        f" AS text FROM ({_HASHED})"
+    )
+    SQL[f"rule_{_free}_{_label.lower()}"] = (
+        f"WITH {chain('r', _with_key, rules=select_rules([_label]))}"
+        f" SELECT doc_id, t AS redacted, {N_TOKENS} AS token_count FROM r"
+    )
+_ANY_KEY = " ".join(f"WHEN {n} THEN {key}" for n, key in enumerate(src.KEYS.values()))
+_WITH_ANY = (
+    f"SELECT doc_id, text || ' ' || CASE doc_id % {len(src.KEYS)} {_ANY_KEY} END || ' .' AS text"
+    f" FROM ({_HASHED})"
+)
+SQL["rules_planted"] = (
+    f"WITH {chain('r', _WITH_ANY)} SELECT doc_id, t AS redacted, {N_TOKENS} AS token_count FROM r"
+)
+
 _RESCAN = chain("b", "SELECT doc_id, t AS text, f AS own FROM a")
 _REPEATED = r"[:=]\s*([a-zA-Z0-9\-_!@#$%^*()=+]{16,})"
 _TWICE = (
@@ -375,10 +395,10 @@ SQL["access_split"] = f"""SELECT event_id, CASE WHEN {_REASON} IS NULL THEN 'all
     ELSE 'blocked' END AS side FROM ({_CALLS})"""
 SQL["event_plugin_before"] = f"""WITH {DOCS}, calls AS ({_CALLS}),
     z AS (SELECT event_id, tool, {_REASON} AS blocked_reason, text, t, f
-        FROM calls JOIN r ON event_id = doc_id)
+        FROM calls LEFT JOIN r ON event_id = doc_id)
     SELECT event_id, tool, blocked_reason,
         CASE WHEN blocked_reason IS NULL THEN t ELSE text END AS text,
-        blocked_reason IS NULL AND len(f) > 0 AS has_redacted FROM z"""
+        blocked_reason IS NULL AND coalesce(len(f), 0) > 0 AS has_redacted FROM z"""
 
 # Logs and requests
 

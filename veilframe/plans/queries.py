@@ -142,12 +142,30 @@ def _subset(label: str) -> Query:
     return run
 
 
+def _planted(label: str) -> Query:
+    def run(spark: SparkSession, sf: str) -> DataFrame:
+        out = redact.redact_text(src.with_keys(src.documents(spark, sf), label), labels=[label])
+        return redact.with_flags(out).select("doc_id", "redacted", "token_count")
+
+    return run
+
+
 SUBSET_LABELS = (
     "USER_EMAIL", "NETWORK_IP", "NETWORK_IP_V6", "SENSITIVE_SECRET", "PAYMENT_CARD",
     "PHONE_NUMBER",
 )
 for _label in SUBSET_LABELS:
     QUERIES[f"rule_subset_{_label.lower()}"] = _subset(_label)
+for _label in src.KEYS:
+    _free = "planted" if _label in SUBSET_LABELS else "subset"
+    QUERIES[f"rule_{_free}_{_label.lower()}"] = _planted(_label)
+
+
+@query()
+def rules_planted(spark: SparkSession, sf: str) -> DataFrame:
+    """All rules over documents of which each holds a key of one kind, by its number."""
+    out = redact.redact_text(src.with_any_key(src.documents(spark, sf)))
+    return redact.with_flags(out).select("doc_id", "redacted", "token_count")
 
 
 # Vault
@@ -353,8 +371,10 @@ def event_changed_only(spark: SparkSession, sf: str) -> DataFrame:
 
 def _handler(name: str) -> Query:
     def run(spark: SparkSession, sf: str) -> DataFrame:
-        out = events.event_responses(src.tool_events(spark, sf), changed_only=False)
-        return out.filter(F.col("handler") == name).select("event_id", "response")
+        out = events.event_responses(
+            src.tool_events(spark, sf), changed_only=False, handlers=(name,)
+        )
+        return out.select("event_id", "response")
 
     return run
 
@@ -394,7 +414,7 @@ def event_plugin_before(spark: SparkSession, sf: str) -> DataFrame:
     args = F.create_map(
         F.lit("filePath"), "file_path", F.lit("command"), "command", F.lit("text"), "text"
     )
-    df = calls.join(docs, calls.event_id == docs.doc_id).select(
+    df = calls.join(docs, calls.event_id == docs.doc_id, "left").select(
         "event_id", "tool", args.alias("args")
     )
     return events.plugin_before(df).select(
