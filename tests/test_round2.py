@@ -62,3 +62,63 @@ def test_every_rule_has_hits(spark):
     for label in src.KEYS:
         hits = redact_text(src.with_keys(docs, label), labels=[label]).filter("size(findings) > 0")
         assert hits.filter("doc_id % 3 = 0").count() == docs.filter("doc_id % 3 = 0").count(), label
+
+
+FOREIGN = {"[HUSH_EML_1234]": "a@b.io", "[Mail-1]": "m", f"[{'L' * 140}_ab]": "long"}
+
+
+def _vault(spark, entries):
+    return spark.createDataFrame(list(entries.items()), "token string, value string")
+
+
+def test_streams_know_any_token_of_the_vault(spark, tmp_path):
+    import model
+    from veilframe.operators.chunks import rehydrate_chunks
+    from veilframe.streaming import jobs
+    from veilframe.streaming.sinks import read_stream
+
+    longest = max(FOREIGN, key=len)
+    streams = {
+        0: ["see [HUSH_EM", "L_1234] and [Mai", "l-1]."], 1: ["see [NOTE", "] [Mail-2]", " [M"],
+        2: [longest[:70], longest[70:141], longest[141:] + "!"], 3: ["a [HUSH_", "x", "EML_1234]"],
+    }
+    rows = [(i, n, c) for i, cs in streams.items() for n, c in enumerate(cs)]
+    schema = "stream_id long, seq long, chunk string"
+    want = {i: model.raw_stream(c, FOREIGN) for i, c in streams.items()}
+    assert want[1] == ["see [NOTE", "] [Mail-2]", " "]
+
+    def shown(df):
+        out: dict = {}
+        for r in df.orderBy("stream_id", "seq").collect():
+            out.setdefault(r.stream_id, []).append(r.emitted)
+        return out
+
+    df, vault = spark.createDataFrame(rows, schema), _vault(spark, FOREIGN)
+    assert shown(rehydrate_chunks(df, vault)) == want
+    for n in range(3):
+        df.filter(f"seq = {n}").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    for job in (jobs.stream_chunks, jobs.stream_sse):
+        at = str(tmp_path / job.__name__)
+        stream = read_stream(spark, str(tmp_path / "in"), schema, 1)
+        job(stream, lambda: vault, at, at + "-ck").awaitTermination()
+        assert shown(spark.read.parquet(at)) == want, job
+
+
+def test_json_keys_and_spelling_stay(spark):
+    from veilframe.streaming.jobs import emit_frames
+    from veilframe.streaming.sse import FRAME_SCHEMA, advance
+
+    t = "[USER_EMAIL_aaaaaa]"
+    vault = _vault(spark, {t: 'q"@b.io'})
+    body = f'{{ "{t}" : 1.50, "v": ["{t}", 1e400], "{t}":"{t}" }}'
+    want = f'{{ "{t}" : 1.50, "v": ["q\\"@b.io", 1e400], "{t}":"q\\"@b.io" }}'
+    df = spark.createDataFrame([(1, body), (2, "{}")], "id int, body string")
+    got = {r.id: r.body for r in rehydrate(df, ["id"], ["body"], vault, json=True).collect()}
+    assert got == {1: want, 2: "{}"}
+    lines = [f'data: {{"{t}":1.50,"v":"{t}","n":-0}}\n', f'data: {{"n":1.50,"delta":{{"text":"{t}","x":2.0}}}}\n']
+    rows = [(1, n, *advance("", "", {}, line, 30)[2]) for n, line in enumerate(lines)]
+    out = emit_frames(spark.createDataFrame(rows, FRAME_SCHEMA), vault).orderBy("seq").collect()
+    assert [r.emitted for r in out] == [
+        f'data: {{"{t}":1.50,"v":"q\\"@b.io","n":-0}}\n',
+        'data: {"n":1.50,"delta":{"text":"q\\"@b.io","x":2.0}}\n',
+    ]

@@ -270,7 +270,7 @@ def test_event_streams_match_the_model(spark, tmp_path):
     ).awaitTermination()
     got = collected(spark.read.parquet(str(tmp_path / "out")))
     for i, c in streams.items():
-        assert "".join(got[i]) == "".join(model.sse_stream(c, ENTRIES))
+        assert got[i] == model.sse_stream(c, ENTRIES)
 
 
 def test_batch_deltas_match_the_stream(spark):

@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 # The token format is '[' label '_' first hex digits of SHA-256 ']'.
 HASH_WIDTH = 6
 TOKEN_PATTERN = r"\[[A-Z][A-Z0-9_]*_[0-9a-f]{6,64}\]"
-# Any bracketed name, for vaults whose tokens were not minted here.
-CUSTOM_TOKEN_PATTERN = r"\[[A-Za-z0-9_]+\]"
+# Anything in brackets, for vaults whose tokens were not minted here.
+CUSTOM_TOKEN_PATTERN = r"\[[^\[\]]+\]"
 
 
 def sql_text(value: str | int | bool | None) -> str:

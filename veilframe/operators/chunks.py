@@ -15,43 +15,61 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veilframe.functions.ordered import preceding_tail
-from veilframe.functions.tokens import once_sql, sql_text, tokens_in_sql
+from veilframe.functions.tokens import CUSTOM_TOKEN_PATTERN, once_sql, sql_text, tokens_in_sql
 from veilframe.operators.rehydrate import attach_values, rehydrate, replace_tokens_sql
 from veilframe.sources.stage import stage
 
-# No token is longer: a label of at most 60 characters and 64 hex digits.
-MAX_TOKEN = 128
-PARTIAL = r"\[[A-Z0-9_a-f]*\z"
-# What a held-back tail of a delta field looks like, and the field cap.
+# An end that may be the beginning of a token; whether it is one, the vault decides.
+PARTIAL = r"\[[^\[\]]*\z"
+# Fixed value: what a held-back tail of a delta field looks like.
 HELD_DELTA = r"\[(?:[A-Z_][^\[\]]*)?\z"
-FIELD_CAP = 1024 * 1024
 
 KEYS = ["stream_id", "seq"]
 
 
-def with_tails(
-    chunks: DataFrame, keys: list[str] | None = None, carried: Column | None = None
-) -> DataFrame:
-    """Add ``tail``: the last characters of the stream before each chunk."""
-    keys = keys or ["stream_id"]
-    text = F.col("chunk") if carried is None else carried
+def longest_token(vault: DataFrame) -> int:
+    """The length of the longest token of the vault, one number for the driver."""
+    return vault.agg(F.coalesce(F.max(F.length("token")), F.lit(0))).first()[0]
+
+
+def with_tails(chunks: DataFrame, longest: int, keys: list[str] | None = None) -> DataFrame:
+    """Add ``tail``: as much of the stream before each chunk as a token can begin in."""
     spoken = preceding_tail(
-        chunks.filter(F.length("chunk") > 0), keys, "seq", text, MAX_TOKEN - 1, "tail"
+        chunks.filter(F.length("chunk") > 0), keys or ["stream_id"], "seq", F.col("chunk"),
+        max(longest - 1, 1), "tail",
     )
     silent = chunks.filter(F.coalesce(F.length("chunk"), F.lit(0)) == 0)
     return spoken.unionByName(silent.withColumn("tail", F.lit("")))
 
 
-def token_prefixes(vault: DataFrame) -> DataFrame:
-    """All proper prefixes of the vault tokens, each once."""
-    return vault.select(
-        F.explode(
-            F.transform(
-                F.sequence(F.lit(1), F.length("token") - 1),
-                lambda n: F.substr("token", F.lit(1), n),
-            )
-        ).alias("prefix")
-    ).distinct()
+def token_prefixes(vault: DataFrame, asked: DataFrame) -> DataFrame:
+    """The strings of ``asked`` (one column, ``prefix``) that a vault token begins with.
+
+    Vault tokens give only prefixes of the lengths asked for, and these are made distinct on
+    the map side, so the many tokens behind a short prefix never meet.
+    """
+    asked = asked.filter("prefix IS NOT NULL").distinct()
+    lengths = asked.agg(F.collect_set(F.length("prefix"))).scalar()  # at most the longest token
+    begins = (
+        vault.withColumn("_lengths", lengths)
+        .select(
+            F.expr(
+                "explode(transform(filter(_lengths, n -> n < length(token)),"
+                " n -> substr(token, 1, n)))"
+            ).alias("prefix")
+        )
+        .distinct()
+    )
+    return asked.join(begins, "prefix", "left_semi")
+
+
+def known_to(vault: DataFrame, asked: DataFrame) -> DataFrame:
+    """``token, value``: the vault, and with a null value the beginnings asked for."""
+    return vault.select("token", "value").unionByName(
+        token_prefixes(vault, asked).select(
+            F.col("prefix").alias("token"), F.lit(None).cast("string").alias("value")
+        )
+    )
 
 
 def _partial(text: Column) -> Column:
@@ -69,7 +87,7 @@ def questions(chunks: DataFrame) -> DataFrame:
         _partial(F.col("tail")).alias("_was"),
         _partial(F.concat("tail", "chunk")).alias("_now"),
     )
-    tokens = tokens_in_sql("concat_ws('', _was, chunk)")
+    tokens = tokens_in_sql("concat_ws('', _was, chunk)", CUSTOM_TOKEN_PATTERN)
     asked = f"concat(array_compact(array(_was, _now)), coalesce({tokens}, array()))"
     return work.withColumn("_asked", F.expr(once_sql(asked)))
 
@@ -82,11 +100,7 @@ def emit_raw(work: DataFrame, vault: DataFrame, flush_at_end: bool = False) -> D
     complete streams).
     """
     # One lookup answers both: is this end a token's beginning, and what does a token mean.
-    known = vault.select("token", "value").unionByName(
-        token_prefixes(vault).select(
-            F.col("prefix").alias("token"), F.lit(None).cast("string").alias("value")
-        )
-    )
+    known = known_to(vault, work.select(F.expr("explode(array(_was, _now))").alias("prefix")))
     dirty = attach_values(work.filter("size(_asked) > 0"), KEYS, "_asked", known)
     was = "if(map_contains_key(_values, _was), _was, '')"
     now = "if(map_contains_key(_values, _now), _now, '')"
@@ -94,7 +108,7 @@ def emit_raw(work: DataFrame, vault: DataFrame, flush_at_end: bool = False) -> D
     shown = f"substr({text}, 1, length({text}) - length(coalesce({now}, '')))"
     decided = dirty.select(
         *KEYS,
-        F.expr(replace_tokens_sql(shown, "_values")).alias("emitted"),
+        F.expr(replace_tokens_sql(shown, "_values", CUSTOM_TOKEN_PATTERN)).alias("emitted"),
         F.expr(f"coalesce({now}, '')").alias("_rest"),
     ).unionByName(
         work.filter("size(_asked) = 0").select(
@@ -119,9 +133,11 @@ def rehydrate_chunks(
 ) -> DataFrame:
     """The text emitted for each chunk of complete streams.
 
-    The questions are staged: three branches of what follows read them.
+    The questions are staged: several branches of what follows read them.  The tokens are
+    those of the vault, whatever stands in their brackets and however long they are.
     """
-    return emit_raw(stage(questions(with_tails(chunks)), "questions"), vault, flush_at_end)
+    tailed = with_tails(chunks, longest_token(vault))
+    return emit_raw(stage(questions(tailed), "questions"), vault, flush_at_end)
 
 
 def cut_into_chunks(df: DataFrame, stream: str, text: str, size: int) -> DataFrame:
@@ -205,35 +221,30 @@ def sse_delta_text(lines: DataFrame, vault: DataFrame) -> DataFrame:
             )
         ).alias("_f"),
     ).select("stream_id", "seq", "_f.field", "_f.chunk")
-    # A piece over the cap is flushed with its end, so nothing is carried past it.
-    carried = F.when(F.length("chunk") > FIELD_CAP, "]").otherwise(F.col("chunk"))
-    tailed = with_tails(fields, ["stream_id", "field"], carried)
-    shown = stage(cut_deltas(tailed, vault), "deltas")
-    return rehydrate(shown, ["stream_id", "field", "seq"], ["emitted"], vault)
+    longest = longest_token(vault)
+    tailed = with_tails(fields, longest, ["stream_id", "field"])
+    shown = stage(cut_deltas(tailed, longest), "deltas")
+    return rehydrate(
+        shown, ["stream_id", "field", "seq"], ["emitted"], vault, CUSTOM_TOKEN_PATTERN
+    )
 
 
-def held_delta(text: Column, longest: Column) -> Column:
+def held_delta(text: Column, longest: int) -> Column:
     """The end of a delta field that is held back: it may still become a token."""
     tail = F.regexp_extract(text, HELD_DELTA, 0)
     return F.when(F.length(tail) < longest, tail).otherwise("")
 
 
-def cut_deltas(fields: DataFrame, vault: DataFrame) -> DataFrame:
+def cut_deltas(fields: DataFrame, longest: int) -> DataFrame:
     """What of each delta piece, given its ``tail``, is shown now: ``emitted``, not yet
-    rehydrated.
-
-    A piece that outgrows the field cap is shown whole, with what was held before it.
-    (Where only the held characters take it over the cap, its own end still counts as held
-    for the next piece; the streaming form keeps exact state here.)
+    rehydrated.  What is held is shorter than the longest token, so it needs no cap.
     """
-    longest = F.coalesce(vault.agg(F.max(F.length("token"))).scalar(), F.lit(0))
-    was = held_delta(F.col("tail"), F.col("_longest"))
-    now = held_delta(F.concat("tail", "chunk"), F.col("_longest"))
+    was = held_delta(F.col("tail"), longest)
+    now = held_delta(F.concat("tail", "chunk"), longest)
     text = F.concat(was, "chunk")
-    rest = F.when(F.length(text) > FIELD_CAP, 0).otherwise(F.length(now))
-    return fields.withColumn("_longest", longest).select(
+    return fields.select(
         "stream_id", "field", "seq",
         F.when(F.length("chunk") == 0, "")
-        .otherwise(F.substr(text, F.lit(1), F.length(text) - rest))
+        .otherwise(F.substr(text, F.lit(1), F.length(text) - F.length(now)))
         .alias("emitted"),
     )

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from veilframe.functions.redaction import redaction_sql
-from veilframe.functions.tokens import once_sql, quote, sql_text, type_of
+from veilframe.functions.tokens import once_sql, quote, type_of
 
 # How many latencies are kept, and the redactions that fill the gauge.
 LATENCIES_KEPT = 50
@@ -129,48 +129,52 @@ def leak_audit(
     return counted.filter("n_rescan > 0 OR n_known > 0")
 
 
-WORD = r"\w+"
+GRAM = 8
 
 
-def _longest_word(column: str) -> str:
-    """The longest word of a text, the first of equals; null if it has none."""
-    words = f"regexp_extract_all({column}, {sql_text(WORD)}, 0)"
-    longer = "length(w) > coalesce(length(a), 0)"
-    return f"aggregate({words}, CAST(NULL AS STRING), (a, w) -> if({longer}, w, a))"
+def _grams_sql(text: str, size: str) -> str:
+    """The different pieces of ``size`` characters of a text."""
+    # An empty match looks ahead, so pieces overlap and the text is walked once.
+    window = f"concat('(?s)(?=(.{{', {size}, '}}))')"
+    return f"array_distinct(regexp_extract_all({text}, {window}, 1))"
 
 
 def vault_leak_audit(
-    df: DataFrame, keys: list[str], text: str, vault: DataFrame
+    df: DataFrame, keys: list[str], text: str, vault: DataFrame, gram: int = GRAM
 ) -> DataFrame:
     """Texts in which a value of the whole vault stands, not only their own.
 
-    A value counts where it is not part of a longer word.  Then each of its words is a word
-    of the text, so the longest serves as the key of an equi-join, and what meets there is
-    checked in full.  A value without a word (as ``::``) has no such key; the rules find
-    those anywhere.  Texts take part with their distinct words, and only those with a
-    candidate are read again.
+    A value counts wherever it stands, also inside a longer word, and once per text.  Each
+    value is filed under the one of its pieces of ``gram`` characters that the fewest values
+    share (a shorter value under itself), and each text asks with its different pieces; what
+    meets on a piece is checked in full.  So values with a common beginning or domain do not
+    meet every text that has it.  The pieces are first cut down to those that file a value,
+    and only texts with a candidate are read again.
     """
     values = (
-        vault.select("value").distinct()
-        .select("value", F.expr(_longest_word("value")).alias("_word"))
-        .filter("_word IS NOT NULL")
+        vault.select("value").filter("value <> ''").distinct()
+        .withColumn("_size", F.least(F.length("value"), F.lit(gram)))
     )
-    words = df.select(
+    pieces = values.select(
+        "value", F.expr(f"explode({_grams_sql('value', '_size')})").alias("_gram")
+    )
+    shared = pieces.groupBy("_gram").agg(F.count(F.lit(1)).alias("_n"))
+    filed = (
+        pieces.join(shared, "_gram")
+        .groupBy("value")
+        .agg(F.min(F.struct("_n", "_gram")).getField("_gram").alias("_gram"))
+    )
+    sizes = values.agg(F.sort_array(F.collect_set("_size"))).scalar()  # at most ``gram`` numbers
+    asking = df.withColumn("_sizes", F.coalesce(sizes, F.array().cast("array<int>"))).select(
         *keys,
         F.expr(
-            f"explode(array_distinct(regexp_extract_all({quote(text)}, {sql_text(WORD)}, 0)))"
-        ).alias("_word"),
-    )
-    candidates = words.join(values, "_word").select(*keys, "value")
-    escaped = r"regexp_replace(value, '(\\W)', '\\\\$1')"
-    exact = (
-        r"concat(if(value RLIKE '^\\w', '(?<!\\w)', ''), "
-        + escaped
-        + r", if(value RLIKE '\\w\\z', '(?!\\w)', ''))"
+            f"explode(flatten(transform(_sizes, s -> {_grams_sql(quote(text), 's')})))"
+        ).alias("_gram"),
     )
+    candidates = asking.join(filed, "_gram").select(*keys, "value")
     return (
         candidates.join(df.select(*keys, quote(text)), keys)
-        .filter(F.expr(f"contains({quote(text)}, value) AND {quote(text)} RLIKE {exact}"))
+        .filter(F.contains(F.col(quote(text)), F.col("value")))
         .groupBy(*keys)
         .agg(F.count(F.lit(1)).alias("n_known"))
     )

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from veilframe.functions.tokens import TOKEN_PATTERN, quote, sql_text, tokens_in_sql
-from veilframe.operators.nested import has_strings, json_quote_sql, rewrite_sql
+from veilframe.operators.nested import JSON_STRING, has_strings, json_quote_sql, rewrite_sql
 
 
 def replace_tokens_sql(
@@ -22,7 +22,7 @@ def replace_tokens_sql(
 ) -> str:
     """``text`` with each token replaced by its entry in the map, if it has one.
 
-    With ``json`` the text is JSON, and values go in as the inside of a string literal.
+    With ``json`` the text is a JSON string literal or its inside, and so are the values.
     """
     value = f"element_at({values}, tok)"
     if json:
@@ -37,6 +37,23 @@ def replace_tokens_sql(
             (gap, p) -> concat(gap, coalesce(p, ''))), '')"""
 
 
+def replace_json_tokens_sql(json: str, values: str, pattern: str = TOKEN_PATTERN) -> str:
+    """A JSON text with the tokens in its string values replaced.
+
+    Keys, numbers and white space keep their spelling: the text is cut at its string literals,
+    and those followed by a colon are keys.
+    """
+    literal = sql_text(JSON_STRING)
+    inside = replace_tokens_sql("lit", values, pattern, json=True)
+    return f"""
+        transform(array(split({json}, {literal}, -1)), gaps -> array_join(zip_with(
+            gaps,
+            transform(regexp_extract_all({json}, {literal}, 0), (lit, i) -> CASE
+                WHEN contains(lit, '[') AND NOT gaps[i + 1] RLIKE '^[ \\\\t\\\\r\\\\n]*:'
+                THEN {inside} ELSE lit END),
+            (gap, p) -> concat(gap, coalesce(p, ''))), ''))[0]"""
+
+
 def _tokens_sql(column: str, dtype: T.DataType, pattern: str) -> str:
     text = quote(column) if isinstance(dtype, T.StringType) else f"to_json({quote(column)})"
     return f"coalesce({tokens_in_sql(text, pattern)}, array())"
@@ -81,7 +98,8 @@ def rehydrate(
 
     ``when`` limits this to the rows where a SQL condition holds.  ``fixpoint`` adds a
     second pass, for values that hold an earlier token themselves (a key block can); one
-    pass leaves those inner tokens standing.
+    pass leaves those inner tokens standing.  With ``json`` the columns are JSON texts, of which
+    only string values change.
     """
     fields = {f.name: f.dataType for f in df.schema.fields}
     columns = [c for c in columns if has_strings(fields[c])]
@@ -90,7 +108,9 @@ def rehydrate(
     dirty = attach_values(df.filter(test), keys, tokens, vault)
 
     def leaf(expr: str, _key: str | None) -> str:
-        return replace_tokens_sql(expr, "_values", pattern, json)
+        if json:
+            return replace_json_tokens_sql(expr, "_values", pattern)
+        return replace_tokens_sql(expr, "_values", pattern)
 
     restored = dirty.select(
         *[

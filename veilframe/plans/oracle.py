@@ -280,22 +280,20 @@ SQL["rules_planted"] = (
 )
 
 _RESCAN = chain("b", "SELECT doc_id, t AS text, f AS own FROM a")
-_REPEATED = r"[:=]\s*([a-zA-Z0-9\-_!@#$%^*()=+]{16,})"
+_BARE_SECRET = "substr(sha256(source), 1, 20)"
 _TWICE = (
-    "SELECT doc_id, text || chr(10) || text || ' ' ||"
-    f" regexp_extract(text, {lit(_REPEATED)}, 1) AS text FROM documents"
+    "SELECT doc_id, text || CASE WHEN doc_id % 5 = 0 THEN chr(10) || 'api_key=' ||"
+    f" {_BARE_SECRET} || ' or ' || {_BARE_SECRET} ELSE '' END || CASE WHEN doc_id % 7 = 1"
+    f" THEN chr(10) || 'x' || {_BARE_SECRET} || 'y' ELSE '' END AS text FROM documents"
 )
 SQL["leak_audit"] = f"""WITH {chain('a', _TWICE)}, {_RESCAN}
     SELECT doc_id, len(f) AS n_rescan, len(list_filter(list_distinct(
         list_transform(own, lambda x: x.value)), lambda v: contains(text, v))) AS n_known
     FROM b WHERE n_rescan > 0 OR n_known > 0"""
 SQL["leak_audit_vault"] = f"""WITH {chain('a', _TWICE)},
-    vals AS (SELECT DISTINCT value, CASE WHEN regexp_matches(value, '^\\w') THEN '(?:^|\\W)'
-            ELSE '' END || regexp_escape(value) || CASE WHEN regexp_matches(value, '\\w$')
-            THEN '(?:$|\\W)' ELSE '' END AS p
-        FROM ({unnested('a')}) WHERE regexp_matches(value, '\\w'))
+    vals AS (SELECT DISTINCT value FROM ({unnested('a')}) WHERE value <> '')
     SELECT doc_id, count(*) AS n_known FROM a, vals
-    WHERE contains(a.t, vals.value) AND regexp_matches(a.t, vals.p) GROUP BY doc_id"""
+    WHERE contains(a.t, vals.value) GROUP BY doc_id"""
 _RESCAN_R = chain("b", "SELECT request_id, t AS text, f AS own FROM r")
 SQL["pii_totals"] = f"""{FOUND}, {_RESCAN_R},
     tok AS (SELECT DISTINCT request_id, token FROM found),
@@ -472,16 +470,19 @@ def emitted(hold: str) -> str:
     """Chunk ends less what ``hold`` says of the text before them, then restored."""
     return f"""{_CHUNKS}, ends AS (SELECT request_id, t, seq,
         least((seq + 1) * {_SIZE}, length(t)) AS e FROM ck),
-    tails AS (SELECT *, substr(t, greatest(0, e - 127) + 1, e - greatest(0, e - 127)) AS tail
-        FROM ends),
+    tails AS (SELECT *, substr(t, greatest(0, e - n) + 1, e - greatest(0, e - n)) AS tail
+        FROM ends, (SELECT max(length(token)) - 1 AS n FROM vault)),
     cuts AS (SELECT request_id, seq, t, e - ({hold}) AS e FROM tails),
     spans AS (SELECT request_id AS stream_id, seq, substr(t, b + 1, e - b) AS span
         FROM (SELECT *, lag(e, 1, 0) OVER (PARTITION BY request_id ORDER BY seq) AS b
             FROM cuts))"""
 
 
-_PREFIXES = "SELECT DISTINCT left(token, n) AS p FROM vault, range(1, 90) AS g(n) WHERE n < length(token)"
-_RAW = "regexp_extract(tail, '\\[[A-Z0-9_a-f]*$')"
+_PREFIXES = (
+    "SELECT DISTINCT left(token, n) AS p FROM (SELECT token, unnest(range(1, length(token))) AS n"
+    " FROM vault)"
+)
+_RAW = "regexp_extract(tail, '\\[[^\\[\\]]*$')"
 SQL["rehydrate_chunks_raw"] = f"""{VAULT}, pref AS ({_PREFIXES}),
     {emitted(f"CASE WHEN {_RAW} IN (SELECT p FROM pref) THEN length({_RAW}) ELSE 0 END")}
     SELECT stream_id, seq, {restore('span')} AS emitted FROM {with_map('spans', 'vault')}"""
@@ -500,8 +501,44 @@ SQL["sse_parse"] = f"""WITH {chain('r', TIMED)}, {_CHUNKS}
         CASE WHEN request_id % 3 = 2 THEN chunk END AS reasoning_content FROM ck
     UNION ALL SELECT request_id, i, (['plain', 'event', 'text', 'plain'])[i + 1],
         NULL, NULL, NULL FROM r, range(0, 4) AS g(i)"""
+# Event streams: every line and its end are placed in the whole wire text, and what a line
+# shows belongs to the wire chunk that brings its line end.
+_WIRE = src.WIRE_SIZE
+
+
+def _frame(text: str) -> str:
+    cases = " ".join(
+        f"WHEN {n} THEN 'data: ' || {lit(head)} || {js(text)} || {lit(tail)}"
+        for n, (head, tail) in enumerate(src.DELTA_FRAMES)
+    )
+    return f"CASE stream_id % {len(src.DELTA_FRAMES)} {cases} END || chr(10)"
+
+
+SQL["rehydrate_sse"] = f"""{VAULT},
+    {emitted(f"CASE WHEN length({_DELTA}) < {_LONGEST} THEN length({_DELTA}) ELSE 0 END")},
+    shown AS (SELECT stream_id, seq, {restore('span')} AS span FROM {with_map('spans', 'vault')}),
+    lines AS (
+        SELECT ck.request_id AS stream_id, ck.seq, 0 AS part, ck.chunk, shown.span
+        FROM ck JOIN shown ON shown.stream_id = ck.request_id AND shown.seq = ck.seq),
+    parts AS (
+        SELECT stream_id, seq, part, {_frame('chunk')} AS wire, {_frame('span')} AS client FROM lines
+        UNION ALL SELECT stream_id, seq, 1, chr(10), chr(10) FROM lines
+        UNION ALL SELECT request_id, 1000000000, part,
+            CASE part WHEN 0 THEN 'data: [DONE]' ELSE '' END || chr(10),
+            CASE part WHEN 0 THEN 'data: [DONE]' ELSE '' END || chr(10)
+        FROM r, range(0, 2) AS g(part)),
+    placed AS (SELECT *, CAST(sum(length(wire)) OVER (PARTITION BY stream_id ORDER BY seq, part)
+        AS BIGINT) AS upto FROM parts),
+    told AS (SELECT stream_id, (upto - 1) // {_WIRE} AS seq,
+            string_agg(client, '' ORDER BY upto) AS emitted
+        FROM placed GROUP BY 1, 2),
+    slots AS (SELECT stream_id, unnest(range(0, (max(upto) - 1) // {_WIRE} + 1)) AS seq
+        FROM placed GROUP BY stream_id)
+    SELECT stream_id, seq, coalesce(emitted, '') AS emitted FROM slots LEFT JOIN told
+    USING (stream_id, seq)"""
 SQL["stream_redact"] = SQL["redact_text"]
-SQL["stream_vault"] = SQL["vault_upsert"]
+SQL["stream_vault"] = f"""{VAULT} SELECT token, label, value, epoch_us(ts) AS saved_at_us
+    FROM vault WHERE ts >= (SELECT max(ts) FROM vault) - INTERVAL {PRUNE_TTL_SECONDS} SECOND"""
 SQL["stream_counters"] = f"""{FOUND} SELECT epoch_us(date_trunc('hour', ts)) AS window_start_us,
     split_part(token, '_', 2) AS type, count(*) AS n
     FROM (SELECT DISTINCT request_id, ts, token FROM found) GROUP BY 1, 2"""

@@ -511,11 +511,16 @@ def pii_by_source(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _repeated(spark: SparkSession, sf: str) -> DataFrame:
-    """Text with its own secret appended bare, as a sender might repeat it, redacted."""
-    doubled = F.concat("text", F.lit("\n"), "text", F.lit(" "), F.regexp_extract(
-        "text", r"[:=]\s*([a-zA-Z0-9\-_!@#$%^*()=+]{16,})", 1))
-    df = src.documents(spark, sf).select("doc_id", doubled.alias("text"))
-    return redact.redact_text(df)
+    """Redacted text with leaks: every fifth document names a secret of its source and repeats
+    it bare, every seventh one holds the same secret inside a longer word."""
+    secret = F.substr(F.sha2("source", 256), F.lit(1), F.lit(20))
+    text = F.concat(
+        "text",
+        F.when(F.expr("doc_id % 5 = 0"), F.concat(F.lit("\napi_key="), secret, F.lit(" or "), secret))
+        .otherwise(""),
+        F.when(F.expr("doc_id % 7 = 1"), F.concat(F.lit("\nx"), secret, F.lit("y"))).otherwise(""),
+    )
+    return redact.redact_text(src.documents(spark, sf).select("doc_id", text.alias("text")))
 
 
 @query()
@@ -656,7 +661,8 @@ def stream_vault(spark: SparkSession, sf: str) -> DataFrame:
     out = drain(
         lambda table, ckpt: jobs.stream_vault(stream, table, ckpt), spark, "vault-log"
     )
-    return jobs.read_vault(spark, out).select("token", "label", "value", micros("saved_at"))
+    saved = jobs.read_vault(spark, out, PRUNE_TTL_SECONDS)
+    return saved.select("token", "label", "value", micros("saved_at"))
 
 
 @query()

@@ -15,11 +15,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from veilframe.functions.tokens import tokens_in_sql, type_of
-from veilframe.operators.chunks import MAX_TOKEN, emit_raw, questions
+from veilframe.functions.tokens import CUSTOM_TOKEN_PATTERN, tokens_in_sql, type_of
+from veilframe.operators.chunks import emit_raw, known_to, longest_token, questions
 from veilframe.operators.redact import explode_findings, redact_text
 from veilframe.operators.rehydrate import attach_values, replace_tokens_sql
-from veilframe.operators.vault import SAVE_COLUMNS, vault_build, vault_upsert
+from veilframe.operators.vault import SAVE_COLUMNS, vault_build, vault_prune, vault_upsert
 from veilframe.streaming.sinks import batches_to_table
 from veilframe.streaming.sse import FRAME_SCHEMA, FRAME_STATE, frame_events
 
@@ -61,9 +61,29 @@ def stream_vault(
     return batches_to_table(stream, path, checkpoint, saves)
 
 
-def read_vault(spark: SparkSession, path: str) -> DataFrame:
-    """The vault a ``stream_vault`` log stands for."""
-    return vault_upsert(spark.read.parquet(path).select(*SAVE_COLUMNS))
+def read_vault(spark: SparkSession, path: str, ttl_seconds: int | None = None) -> DataFrame:
+    """The vault a ``stream_vault`` log stands for.
+
+    With ``ttl_seconds`` the tokens that had expired at the last save of the log are gone.
+    Saves that are too old are left out before they are combined: the last save of a token
+    that lives is never among them.
+    """
+    log = spark.read.parquet(path).select(*SAVE_COLUMNS)
+    return vault_upsert(log if ttl_seconds is None else vault_prune(log, ttl_seconds))
+
+
+def compact_vault(
+    spark: SparkSession, path: str, out: str, ttl_seconds: int | None = None
+) -> None:
+    """Write the log at ``path`` to a new folder with one live save per token.
+
+    Run it between streams, then start the next one on the new folder; the rows are the batch -1.
+    """
+    log = spark.read.parquet(path).select(*SAVE_COLUMNS)
+    live = log if ttl_seconds is None else vault_prune(log, ttl_seconds)
+    order = F.struct("saved_at", "request_id", "ord")
+    last = live.groupBy("token").agg(F.max_by(F.struct(*SAVE_COLUMNS), order).alias("_last"))
+    last.select("_last.*").withColumn("batch", F.lit(-1)).write.partitionBy("batch").parquet(out)
 
 
 # Live counters
@@ -112,30 +132,46 @@ def read_counters(spark: SparkSession, path: str) -> DataFrame:
 TAIL_OUT = "stream_id long, seq long, chunk string, tail string"
 
 
-def _attach_tail(
-    key: tuple, pdfs: Iterator[pd.DataFrame], state: GroupState
-) -> Iterator[pd.DataFrame]:
-    """Give each chunk the text before it; the state is that text's last characters."""
-    tail = state.get[0] if state.exists else ""
-    batch = pd.concat(list(pdfs)).sort_values("seq")
-    tails = []
-    for chunk in batch["chunk"]:
-        tails.append(tail)
-        tail = (tail + (chunk or ""))[-(MAX_TOKEN - 1) :]
-    state.update((tail,))
-    yield batch.assign(tail=tails)[["stream_id", "seq", "chunk", "tail"]]
+def attach_tail(
+    longest: int,
+) -> Callable[[tuple, Iterator[pd.DataFrame], GroupState], Iterator[pd.DataFrame]]:
+    """The state function that gives each chunk the text before it.
+
+    The state is as much of that text as a token of the ``longest`` length can begin in.
+    """
+    size = max(longest - 1, 1)
+
+    def run(
+        key: tuple, pdfs: Iterator[pd.DataFrame], state: GroupState
+    ) -> Iterator[pd.DataFrame]:
+        tail = state.get[0] if state.exists else ""
+        batch = pd.concat(list(pdfs)).sort_values("seq")
+        tails = []
+        for chunk in batch["chunk"]:
+            tails.append(tail)
+            tail = (tail + (chunk or ""))[-size:]
+        state.update((tail,))
+        yield batch.assign(tail=tails)[["stream_id", "seq", "chunk", "tail"]]
+
+    return run
 
 
 def stream_chunks(
-    stream: DataFrame, vault: VaultReader, path: str, checkpoint: str
+    stream: DataFrame,
+    vault: VaultReader,
+    path: str,
+    checkpoint: str,
+    longest: int | None = None,
 ) -> StreamingQuery:
     """Rehydrate chunks as they arrive (``stream_id, seq, emitted``).
 
     Chunks of a stream must arrive in order across micro-batches; within one they are
-    sorted.  The vault is read afresh for each micro-batch.
+    sorted.  The vault is read afresh for each micro-batch; ``longest`` bounds the length of
+    its tokens, by default the longest at the start.
     """
+    size = longest_token(vault()) if longest is None else longest
     tailed = stream.groupBy("stream_id").applyInPandasWithState(
-        _attach_tail, TAIL_OUT, "tail string", "append", GroupStateTimeout.NoTimeout
+        attach_tail(size), TAIL_OUT, "tail string", "append", GroupStateTimeout.NoTimeout
     )
     return batches_to_table(tailed, path, checkpoint, lambda b: emit_raw(questions(b), vault()))
 
@@ -148,7 +184,7 @@ def stream_sse(
     The length of the longest token is taken once, at the start; the vault itself is read
     for each micro-batch.
     """
-    longest = vault().agg(F.coalesce(F.max(F.length("token")), F.lit(0))).first()[0]
+    longest = longest_token(vault())
     framed = stream.groupBy("stream_id").applyInPandasWithState(
         frame_events(longest), FRAME_SCHEMA, FRAME_STATE, "append", GroupStateTimeout.NoTimeout
     )
@@ -156,13 +192,30 @@ def stream_sse(
 
 
 def emit_frames(frames: DataFrame, vault: DataFrame) -> DataFrame:
-    """Fill the live parts of framed events from the vault and join the parts."""
-    tokens = f"flatten(transform(pieces, p -> {tokens_in_sql('p.live')}))"
-    plain = replace_tokens_sql("p.live", "_values")
-    quoted = replace_tokens_sql("p.live", "_values", json=True)
+    """Fill the live parts of framed events from the vault and join the parts.
+
+    ``was`` and ``hold`` are possible token starts before and at the end of plain text; they
+    wait only if a token of the vault begins so.
+    """
+    pattern = CUSTOM_TOKEN_PATTERN
+    in_events = tokens_in_sql("p.live", pattern)
+    in_raw = tokens_in_sql("concat(was, raw)", pattern)
+    tokens = (
+        f"concat(flatten(transform(pieces, p -> {in_events})), {in_raw},"
+        " filter(array(was, hold), x -> x <> ''))"
+    )
+    plain = replace_tokens_sql("p.live", "_values", pattern)
+    quoted = replace_tokens_sql("p.live", "_values", pattern, json=True)
+    known = "if(_values IS NOT NULL AND map_contains_key(_values, {0}), {0}, '')"
+    text = f"concat({known.format('was')}, raw)"
+    shown = f"substr({text}, 1, length({text}) - length({known.format('hold')}))"
     filled = f"""
-        array_join(transform(pieces, p -> concat(p.fixed, CASE
-            WHEN _values IS NULL THEN p.live WHEN p.json THEN {quoted} ELSE {plain} END)), '')"""
-    return attach_values(frames, ["stream_id", "seq"], tokens, vault).select(
+        concat(
+            CASE WHEN _values IS NULL THEN raw
+                ELSE {replace_tokens_sql(shown, "_values", pattern)} END,
+            array_join(transform(pieces, p -> concat(p.fixed, CASE
+                WHEN _values IS NULL THEN p.live WHEN p.json THEN {quoted} ELSE {plain} END)), ''))"""
+    asked = frames.select(F.expr("explode(array(nullif(was, ''), nullif(hold, '')))").alias("prefix"))
+    return attach_values(frames, ["stream_id", "seq"], tokens, known_to(vault, asked)).select(
         "stream_id", "seq", F.expr(filled).alias("emitted")
     )

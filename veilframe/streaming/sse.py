@@ -2,8 +2,12 @@
 
 Per stream and chunk it yields what may be shown by now, as pieces: fixed text, and live
 text in which tokens are still to be replaced.  It knows nothing of the vault but the
-length of its longest token, so its state is an incomplete line and, per field, the end of
-a text that may yet become a token.
+length of its longest token, so its state is an incomplete line, the end of plain text and,
+per field, the end of a text that may yet become a token.
+
+Text outside of events is ``raw``.  Its end ``hold`` may be the beginning of a token; whether
+it waits is decided where the vault is read, there and for the next chunk, to which it is
+``was``.  (Where an event line follows such an end without a line end, it counts as an event.)
 """
 
 from __future__ import annotations
@@ -17,13 +21,14 @@ from typing import Any
 import pandas as pd
 from pyspark.sql.streaming.state import GroupState
 
-from veilframe.operators.chunks import FIELD_CAP, HELD_DELTA, PARTIAL
+from veilframe.operators.chunks import HELD_DELTA, PARTIAL
+from veilframe.operators.nested import JSON_STRING
 
 FRAME_SCHEMA = (
-    "stream_id long, seq long,"
+    "stream_id long, seq long, was string, raw string, hold string,"
     " pieces array<struct<fixed: string, live: string, json: boolean>>"
 )
-FRAME_STATE = "buffer string, held string"
+FRAME_STATE = "buffer string, was string, held string"
 
 # The field marker, the end marker, and the fields that carry text.
 DATA = "data: "
@@ -31,6 +36,7 @@ DONE = "data: [DONE]"
 FIELDS = (("content", "text"), ("reasoning_content",), ("partial_json",))
 
 _HELD = re.compile(HELD_DELTA.replace(r"\z", r"\Z"))
+_STRING = re.compile(JSON_STRING)
 _PARTIAL = re.compile(PARTIAL.replace(r"\z", r"\Z"))
 
 
@@ -46,6 +52,16 @@ def _dump(value: Any) -> str:
     return json.dumps(value, ensure_ascii=False, separators=(",", ":"))
 
 
+def _value_pieces(text: str) -> list[dict[str, Any]]:
+    """A JSON text in which the string values with a bracket are live; keys never are."""
+    pieces, start = [], 0
+    for m in _STRING.finditer(text):
+        if "[" in m.group() and not text.startswith(":", m.end()):
+            pieces.append(_piece(text[start : m.start()], m.group(), True))
+            start = m.end()
+    return [*pieces, _piece(fixed=text[start:])]
+
+
 def _delta(event: Any) -> dict | None:
     """The delta object of an event, in either of its two places."""
     if not isinstance(event, dict):
@@ -61,29 +77,40 @@ def _delta(event: Any) -> dict | None:
 def _line_pieces(line: str, held: dict[str, str], longest: int) -> list[dict[str, Any]]:
     if not line.startswith(DATA) or line.strip() == DONE:
         return [_piece(fixed=line + "\n")]
+    # Numbers travel as marked strings, so that they are printed as they were spelled.
+    mark = uuid.uuid4().hex
+
+    def number(spelling: str) -> str:
+        return mark + spelling
+
     try:
-        event = json.loads(line[len(DATA) :], parse_constant=_no_constant)
+        event = json.loads(
+            line[len(DATA) :], parse_constant=_no_constant, parse_float=number, parse_int=number
+        )
     except ValueError:
         return [_piece(live=line + "\n")]
+
+    def printed(value: Any) -> str:
+        return re.sub(f'"{mark}([^"]*)"', r"\1", _dump(value))
+
     delta = _delta(event)
     if delta is None:
-        return [_piece(DATA, _dump(event), True), _piece(fixed="\n")]
+        return [_piece(DATA), *_value_pieces(printed(event)), _piece(fixed="\n")]
     # Each text field gives way to a mark, which then splits the event into pieces.
-    mark = uuid.uuid4().hex
     shown: list[str] = []
     for names in FIELDS:
-        name = next((n for n in names if isinstance(delta.get(n), str)), None)
+        name = next(
+            (n for n in names if isinstance(delta.get(n), str) and mark not in delta[n]), None
+        )
         if name is None:
             continue
         text = held.get(name, "") + delta[name]
         found = _HELD.search(text)
         rest = found.group() if found and len(found.group()) < longest else ""
-        if len(text) > FIELD_CAP:
-            rest = ""
         held[name] = rest
         shown.append(text[: len(text) - len(rest)])
-        delta[name] = f"{mark}{len(shown) - 1}{mark}"
-    parts = re.split(f"{mark}(\\d+){mark}", DATA + _dump(event) + "\n")
+        delta[name] = f"<{mark}{len(shown) - 1}{mark}>"
+    parts = re.split(f"<{mark}(\\d+){mark}>", DATA + printed(event) + "\n")
     pieces = [
         _piece(parts[i], _dump(shown[int(parts[i + 1])])[1:-1], True)
         for i in range(0, len(parts) - 1, 2)
@@ -91,24 +118,30 @@ def _line_pieces(line: str, held: dict[str, str], longest: int) -> list[dict[str
     return [*pieces, _piece(fixed=parts[-1])]
 
 
+Shown = tuple[str, str, str, list[dict[str, Any]]]
+
+
 def advance(
-    buffer: str, held: dict[str, str], chunk: str, longest: int
-) -> tuple[str, list[dict[str, Any]]]:
-    """Take in one chunk; returns the new buffer and what can be shown."""
+    buffer: str, was: str, held: dict[str, str], chunk: str, longest: int
+) -> tuple[str, str, Shown]:
+    """Take in one chunk.
+
+    Returns the new buffer, the end of plain text that may wait, and what can be shown: the
+    end that may have waited so far, plain text, its end that may wait now, and pieces.
+    """
     buffer += chunk
     if DATA not in buffer:
         # Not an event stream (yet): only a possible token start waits.
-        partial = _PARTIAL.search(buffer)
-        keep = len(partial.group()) if partial and len(partial.group()) < longest else 0
-        cut = len(buffer) - keep
-        return buffer[cut:], [_piece(live=buffer[:cut])]
+        partial = _PARTIAL.search(was + buffer)
+        hold = partial.group() if partial and len(partial.group()) < longest else ""
+        return "", hold, (was, buffer, hold, [])
     lines, newline, rest = buffer.rpartition("\n")
     if not newline:
-        return buffer, []
+        return buffer, was, ("", "", "", [])
     pieces: list[dict[str, Any]] = []
     for line in lines.split("\n"):
         pieces.extend(_line_pieces(line, held, longest))
-    return rest, pieces
+    return rest, "", (was, "", "", pieces)
 
 
 def frame_events(
@@ -119,16 +152,15 @@ def frame_events(
     def run(
         key: tuple, pdfs: Iterator[pd.DataFrame], state: GroupState
     ) -> Iterator[pd.DataFrame]:
-        buffer, packed = state.get if state.exists else ("", "{}")
+        buffer, was, packed = state.get if state.exists else ("", "", "{}")
         held = json.loads(packed)
         batch = pd.concat(list(pdfs)).sort_values("seq")
-        pieces = []
+        shown = []
         for chunk in batch["chunk"]:
-            buffer, shown = advance(buffer, held, chunk or "", longest)
-            pieces.append(shown)
-        state.update((buffer, json.dumps(held)))
-        yield pd.DataFrame(
-            {"stream_id": batch["stream_id"], "seq": batch["seq"], "pieces": pieces}
-        )
+            buffer, was, part = advance(buffer, was, held, chunk or "", longest)
+            shown.append(part)
+        state.update((buffer, was, json.dumps(held)))
+        out = pd.DataFrame(shown, columns=["was", "raw", "hold", "pieces"], index=batch.index)
+        yield pd.concat([batch[["stream_id", "seq"]], out], axis=1)
 
     return run
