@@ -122,3 +122,13 @@ def test_json_keys_and_spelling_stay(spark):
         f'data: {{"{t}":1.50,"v":"q\\"@b.io","n":-0}}\n',
         'data: {"n":1.50,"delta":{"text":"q\\"@b.io","x":2.0}}\n',
     ]
+
+
+def test_json_validity(spark):
+    from veilframe.operators.nested import is_json_sql
+
+    good = ["{}", "[]", '"x"', " 1 ", "null", '{"a":1,"a":2}', "[" * 1200 + "]" * 1200, '{"[":[{}]}']
+    bad = ["", " ", "1,2", "1],[2", '1,"b":2', "{", "{}{}", "1}", '{"a":1} x', "tru", "[" * 1200, '{"a" 1}']
+    df = spark.createDataFrame([(x,) for x in good + bad], "j string")
+    got = {r.j: r.ok for r in df.selectExpr("j", f"{is_json_sql('j')} AS ok").collect()}
+    assert [x for x in good if not got[x]] == [] and [x for x in bad if got[x]] == []

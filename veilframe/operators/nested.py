@@ -160,6 +160,32 @@ def _json_unquote_sql(literal: str) -> str:
     )
 
 
+def is_json_sql(json: str) -> str:
+    """Whether a text is one JSON value; keys may repeat.
+
+    Inside an array and as the value of an object it must be the only item, and no text that
+    is not a single value passes both.  The parser stops at a thousand levels; a text that is
+    deeper passes if its brackets outside of string literals balance.
+    """
+    brackets = (
+        f"split(regexp_replace(regexp_replace({json}, {sql_text(JSON_STRING)}, ''),"
+        " '[^\\\\[\\\\]{}]+', ''), '')"
+    )
+    step = (
+        "(s, c) -> named_struct('d', s.d + if(c IN ('[', '{'), 1, if(c IN (']', '}'), -1, 0)),"
+        " 'top', greatest(s.top, s.d), 'low', least(s.low, s.d))"
+    )
+    deep = (
+        f"aggregate({brackets}, named_struct('d', 0, 'top', 0, 'low', 0), {step},"
+        " s -> s.d = 0 AND s.low >= 0 AND s.top >= 900)"
+    )
+    return (
+        f"coalesce(json_array_length(concat('[', {json}, ']')) = 1"
+        f" AND size(json_object_keys(concat('{{\"\":', {json}, '}}'))) = 1, false)"
+        f" OR coalesce({deep}, false)"
+    )
+
+
 def json_redaction_sql(json: str, width: int = HASH_WIDTH) -> str:
     """``STRUCT<text, findings>`` for a JSON text of any shape; null where it is not JSON.
 
@@ -180,15 +206,14 @@ def json_redaction_sql(json: str, width: int = HASH_WIDTH) -> str:
         ELSE transform(array({value}), z ->
             named_struct('text', {json_quote_sql('z.text')}, 'findings', z.findings))[0] END"""
     return f"""
-        CASE WHEN try_parse_json({json}) IS NOT NULL THEN
-        transform(array({json}), j ->
+        transform(array({json}), j -> CASE WHEN {is_json_sql('j')} THEN
           transform(array(regexp_extract_all(j, {lit}, 0)), lits ->
             transform(array(split(j, {lit}, -1)), gaps ->
               transform(array(transform(lits, (l, i) -> {piece})), ps -> named_struct(
                 'text', array_join(zip_with(
                     transform(gaps, g -> regexp_replace(g, '[ \\\\t\\\\r\\\\n]+', '')), ps,
                     (g, p) -> concat(g, coalesce(p.text, ''))), ''),
-                'findings', flatten(ps.findings)))[0])[0])[0])[0] END"""
+                'findings', flatten(ps.findings)))[0])[0])[0] END)[0]"""
 
 
 def redact_json(
@@ -197,16 +222,23 @@ def redact_json(
     width: int = HASH_WIDTH,
     redacted: str = "redacted",
     findings: str = "findings",
+    status: str | None = None,
 ) -> DataFrame:
     """Add the redacted form and the findings of a JSON text column.
 
-    Rows may differ in shape; no schema is needed.  Invalid JSON gives null.
+    Rows may differ in shape, keys may repeat and nesting may be deep; no schema is needed.
+    Invalid JSON gives null, which column ``status`` (if named) tells apart from a missing
+    text: ``ok``, ``missing`` or ``invalid``.
     """
-    keep = [F.col(quote(c)) for c in df.columns if c not in (redacted, findings)]
+    named = (redacted, findings, status)
+    keep = [F.col(quote(c)) for c in df.columns if c not in named]
+    state = F.when(F.col(quote(column)).isNull(), "missing").when(F.col("_r").isNull(), "invalid")
+    more = [] if status is None else [state.otherwise("ok").alias(status)]
     return df.select(
         *keep, F.expr(once_sql(json_redaction_sql(quote(column), width))).alias("_r")
     ).select(
         *keep,
         F.col("_r.text").alias(redacted),
         F.coalesce(F.col("_r.findings"), F.expr(NO_FINDINGS)).alias(findings),
+        *more,
     )

@@ -173,6 +173,12 @@ SQL: dict[str, str] = {
         {N_TOKENS} + 1 AS token_count FROM r""",
     "redact_json": f"""WITH {chain('r', TIMED)} SELECT request_id, {body('t')} AS redacted,
         {N_TOKENS} AS token_count FROM r""",
+    "redact_json_status": f"""WITH {DOCS} SELECT doc_id,
+        CASE WHEN doc_id % 5 IN (2, 3) THEN 'invalid' ELSE 'ok' END AS status,
+        CASE doc_id % 5 WHEN 0 THEN '{{"a":' || {js('t')} || ',"a":' || {js('t')} || '}}'
+            WHEN 1 THEN repeat('[', 1200) || {js('t')} || repeat(']', 1200)
+            WHEN 4 THEN {js('t')} END AS redacted,
+        CASE WHEN doc_id % 5 IN (2, 3) THEN 0 ELSE {N_TOKENS} END AS token_count FROM r""",
     "redact_chat": f"""WITH {chain('c', 'SELECT conv_id, turn, role, text FROM conversations')},
         {DOCS} SELECT c.conv_id, c.turn, c.role, c.t AS content, r.t AS attached,
         len(list_distinct(list_concat(list_transform(c.f, lambda x: x.token),

@@ -110,6 +110,13 @@ def json_bodies(spark: SparkSession, sf: str) -> DataFrame:
     return out.select("request_id", "redacted", "token_count")
 
 
+@query()
+def redact_json_status(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents in bodies with repeated keys, deep nesting, cut ends and trailing text."""
+    out = redact_json(src.odd_bodies(spark, sf), "body", status="status")
+    return redact.with_flags(out).select("doc_id", "status", "redacted", "token_count")
+
+
 @query()
 def redact_chat(spark: SparkSession, sf: str) -> DataFrame:
     out = redact_nested(src.chat_turns(spark, sf), ["messages"])

@@ -176,6 +176,19 @@ def request_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return redact_text(timed_documents(spark, sf_dir), "text")
 
 
+def odd_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document in a JSON body of an unusual kind: ``doc_id, body``."""
+    t = json_quote_sql("text")
+    body = f"""
+        CASE pmod(doc_id, 5)
+        WHEN 0 THEN concat('{{"a":', {t}, ',"a":', {t}, '}}')
+        WHEN 1 THEN concat(repeat('[', 1200), {t}, repeat(']', 1200))
+        WHEN 2 THEN concat('{{"a":', {t})
+        WHEN 3 THEN concat('{{"a":', {t}, '}} {{}}')
+        ELSE {t} END"""
+    return documents(spark, sf_dir).select("doc_id", F.expr(body).alias("body"))
+
+
 def echo_responses(redacted: DataFrame) -> DataFrame:
     """Responses that repeat the redacted text; every tenth one failed."""
     body = (
