@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from veilframe.llm.common import bounded_sample
 
-TOKEN = r"[a-z0-9]+(?:[.-][a-z0-9]+)*"
+TOKEN = r"[a-z0-9]+(?:[.-][a-z0-9]+)*+"  # possessive: Java backs up on its stack otherwise
 UNKNOWN = "unknown"
 SAMPLE = 400  # documents whose paragraphs may serve as examples of no licence
 PARAGRAPHS = 3000  # paragraphs of that sample, at most
