@@ -116,6 +116,36 @@ def test_near_duplicates(docs, local):
     assert set(range(160)) <= set(ids)
 
 
+def test_near_duplicates_link_between_the_members_of_an_entry(spark):
+    """Chains of texts, each near to the next, against every pair within the radius."""
+    rng = random.Random(8)
+    texts = {}
+    for chain in range(6):
+        words = [f"w{rng.randrange(400)}" for _ in range(200)]
+        for _ in range(14):
+            texts[len(texts)] = " ".join(words)
+            words[rng.randrange(200)] = f"n{rng.randrange(10**6)}"
+    texts |= {1000: "", 1001: None, 1002: " ", 1003: "\n"}
+    parts = {i: simhash_dedup.profile(t)[1] for i, t in texts.items()}
+    sets = {i: set(simhash_dedup.shingles(simhash_dedup.words(t), 5)) for i, t in texts.items()}
+    root = {i: i for i in texts}
+
+    def find(i):
+        return i if root[i] == i else find(root[i])
+
+    for a in texts:
+        for b in texts:
+            near = min(((x ^ y) & (2**64 - 1)).bit_count() for x, y in zip(parts[a], parts[b])) <= 5
+            same = (texts[a] or "") == (texts[b] or "")
+            if a < b and (same or near and sets[a] and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])):
+                x, y = sorted((find(a), find(b)))
+                root[y] = x
+    rows = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = {r.id: r.root for r in simhash_dedup.near_duplicates(rows).collect()}
+    assert got == {i: find(i) for i in texts}
+    assert len({find(i) for i in range(len(texts) - 4)}) < len(texts) // 3
+
+
 def test_top_k(spark):
     rng = np.random.default_rng(1)
     rows = [(i, [float(v) for v in rng.normal(size=16)]) for i in range(150)]
@@ -247,3 +277,9 @@ def test_licenses(spark):
     assert got[1] == ("MIT", 1, 1) and got[2] == ("Apache", 1, 1) and got[3] == ("GPL", 1, 1)
     assert got[7] == ("CC-BY-NC,MIT", 2, 2)
     assert {got[k] for k in (4, 5, 6, *range(100, 160))} == {("", 0, 0)}
+
+
+def test_licenses_of_one_very_long_word(spark):
+    rows = spark.createDataFrame([(1, "a." * 200_000), (2, "Licensed under CC BY 4.0.")], "doc_id long, text string")
+    got = {r.doc_id: r.n_licenses for r in license_scan.license_report(rows).collect()}
+    assert got[1] == 0

@@ -192,16 +192,58 @@ def shingle_sets(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, "id long, shingles array<long>")
 
 
+def similar(pairs: DataFrame, body: DataFrame) -> DataFrame:
+    """The rows of ``pairs (a, b)`` whose texts in ``body (id, text)`` are near: at least
+    ``SIMILARITY`` of the shingles of both are shared.  Texts without a word are near none."""
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    sets = stage(shingle_sets(body.join(wanted, "id", "left_semi").dropDuplicates(["id"])), "shingles")
+    left, right = sets.toDF("a", "sa"), sets.toDF("b", "sb")
+    shared = F.size(F.array_intersect("sa", "sb"))
+    close = shared >= SIMILARITY * (F.size("sa") + F.size("sb") - shared)
+    return pairs.join(left, "a").join(right, "b").filter(close & (F.size("sa") > 0)).select("a", "b")
+
+
+def _within(a: str, b: str) -> Column:
+    return F.least(*(F.bit_count(F.col(a)[p].bitwiseXOR(F.col(b)[p])) for p in range(PARTS))) <= RADIUS
+
+
+def left_over(held: DataFrame, texts: DataFrame, roots: DataFrame) -> DataFrame:
+    """``a, b``: the pairs of fuller table entries that comparing with the ends left open.
+
+    Only texts of different components matter.  The members of an entry that are outside its
+    most frequent component are compared with all of its members in other components.
+    """
+    members = (
+        held.filter("n > 3").select("slot", "id")
+        .join(texts.filter(F.exists("fps", lambda w: w != 0)).select("id", "fps"), "id")
+        .join(roots.withColumnRenamed("node", "id"), "id", "left")
+        .withColumn("root", F.coalesce("root", "id"))
+    )
+    members = stage(members, "members")
+    main = (
+        members.groupBy("slot", "root").count().groupBy("slot")
+        .agg(F.max(F.struct("count", "root"))["root"].alias("main"), F.count("*").alias("k"))
+        .filter("k > 1").select("slot", "main")
+    )
+    outside = members.join(main, "slot").filter("root <> main").select(
+        "slot", "main", F.col("id").alias("x"), F.col("root").alias("rx"), F.col("fps").alias("fx"))
+    pairs = outside.join(members, "slot").filter(
+        (F.col("root") != F.col("rx")) & ((F.col("root") == F.col("main")) | (F.col("x") < F.col("id")))
+        & _within("fx", "fps"))
+    return pairs.select(F.least("x", "id").alias("a"), F.greatest("x", "id").alias("b")).distinct()
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id, root`` of every id that is in a group with another: exact copies, and texts whose
     five-word shingles have a Jaccard similarity of 0.8 or more; ``root`` is the smallest id.
 
     Equal texts are one text from here on.  Each has two 64-bit SimHashes, and the covering
-    tables of radius 5 bring together every pair that is within the radius in either.  An
-    entry of a table is never compared all to all: its members are compared with its smallest
-    and its largest id, and those pairs are checked on the shingles of the whole texts.
-    Texts of fewer than five words are near only to texts of the same words.  Null and empty
-    texts are copies of each other.  Rows of one id are one document; null ids take no part.
+    tables of radius 5 bring together every pair that is within the radius in either.  The
+    members of an entry are first compared with its smallest and its largest id, which links
+    most copies; then the pairs that are still in different components.  All are checked on
+    the shingles of the whole texts.  Texts of fewer than five words are near only to texts of
+    the same words.  Null and empty texts are copies of each other.  Rows of one id are one
+    document; null ids take no part.
     """
     every = stage(profiles(docs, id_col, text_col), "profiles")
     texts = stage(every.groupBy("key").agg(F.min("id").alias("id"), F.min("fps").alias("fps")), "texts")
@@ -215,28 +257,29 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     placed = spread.select("id", F.explode(slots).alias("slot"))
     entries = placed.groupBy("slot").agg(
         F.count("*").alias("n"), F.min("id").alias("low"), F.max("id").alias("high")
-    ).filter("n > 1").drop("n")
+    ).filter("n > 1")
     ends = stage(entries, "slots")
+    held = stage(placed.join(ends, "slot"), "held")
     pairs = (
-        placed.join(ends, "slot").select("id", F.explode(F.array("low", "high")).alias("other"))
+        held.select("id", F.explode(F.array("low", "high")).alias("other"))
         .filter("id <> other").select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b"))
         .distinct()
     )
     fps = texts.select(F.col("id").alias("a"), F.col("fps").alias("fa"))
-    near = F.least(*(F.bit_count(F.col("fa")[p].bitwiseXOR(F.col("fb")[p])) for p in range(PARTS))) <= RADIUS
     pairs = stage(
-        pairs.join(fps, "a").join(fps.toDF("b", "fb"), "b").filter(near).select("a", "b"), "pairs"
+        pairs.join(fps, "a").join(fps.toDF("b", "fb"), "b").filter(_within("fa", "fb")).select("a", "b"), "pairs"
     )
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
     body = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    sets = stage(shingle_sets(body.join(wanted, "id", "left_semi").dropDuplicates(["id"])), "shingles")
-    left, right = sets.toDF("a", "sa"), sets.toDF("b", "sb")
-    shared = F.size(F.array_intersect("sa", "sb"))
-    close = shared >= SIMILARITY * (F.size("sa") + F.size("sb") - shared)
-    links = pairs.join(left, "a").join(right, "b").filter(close & (F.size("sa") > 0)).select("a", "b")
-    roots = components(links)
+    roots = stage(components(similar(pairs, body)), "roots")
+    more = stage(left_over(held, texts, roots), "pairs")
+    further = similar(more, body)
+    for end in ("a", "b"):
+        named = roots.withColumnRenamed("node", end).withColumnRenamed("root", "_root")
+        further = further.join(named, end, "left").withColumn(end, F.coalesce("_root", end)).drop("_root")
+    joined = components(further)
     by_text = texts.select("key", F.col("id").alias("node")).join(roots, "node", "left").select(
-        "key", F.coalesce("root", "node").alias("root"))
+        "key", F.coalesce("root", "node").alias("node"))
+    by_text = by_text.join(joined, "node", "left").select("key", F.coalesce("root", "node").alias("root"))
     return every.select("id", "key").join(by_text, "key").groupBy("id").agg(F.min("root").alias("root"))
 
 
