@@ -15,7 +15,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from veilframe.llm.common import components, text_batches
@@ -207,30 +207,56 @@ def _within(a: str, b: str) -> Column:
     return F.least(*(F.bit_count(F.col(a)[p].bitwiseXOR(F.col(b)[p])) for p in range(PARTS))) <= RADIUS
 
 
-def left_over(held: DataFrame, texts: DataFrame, roots: DataFrame) -> DataFrame:
-    """``a, b``: the pairs of fuller table entries that comparing with the ends left open.
+def _split(members: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
+    """The members of each key that still has several components, with its most frequent
+    component as ``main``, and those outside it under other names."""
+    main = (
+        members.groupBy(key, "root").count().groupBy(key)
+        .agg(F.max(F.struct("count", "root"))["root"].alias("main"), F.count("*").alias("k"))
+        .filter("k > 1").select(key, "main")
+    )
+    every = stage(members.join(main, key), "members")
+    outside = every.filter("root <> main").drop("main")
+    return every, outside.select(key, *(F.col(c).alias(f"{c}_x") for c in outside.columns if c != key))
+
 
-    Only texts of different components matter.  The members of an entry that are outside its
-    most frequent component are compared with all of its members in other components.
+def left_over(held: DataFrame, texts: DataFrame, roots: DataFrame, body: DataFrame) -> DataFrame:
+    """``a, b``: the pairs of fuller table entries that comparing with the ends left open, of
+    texts within the radius, in different components, and able to be near.
+
+    Where an entry still holds several components, semi-joins find the texts with one of
+    another component within the radius.  Those are filed under their rarest shingles, a fifth
+    of them and one more: texts with four fifths of their shingles in common share one of
+    these.  The place of the first shared shingle bounds how many they can share at all, so a
+    pair of copies with too many own shingles is not made.
     """
-    members = (
-        held.filter("n > 3").select("slot", "id")
-        .join(texts.filter(F.exists("fps", lambda w: w != 0)).select("id", "fps"), "id")
-        .join(roots.withColumnRenamed("node", "id"), "id", "left")
-        .withColumn("root", F.coalesce("root", "id"))
+    placed = (
+        held.filter("n > 3").select("slot", "id").join(texts.select("id", "fps"), "id")
+        .join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
     )
-    members = stage(members, "members")
-    main = (
-        members.groupBy("slot", "root").count().groupBy("slot")
-        .agg(F.max(F.struct("count", "root"))["root"].alias("main"), F.count("*").alias("k"))
-        .filter("k > 1").select("slot", "main")
+    every, outside = _split(stage(placed, "placed"), "slot")
+    apart = (every["slot"] == outside["slot"]) & (F.col("root") != F.col("root_x")) & _within("fps", "fps_x")
+    one = every.filter("root = main").join(outside, apart, "left_semi").select("id")
+    other = outside.join(every, apart, "left_semi").select(F.col("id_x").alias("id"))
+    wanted = stage(one.unionByName(other).distinct(), "wanted")
+    near = (
+        wanted.join(texts.select("id", "fps"), "id")
+        .join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
+    )
+    sets = shingle_sets(body.join(wanted, "id", "left_semi").dropDuplicates(["id"]))
+    each = sets.select("id", F.size("shingles").alias("of"), F.explode("shingles").alias("shingle"))
+    each = stage(each, "each")
+    met = each.groupBy("shingle").agg(F.count("*").alias("met"))
+    rarest = Window.partitionBy("id").orderBy("met", "shingle")
+    filed = (
+        each.join(met, "shingle").withColumn("at", F.row_number().over(rarest))
+        .filter("at <= floor(of / 5) + 1 and met > 1").drop("met").join(near, "id")
     )
-    outside = members.join(main, "slot").filter("root <> main").select(
-        "slot", "main", F.col("id").alias("x"), F.col("root").alias("rx"), F.col("fps").alias("fx"))
-    pairs = outside.join(members, "slot").filter(
-        (F.col("root") != F.col("rx")) & ((F.col("root") == F.col("main")) | (F.col("x") < F.col("id")))
-        & _within("fx", "fps"))
-    return pairs.select(F.least("x", "id").alias("a"), F.greatest("x", "id").alias("b")).distinct()
+    every, outside = _split(stage(filed, "filed"), "shingle")
+    pairs = outside.join(every, "shingle").filter(
+        (F.col("root") != F.col("root_x")) & ((F.col("root") == F.col("main")) | (F.col("id_x") < F.col("id")))
+        & F.expr("9 * (least(of - at, of_x - at_x) + 1) >= 4 * (of + of_x)") & _within("fps", "fps_x"))
+    return pairs.select(F.least("id_x", "id").alias("a"), F.greatest("id_x", "id").alias("b")).distinct()
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -240,7 +266,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Equal texts are one text from here on.  Each has two 64-bit SimHashes, and the covering
     tables of radius 5 bring together every pair that is within the radius in either.  The
     members of an entry are first compared with its smallest and its largest id, which links
-    most copies; then the pairs that are still in different components.  All are checked on
+    most copies; then (``left_over``) with those that are still in other components.  All are checked on
     the shingles of the whole texts.  Texts of fewer than five words are near only to texts of
     the same words.  Null and empty texts are copies of each other.  Rows of one id are one
     document; null ids take no part.
@@ -271,7 +297,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     )
     body = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     roots = stage(components(similar(pairs, body)), "roots")
-    more = stage(left_over(held, texts, roots), "pairs")
+    more = stage(left_over(held, texts, roots, body), "pairs")
     further = similar(more, body)
     for end in ("a", "b"):
         named = roots.withColumnRenamed("node", end).withColumnRenamed("root", "_root")
