@@ -146,6 +146,34 @@ def test_near_duplicates_link_between_the_members_of_an_entry(spark):
     assert len({find(i) for i in range(len(texts) - 4)}) < len(texts) // 3
 
 
+def test_near_duplicates_equal_plain_jaccard(spark):
+    """Appended, cut, block-replaced and short copies, whose SimHashes may be far apart."""
+    rng = random.Random(12)
+    texts: dict = {}
+
+    def fresh(n):
+        return [f"v{rng.randrange(3000)}" for _ in range(n)]
+
+    for _ in range(60):
+        base = fresh(rng.choice([6, 9, 14, 30, 80, 200]))
+        n = len(base)
+        block = rng.randrange(max(1, n - n // 11))
+        for copy in (base, base + fresh(n // 10), base + fresh(n * 22 // 100), base[: n - n * 18 // 100],
+                     base[:block] + fresh(n // 11) + base[block + n // 11 :], base[1:], base[1:] + fresh(1)):
+            texts[len(texts)] = " ".join(copy)
+    sets = {i: set(simhash_dedup.shingles(simhash_dedup.words(t), 5)) for i, t in texts.items()}
+    near = [(a, b) for a in texts for b in range(a)
+            if 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])]
+    parts = {i: simhash_dedup.profile(t)[1] for i, t in texts.items()}
+    far = [1 for a, b in near
+           if min(((x ^ y) & (2**64 - 1)).bit_count() for x, y in zip(parts[a], parts[b])) > simhash_dedup.RADIUS]
+    assert len(far) > 50
+    want = {i: r for i, r in reach(near, list(texts)).items()}
+    rows = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = {r.id: r.root for r in simhash_dedup.near_duplicates(rows).collect()}
+    assert {i: got.get(i, i) for i in texts} == want
+
+
 def test_top_k(spark):
     rng = np.random.default_rng(1)
     rows = [(i, [float(v) for v in rng.normal(size=16)]) for i in range(150)]
