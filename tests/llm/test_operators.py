@@ -79,6 +79,12 @@ def test_masks_cover_the_radius(radius):
         assert any(flipped & m == 0 for m in masks)
 
 
+@pytest.mark.parametrize("radius", [2, 5])
+def test_masks_are_of_even_size(radius):
+    sizes = [m.bit_count() for m in simhash_dedup.covering_masks(radius)]
+    assert min(sizes) >= 28 and max(sizes) <= 40
+
+
 def test_fingerprint_links_equal_brute_force(spark):
     rng = random.Random(3)
     words = [rng.getrandbits(64) for _ in range(40)]

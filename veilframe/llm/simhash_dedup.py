@@ -28,7 +28,7 @@ CHUNK = 1 << 16
 def covering_masks(radius: int, bits: int = BITS) -> list[int]:
     """The masks as unsigned integers; any two words within ``radius`` agree under one."""
     size = (1 << (radius + 1)) - 1
-    order = [(i * 7 + i // size) % size + 1 for i in range(bits)]
+    order = [i % size + 1 for i in range(bits)]
     masks = []
     for v in range(1, size + 1):
         masks.append(sum(1 << i for i, m in enumerate(order) if (m & v).bit_count() & 1))
