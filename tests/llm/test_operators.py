@@ -317,3 +317,32 @@ def test_licenses_of_one_very_long_word(spark):
     rows = spark.createDataFrame([(1, "a." * 200_000), (2, "Licensed under CC BY 4.0.")], "doc_id long, text string")
     got = {r.doc_id: r.n_licenses for r in license_scan.license_report(rows).collect()}
     assert got[1] == 0
+
+
+MIT_WRAPPED = """/*
+ * Permission is hereby granted, free of charge, to any
+ * person obtaining a copy of this software and
+ * associated documentation files, to deal in the
+ * Software without restriction
+ */"""
+BSD_WRAPPED = """# Redistribution and use in source and binary
+# forms, with or without modification, are
+# permitted provided that the following conditions
+# are met
+#
+# ka mo ti"""
+GPL_WRAPPED = """This program is free software: you can redistribute it
+and/or modify it under the terms of the GNU General Public
+License as published by the Free Software Foundation"""
+
+
+def test_licenses_wrapped_over_lines(spark):
+    plain = [sentence(random.Random(i), "xa", 40) + "\n" + sentence(random.Random(-i), "yb", 30) for i in range(60)]
+    told = {1: MIT_WRAPPED, 2: "ka mo\n\n" + BSD_WRAPPED, 3: GPL_WRAPPED + "\r\n\r\n" + MIT_WRAPPED, 4: "a\n \nb\n\n\nc"}
+    rows = [(100 + i, t) for i, t in enumerate(plain)] + list(told.items())
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r for r in license_scan.license_report(docs).collect()}
+    assert [(got[k].families, got[k].n_licenses, got[k].n_confirmed) for k in told] == [
+        ("MIT", 1, 1), ("BSD", 1, 1), ("GPL,MIT", 2, 2), ("", 0, 0)]
+    assert got[4].n_paragraphs == 3
+    assert {got[100 + i].n_licenses for i in range(60)} == {0}

@@ -23,6 +23,8 @@ from pyspark.sql import functions as F
 from veilframe.llm.common import bounded_sample
 
 TOKEN = r"[a-z0-9]+(?:[.-][a-z0-9]+)*+"  # possessive: Java backs up on its stack otherwise
+# Between paragraphs: lines without a letter or digit, such as a comment sign alone.
+BLANK = r"\n(?:[^\p{L}\p{N}\n]*+\n)++"
 UNKNOWN = "unknown"
 SAMPLE = 400  # documents whose paragraphs may serve as examples of no licence
 PARAGRAPHS = 3000  # paragraphs of that sample, at most
@@ -129,11 +131,13 @@ def fit(paragraphs: list[str], seed: int = 3) -> LicenseModel:
     """Fit, calibrate and thin out the model; ``paragraphs`` are examples of corpus text."""
     rng = random.Random(seed)
     pairs = [set(zip(w, w[1:])) for texts in TEMPLATES.values() for t in texts for w in [tokens_of(t)]]
+    triples = {t for texts in TEMPLATES.values() for x in texts for w in [tokens_of(x)] for t in zip(w, w[1:], w[2:])}
     plain = []
     for p in paragraphs[:PARAGRAPHS]:
         words = tokens_of(p)
         own = set(zip(words, words[1:]))
-        if not any(len(own & t) >= CONFIRM * len(t) for t in pairs):
+        fragment = len(triples.intersection(zip(words, words[1:], words[2:]))) > 1
+        if not fragment and not any(len(own & t) >= CONFIRM * len(t) for t in pairs):
             plain.append(words)
     fillers = [w for words in plain for w in words[:50]] or tokens_of(" ".join(OTHER))
     families = [*TEMPLATES, UNKNOWN]
@@ -198,11 +202,20 @@ def _sparse_softmax(x: np.ndarray, y: np.ndarray, k: int, l1: float = 2e-4, roun
     return w, b
 
 
+def pieces_of(text: str) -> list[str]:
+    """What a scan of the text looks at: its paragraphs of several lines, and its lines."""
+    out = []
+    for paragraph in re.split(r"\n(?:[^\w\n]*\n)+", text):
+        lines = [line for line in paragraph.split("\n") if line.strip()]
+        out += [*lines, paragraph] if len(lines) > 1 else lines
+    return out
+
+
 def train(docs: DataFrame, text_col: str, sample: int = SAMPLE) -> LicenseModel:
-    """Fit on paragraphs of at most ``sample`` texts, chosen by a hash of the text."""
+    """Fit on pieces of at most ``sample`` texts, chosen by a hash of the text."""
     texts = docs.filter(F.col(text_col).isNotNull()).select(F.lit(0).alias("all"), F.col(text_col).alias("t"))
     rows = bounded_sample(texts, "all", sample, "t")
-    return fit([line for r in rows for line in r["t"].split("\n") if line.strip()])
+    return fit([piece for r in rows for piece in pieces_of(r["t"])])
 
 
 def _fixed(value: object, kind: str) -> Column:
@@ -224,9 +237,14 @@ FOUND = "struct<paragraph:int,family:string,probability:double,confirmed:boolean
 
 
 def scan_licenses(docs: DataFrame, text_col: str, model: LicenseModel, out: str = "licenses") -> DataFrame:
-    """Adds ``out``, an array with one entry per paragraph (line) that names a licence: its
-    number, the family, the calibrated probability, and the closest template of the family
-    with the share of its word pairs that the paragraph holds.
+    """Adds ``out``, an array with one entry per paragraph and licence that it names: the
+    paragraph's number, the family, the calibrated probability, and the closest template of
+    the family with the share of its word pairs that the paragraph holds.
+
+    Paragraphs end at blank lines.  Each is read line by line, and as a whole across its line
+    ends, as notices are often wrapped.  The whole counts if a template confirms it or no line
+    names a licence; a line that nothing confirms is then a fragment if it holds a word pair
+    of that template.  Of several finds of one family the closest to a template stays.
 
     A text without any word of the model has no licence, and neither has a paragraph without
     one: with no feature, only the constant speaks, for ``unknown``.  Null and empty texts
@@ -244,31 +262,66 @@ def scan_licenses(docs: DataFrame, text_col: str, model: LicenseModel, out: str
     templates = _fixed(compared, "array<struct<family:string,id:string,pairs:array<string>>>")
     none = F.array().cast(f"array<{FOUND}>")
 
-    def classify(line: Column) -> Column:
-        grams = F.array_distinct(_grams(line.words))
+    def classify(piece: Column) -> Column:
+        grams = F.array_distinct(_grams(piece.words))
         logits = F.aggregate(
             F.array_intersect(grams, vocabulary), bias,
             lambda acc, g: F.zip_with(acc, F.element_at(weights, g), lambda a, b: a + b))
-        scaled = F.transform(logits, lambda v: F.exp(v / F.lit(model.temperature)))
+        scaled = F.transform(logits, lambda v: F.exp((v - F.array_max(logits)) / F.lit(model.temperature)))
         total = F.aggregate(scaled, F.lit(0.0), lambda a, v: a + v)
         family = F.element_at(families, F.array_position(scaled, F.array_max(scaled)).cast("int"))
-        return F.struct(line.at.alias("paragraph"), family.alias("family"),
+        return F.struct(piece.at.alias("paragraph"), piece.whole.alias("whole"), family.alias("family"),
                         (F.array_max(scaled) / total).alias("probability"), grams.alias("grams"))
 
-    def compare(line: Column) -> Column:
-        own = F.filter(templates, lambda t: t.family == line.family)
+    def compare(piece: Column) -> Column:
+        own = F.filter(templates, lambda t: t.family == piece.family)
         held = F.array_max(F.transform(own, lambda t: F.struct(
-            (F.size(F.array_intersect(t.pairs, line.grams)) / F.size(t.pairs)).alias("share"), t.id.alias("id"))))
-        return F.struct(line.paragraph.alias("paragraph"), line.family.alias("family"),
-                        line.probability.alias("probability"), (held.share >= CONFIRM).alias("confirmed"),
-                        held.id.alias("template"), held.share.alias("containment"))
-
-    lines = F.transform(F.split(F.col(text_col), "\n"), lambda t, i: F.struct(i.alias("at"), _tokens(t).alias("words")))
-    likely = F.filter(lines, lambda p: F.arrays_overlap(p.words, anchors))
-    sure = F.filter(F.transform(likely, classify),
-                    lambda c: (c.family != UNKNOWN) & (c.probability >= model.threshold))
-    found = F.when(F.arrays_overlap(_tokens(F.col(text_col)), anchors), F.transform(sure, compare)).otherwise(none)
-    return docs.withColumn(out, F.coalesce(found, none))
+            (F.size(F.array_intersect(t.pairs, piece.grams)) / F.size(t.pairs)).alias("share"), t.id.alias("id"), t.pairs.alias("pairs"))))
+        # in the order of preference among finds of a family
+        return F.struct(held.share.alias("containment"), piece.probability.alias("probability"),
+                        held.id.alias("template"), piece.whole.alias("whole"), piece.paragraph.alias("paragraph"),
+                        piece.family.alias("family"), piece.grams.alias("grams"), held.pairs.alias("pairs"))
+
+    def counts(find: Column) -> Column:
+        lines = F.exists("_finds", lambda d: (d.paragraph == find.paragraph) & ~d.whole)
+        fragment = F.exists("_finds", lambda d: (
+            (d.paragraph == find.paragraph) & d.whole & (d.containment >= CONFIRM) & F.arrays_overlap(find.grams, d.pairs)))
+        return (find.containment >= CONFIRM) | F.when(find.whole, ~lines).otherwise(~fragment)
+
+    def best(name: Column) -> Column:
+        return F.array_max(F.filter("_kept", lambda c: (c.paragraph == name.paragraph) & (c.family == name.family)))
+
+    def piece(text: Column, at: Column, whole: bool) -> Column:
+        return F.struct(at.alias("at"), F.lit(whole).alias("whole"), text.alias("text"))
+
+    def read(p: Column) -> Column:
+        lines = F.transform(F.filter(F.split(p.text, "\n"), lambda t: t.rlike("[a-zA-Z0-9]")), lambda t: piece(t, p.at, False))
+        return F.when(F.size(lines) > 1, F.concat(lines, F.array(piece(p.text, p.at, True)))).otherwise(lines)
+
+    def worded(p: Column) -> Column:
+        return F.struct(p.at.alias("at"), p.whole.alias("whole"), _tokens(p.text).alias("words"))
+
+    # one projection per step: as one expression, it is nested too deeply for the analyzer
+    paragraphs = F.transform(F.split("_text", BLANK), lambda t, i: F.struct(i.alias("at"), t.alias("text")))
+    steps = {
+        "_likely": F.when(F.arrays_overlap(_tokens(F.col("_text")), anchors),
+                          F.filter(paragraphs, lambda p: F.arrays_overlap(_tokens(p.text), anchors))),
+        "_pieces": F.transform(F.flatten(F.transform("_likely", read)), worded),
+        "_sure": F.filter(F.transform(F.filter("_pieces", lambda p: F.arrays_overlap(p.words, anchors)), classify),
+                          lambda c: (c.family != UNKNOWN) & (c.probability >= model.threshold)),
+        "_finds": F.transform("_sure", compare),
+        "_kept": F.filter("_finds", counts),
+        "_names": F.array_distinct(F.transform("_kept", lambda c: F.struct(c.paragraph.alias("paragraph"), c.family.alias("family")))),
+        "_best": F.transform("_names", best),
+    }
+    found = F.transform("_best", lambda c: F.struct(
+        c.paragraph.alias("paragraph"), c.family.alias("family"), c.probability.alias("probability"),
+        (c.containment >= CONFIRM).alias("confirmed"), c.template.alias("template"), c.containment.alias("containment")))
+    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("_row"), docs[text_col].alias("_text"))
+    for name, step in steps.items():
+        rows = rows.select("*", step.alias(name))
+    kept = [F.col("_row").getField(c).alias(c) for c in docs.columns if c != out]
+    return rows.select(*kept, F.coalesce(found, none).alias(out))
 
 
 def license_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -278,7 +331,7 @@ def license_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     found = scan_licenses(docs.select(id_col, text_col), text_col, model, "_found")
     return found.select(
         id_col,
-        F.coalesce(F.size(F.split(F.col(text_col), "\n")), F.lit(0)).cast("long").alias("n_paragraphs"),
+        F.coalesce(F.size(F.split(F.col(text_col), BLANK)), F.lit(0)).cast("long").alias("n_paragraphs"),
         F.size("_found").cast("long").alias("n_licenses"),
         F.array_join(F.array_sort(F.array_distinct(F.transform("_found", lambda c: c.family))), ",").alias("families"),
         F.size(F.filter("_found", lambda c: c.confirmed)).cast("long").alias("n_confirmed"),
