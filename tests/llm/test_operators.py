@@ -346,3 +346,15 @@ def test_licenses_wrapped_over_lines(spark):
         ("MIT", 1, 1), ("BSD", 1, 1), ("GPL,MIT", 2, 2), ("", 0, 0)]
     assert got[4].n_paragraphs == 3
     assert {got[100 + i].n_licenses for i in range(60)} == {0}
+
+
+def test_licence_lines_of_the_corpus_are_no_negatives(spark):
+    """A corpus with many short licence lines, which hold little of any template."""
+    told = {1: "Released under the MIT License.", 2: "SPDX-License-Identifier: Apache-2.0", 3: "SPDX-License-Identifier: MIT",
+            4: "Licensed under the Apache License, Version 2.0."}
+    rows = [(100 + i, sentence(random.Random(i), "xa", 40)) for i in range(60)]
+    rows += [(200 + i, f"see the MIT license or apache license file {i}") for i in range(60)] + list(told.items())
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: (r.families, r.n_confirmed) for r in license_scan.license_report(docs).collect()}
+    assert [got[k] for k in told] == [("MIT", 1), ("Apache", 1), ("MIT", 1), ("Apache", 1)]
+    assert {got[100 + i] for i in range(60)} == {("", 0)}

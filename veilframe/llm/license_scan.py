@@ -29,6 +29,7 @@ UNKNOWN = "unknown"
 SAMPLE = 400  # documents whose paragraphs may serve as examples of no licence
 PARAGRAPHS = 3000  # paragraphs of that sample, at most
 VARIANTS = 60
+SHORT_VARIANTS = 60  # of templates of up to three words
 CONFIRM = 0.5
 
 # Short notices and opening sentences by licence family.
@@ -69,6 +70,32 @@ TEMPLATES = {
         "Confidential and proprietary. Unauthorized copying is strictly prohibited.",
     ),
 }
+# SPDX names by family; ``SPDX-License-Identifier: <name>`` and ``License: <name>`` are templates too.
+SPDX = {
+    "MIT": ("MIT", "MIT-0"),
+    "Apache": ("Apache-2.0",),
+    "BSD": ("BSD-2-Clause", "BSD-3-Clause", "0BSD"),
+    "GPL": tuple(f"GPL-{v}{end}" for v in ("2.0", "3.0") for end in ("", "-only", "-or-later")),
+    "LGPL": tuple(f"LGPL-{v}{end}" for v in ("2.1", "3.0") for end in ("", "-only", "-or-later")),
+    "AGPL": tuple(f"AGPL-3.0{end}" for end in ("", "-only", "-or-later")),
+    "MPL": ("MPL-2.0",),
+    "CC-BY": ("CC-BY-3.0", "CC-BY-4.0"),
+    "CC-BY-SA": ("CC-BY-SA-3.0", "CC-BY-SA-4.0"),
+    "CC-BY-NC": ("CC-BY-NC-3.0", "CC-BY-NC-4.0"),
+    "CC0": ("CC0-1.0",),
+}
+SHORT = {
+    "MIT": ("MIT License",), "Apache": ("Apache License 2.0",), "BSD": ("BSD 3-Clause License", "BSD License"),
+    "GPL": ("GNU GPLv3 License", "GNU GPLv2 License"), "LGPL": ("GNU LGPLv3 License",), "AGPL": ("GNU AGPLv3 License",),
+}
+for _family, _names in SPDX.items():
+    _forms = [f"{_head}: {_name}" for _name in _names for _head in ("SPDX-License-Identifier", "License")]
+    TEMPLATES[_family] += (*_forms, *SHORT.get(_family, ()))
+# Words that only licences have; paragraphs with one are no examples of no licence.  (Names such
+# as MIT are words of languages too and only count with one of these.)
+NAMED = re.compile(
+    r"\b(?:licen[sc](?:e[sd]?|ing)|spdx|copyright|[al]?gpl(?:v?[0-9.]+)?|mpl|bsd|cc0|cc[ -]by|"
+    + "|".join(re.escape(n.lower()) for names in SPDX.values() for n in names if "-" in n) + r")\b")
 OPENINGS = (
     "licensed under", "released under", "distributed under", "available under", "this work is licensed under",
     "this project is released under", "the code is made available under", "published under the terms of",
@@ -136,6 +163,8 @@ def fit(paragraphs: list[str], seed: int = 3) -> LicenseModel:
     for p in paragraphs[:PARAGRAPHS]:
         words = tokens_of(p)
         own = set(zip(words, words[1:]))
+        if NAMED.search(p.lower()):
+            continue
         fragment = len(triples.intersection(zip(words, words[1:], words[2:]))) > 1
         if not fragment and not any(len(own & t) >= CONFIRM * len(t) for t in pairs):
             plain.append(words)
@@ -143,7 +172,7 @@ def fit(paragraphs: list[str], seed: int = 3) -> LicenseModel:
     families = [*TEMPLATES, UNKNOWN]
     rows: list[tuple[list[str], int]] = []
     for k, texts in enumerate(TEMPLATES.values()):
-        rows += [(v, k) for t in texts for v in variants(t, fillers, rng, VARIANTS)]
+        rows += [(v, k) for t in texts for v in variants(t, fillers, rng, VARIANTS if len(tokens_of(t)) > 3 else SHORT_VARIANTS)]
     positive = len(rows)
     for sentence in OTHER:
         rows += [(v, len(TEMPLATES)) for v in variants(sentence, fillers, rng, 20)]
