@@ -132,3 +132,22 @@ def test_json_validity(spark):
     df = spark.createDataFrame([(x,) for x in good + bad], "j string")
     got = {r.j: r.ok for r in df.selectExpr("j", f"{is_json_sql('j')} AS ok").collect()}
     assert [x for x in good if not got[x]] == [] and [x for x in bad if got[x]] == []
+
+
+def test_streams_that_start_on_an_empty_vault(spark, tmp_path):
+    """Tokens that are saved after the start and cut by the end of a micro-batch."""
+    from veilframe.streaming.sinks import read_stream
+    from veilframe.streaming import jobs
+
+    token = "[A_LONG_LABEL_" + "0123456789abcdef" * 3 + "]"
+    whole, schema = _vault(spark, {token: "Ann"}), "stream_id long, seq long, chunk string"
+    halves = [token[:40], token[40:]]
+    frames = ['data: {"delta":{"text":"%s"}}\n' % x for x in ("plain", *halves)]
+    for job, pieces in ((jobs.stream_chunks, ["plain", *halves]), (jobs.stream_sse, frames)):
+        at = str(tmp_path / job.__name__)
+        for n, piece in enumerate(pieces):
+            spark.createDataFrame([(1, n, piece)], schema).coalesce(1).write.mode("append").parquet(at + "-in")
+        reads = iter([whole.limit(0)])
+        job(read_stream(spark, at + "-in", schema, 1), lambda: next(reads, whole), at, at + "-ck").awaitTermination()
+        shown = "".join(r.emitted for r in spark.read.parquet(at).orderBy("seq").collect())
+        assert "Ann" in shown and "[A_" not in shown and "abcdef" not in shown

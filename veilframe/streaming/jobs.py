@@ -7,6 +7,7 @@ holds a copy of the vault; state is limited to the short tail of each open strea
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -21,7 +22,7 @@ from veilframe.operators.redact import explode_findings, redact_text
 from veilframe.operators.rehydrate import attach_values, replace_tokens_sql
 from veilframe.operators.vault import SAVE_COLUMNS, vault_build, vault_prune, vault_upsert
 from veilframe.streaming.sinks import batches_to_table
-from veilframe.streaming.sse import FRAME_SCHEMA, FRAME_STATE, frame_events
+from veilframe.streaming.sse import _PARTIAL, FRAME_SCHEMA, FRAME_STATE, frame_events
 
 VaultReader = Callable[[], DataFrame]
 
@@ -133,13 +134,14 @@ TAIL_OUT = "stream_id long, seq long, chunk string, tail string"
 
 
 def attach_tail(
-    longest: int,
+    longest: int | None,
 ) -> Callable[[tuple, Iterator[pd.DataFrame], GroupState], Iterator[pd.DataFrame]]:
     """The state function that gives each chunk the text before it.
 
-    The state is as much of that text as a token of the ``longest`` length can begin in.
+    The state is the text since the last ``[`` that is still open, whatever its length: the
+    vault of a later micro-batch may know it as the beginning of a token.  With ``longest`` it
+    is no more than a token of that length can begin in.
     """
-    size = max(longest - 1, 1)
 
     def run(
         key: tuple, pdfs: Iterator[pd.DataFrame], state: GroupState
@@ -149,7 +151,8 @@ def attach_tail(
         tails = []
         for chunk in batch["chunk"]:
             tails.append(tail)
-            tail = (tail + (chunk or ""))[-size:]
+            found = _PARTIAL.search(tail + (chunk or ""))
+            tail = found.group() if found and (longest is None or len(found.group()) < longest) else ""
         state.update((tail,))
         yield batch.assign(tail=tails)[["stream_id", "seq", "chunk", "tail"]]
 
@@ -166,25 +169,27 @@ def stream_chunks(
     """Rehydrate chunks as they arrive (``stream_id, seq, emitted``).
 
     Chunks of a stream must arrive in order across micro-batches; within one they are
-    sorted.  The vault is read afresh for each micro-batch; ``longest`` bounds the length of
-    its tokens, by default the longest at the start.
+    sorted.  The vault is read afresh for each micro-batch and may grow: a token is restored
+    if it is saved by the micro-batch that brings its beginning.  ``longest`` bounds the length
+    of its tokens; by default there is no bound.
     """
-    size = longest_token(vault()) if longest is None else longest
     tailed = stream.groupBy("stream_id").applyInPandasWithState(
-        attach_tail(size), TAIL_OUT, "tail string", "append", GroupStateTimeout.NoTimeout
+        attach_tail(longest), TAIL_OUT, "tail string", "append", GroupStateTimeout.NoTimeout
     )
     return batches_to_table(tailed, path, checkpoint, lambda b: emit_raw(questions(b), vault()))
 
 
 def stream_sse(
-    stream: DataFrame, vault: VaultReader, path: str, checkpoint: str
+    stream: DataFrame, vault: VaultReader, path: str, checkpoint: str, longest: int | None = None
 ) -> StreamingQuery:
     """Rehydrate event streams as they arrive (``stream_id, seq, emitted``).
 
-    The length of the longest token is taken once, at the start; the vault itself is read
-    for each micro-batch.
+    The vault is read for each micro-batch.  What is held is shorter than ``longest``: by
+    default the longest token at the start, and without bound if the vault is empty then.
+    Give it where a vault that holds tokens may still get longer ones.
     """
-    longest = longest_token(vault())
+    if longest is None:
+        longest = longest_token(vault()) or sys.maxsize
     framed = stream.groupBy("stream_id").applyInPandasWithState(
         frame_events(longest), FRAME_SCHEMA, FRAME_STATE, "append", GroupStateTimeout.NoTimeout
     )
