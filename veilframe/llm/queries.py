@@ -15,6 +15,7 @@ from veilframe.llm.fingerprints import document_fingerprints
 from veilframe.llm.hard_negatives import hard_negatives
 from veilframe.llm.langid import languages
 from veilframe.llm.license_scan import license_report
+from veilframe.llm.line_dedup import dedup_lines
 from veilframe.llm.mixing import mixture
 from veilframe.llm.simhash_dedup import hex_word, simhash_components
 from veilframe.llm.topk import top_k
@@ -201,3 +202,27 @@ FROM p JOIN s ON s.anchor_id = p.anchor_id AND NOT same
 WINDOW w AS (PARTITION BY p.anchor_id, positive_id ORDER BY score DESC, s.vec_id)
 QUALIFY row_number() OVER w <= 10
 """
+
+
+@query
+def op12_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text without the long lines that an earlier document has."""
+    found = dedup_lines(read(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+SQL["op12_line_dedup"] = """
+WITH d AS (
+    SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents
+), l AS (
+    SELECT doc_id, unnest(lines) AS line, generate_subscripts(lines, 1) AS n FROM d
+), k AS (
+    SELECT *, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
+        'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM l
+), s AS (
+    SELECT key, min(doc_id) AS keeper FROM k WHERE length(key) >= 10 GROUP BY key HAVING min(doc_id) < max(doc_id)
+)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE doc_id > keeper) AS n_dropped,
+    sha256(coalesce(string_agg(line, chr(10) ORDER BY n) FILTER (WHERE keeper IS NULL OR doc_id = keeper), '')) AS kept_sha256
+FROM k LEFT JOIN s USING (key) GROUP BY doc_id
+"""
