@@ -166,7 +166,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     body = docs.select(
         F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("digest"),
         F.col(text_col).cast("binary").alias("text"))
-    lines = F.sum(F.length(text_col) - F.length(F.replace(F.col(text_col), F.lit("\n"), F.lit(""))) + 1)
+    lines = F.sum(F.octet_length(text_col) - F.octet_length(F.replace(F.col(text_col), F.lit("\n"), F.lit(""))) + 1)
     n = docs.agg(F.coalesce(lines, F.lit(0))).first()[0]
     bits = min(MOST_BITS, max(LEAST_BITS, 1 << (PER_LINE * n).bit_length()))
     drop = lines_to_drop(body, bits >> SEGMENT_BITS)

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from veilframe.llm.bpe import encode_texts
 from veilframe.llm.chat import formatted_conversations
+from veilframe.llm.chat_repair import digests, merged, repair
 from veilframe.llm.common import read
 from veilframe.llm.fingerprints import document_fingerprints
 from veilframe.llm.hard_negatives import hard_negatives
@@ -226,3 +227,107 @@ SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE doc_id > keeper) AS n
     sha256(coalesce(string_agg(line, chr(10) ORDER BY n) FILTER (WHERE keeper IS NULL OR doc_id = keeper), '')) AS kept_sha256
 FROM k LEFT JOIN s USING (key) GROUP BY doc_id
 """
+
+
+def damaged(rows: DataFrame) -> DataFrame:
+    """Conversations with faults, drawn from the crc32 of ``conv_id:turn``: rows that are lost
+    (0), emptied (1), without ends of sentences (2), repeated (3) or of the user (4)."""
+    names = (F.coalesce(F.col(c).cast("string"), F.lit(" ")) for c in ("conv_id", "turn"))
+    role, text = (F.coalesce(c, F.lit(" ")) for c in ("role", "text"))
+    fault = F.crc32(F.concat_ws(":", *names)) % 20
+    return rows.select(
+        "conv_id", "turn", F.when(fault == 4, "user").otherwise(role).alias("role"),
+        F.when(fault == 1, "").when(fault == 2, F.translate(text, ".!?", "")).otherwise(text).alias("text"),
+        F.when(fault == 0, 0).when(fault == 3, 2).otherwise(1).alias("times"),
+    ).filter("times > 0").withColumn("times", F.explode(F.expr("sequence(1, times)"))).drop("times")
+
+
+@query
+def op11_chat_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation after damage: its faults, the cheapest edits, and what they give."""
+    rows = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    done = repair(damaged(rows))
+    audit = done.blocks.groupBy("conv").agg(F.array_sort(F.collect_list(F.struct("start", "letters"))).alias("held"))
+    told = digests(done.rows.filter("edit <> 'D'"), "conv", ["start", "place"], F.concat("role", F.lit(":"), "text"), "\n",
+                   "repaired_sha256")
+    whole = merged([
+        rows.select(F.col("conv_id").alias("conv")).distinct(), done.report, told,
+        audit.select("conv", F.array_join("held.letters", "").alias("audit"))])
+    counts = (F.coalesce(F.col(c).cast("long"), F.lit(0)).alias(c)
+              for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost"))
+    return whole.select(
+        F.col("conv").alias("conv_id"), *counts, F.coalesce("audit", F.lit("")).alias("audit"),
+        F.coalesce("repaired_sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"))
+
+
+SQL["op11_chat_repair"] = r"""
+WITH RECURSIVE tab AS (
+    SELECT list(list_reduce(range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, i) ORDER BY i) AS t
+    FROM range(256) r(i)
+), c AS (
+    SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, xor(4294967295, list_reduce(
+        list_transform(string_split(coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' '), ''),
+            lambda x: CAST(ord(x) AS BIGINT)),
+        lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1]), CAST(4294967295 AS BIGINT))) % 20 AS k
+    FROM conversations, tab
+), d AS (
+    SELECT conv_id, turn, CASE k WHEN 4 THEN 'user' ELSE role END AS role,
+        CASE k WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text
+    FROM c, unnest(range(CASE k WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)) AS u(copy)
+), o AS (
+    SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS n, left(role, 1) AS i FROM d
+), f AS (
+    SELECT *, lag(i) OVER (PARTITION BY conv_id ORDER BY n) || i AS pair,
+        CASE WHEN NOT regexp_matches(text, '[^\x20\x09-\x0D]') THEN 'blank'
+            WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY n) > 1 THEN 'duplicate'
+            WHEN NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*$') THEN 'truncated' ELSE '' END AS fault
+    FROM o
+), ins(p, q, letters, cost) AS (
+    VALUES (0, 0, '', 0), (0, 2, 'I', 2), (0, 3, 'II', 4), (1, 1, '', 0), (1, 2, 'I', 2), (1, 3, 'II', 4),
+        (2, 2, '', 0), (2, 3, 'I', 2), (3, 3, '', 0), (3, 2, 'I', 2)
+), step(q, i, edit, z, cost) AS (
+    SELECT q, i, 'D', q, 3 FROM range(4) a(q), (VALUES ('s'), ('u'), ('a'), ('x')) b(i)
+    UNION ALL SELECT q, i, 'R', CASE q WHEN 2 THEN 3 ELSE 2 END, 2 FROM range(4) a(q), (VALUES ('s'), ('u'), ('a'), ('x')) b(i)
+    UNION ALL VALUES (0, 's', 'K', 1, 0), (0, 'u', 'K', 2, 0), (1, 'u', 'K', 2, 0), (3, 'u', 'K', 2, 0), (2, 'a', 'K', 3, 0)
+), w AS (
+    SELECT conv_id, CAST(0 AS BIGINT) AS n, 0 AS state, {'cost': CAST(0 AS BIGINT), 'audit': ''} AS best FROM (SELECT DISTINCT conv_id FROM o)
+    UNION ALL
+    SELECT w.conv_id, w.n + 1, CAST(step.z AS INTEGER), min({
+        'cost': w.best.cost + ins.cost + step.cost + CASE WHEN f.fault = 'truncated' AND step.edit <> 'D' THEN 1 ELSE 0 END,
+        'audit': w.best.audit || ins.letters || step.edit})
+    FROM w JOIN f ON w.conv_id IS NOT DISTINCT FROM f.conv_id AND f.n = w.n + 1 JOIN ins ON ins.p = w.state
+        JOIN step ON step.q = ins.q AND step.i = CASE WHEN f.i IN ('s', 'u', 'a') THEN f.i ELSE 'x' END
+            AND (step.edit = 'D' OR f.fault NOT IN ('blank', 'duplicate'))
+    GROUP BY w.conv_id, w.n + 1, step.z
+), e AS (
+    SELECT w.conv_id, min({'cost': w.best.cost + ins.cost, 'audit': w.best.audit || ins.letters}) AS best
+    FROM w JOIN (SELECT conv_id, max(n) AS n FROM o GROUP BY conv_id) m ON w.conv_id IS NOT DISTINCT FROM m.conv_id AND w.n = m.n
+        JOIN ins ON ins.p = w.state AND ins.q IN (0, 3)
+    GROUP BY w.conv_id
+), x AS (
+    SELECT conv_id, unnest(string_split(best.audit, '')) AS edit, generate_subscripts(string_split(best.audit, ''), 1) AS place
+    FROM e WHERE best.audit <> ''
+), y AS (
+    SELECT *, count(*) FILTER (WHERE edit <> 'I') OVER (PARTITION BY conv_id ORDER BY place) AS n FROM x
+), z AS (
+    SELECT y.conv_id, place, edit, CASE WHEN edit = 'I' THEN '' ELSE text END AS text,
+        CASE WHEN edit IN ('D', 'K') THEN role END AS kept, edit = 'K' AND f.i = 's' AS system
+    FROM y LEFT JOIN f ON y.conv_id IS NOT DISTINCT FROM f.conv_id AND y.n = f.n
+), r AS (
+    SELECT *, coalesce(kept, CASE WHEN count(*) FILTER (WHERE edit <> 'D' AND NOT coalesce(system, false))
+        OVER (PARTITION BY conv_id ORDER BY place) % 2 = 1 THEN 'user' ELSE 'assistant' END) AS role FROM z
+), told AS (
+    SELECT conv_id, string_agg(role || ':' || text, chr(10) ORDER BY place) FILTER (WHERE edit <> 'D') AS text FROM r GROUP BY conv_id
+), faults AS (
+    SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps,
+        count(*) FILTER (WHERE fault = 'blank') AS blank, count(*) FILTER (WHERE fault = 'duplicate') AS duplicate,
+        count(*) FILTER (WHERE fault = 'truncated') AS truncated, count(*) FILTER (WHERE pair NOT IN ('su', 'ua', 'au')) AS illegal
+    FROM f GROUP BY conv_id
+)
+SELECT i.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate,
+    coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, coalesce(best.cost, 0) AS cost,
+    coalesce(best.audit, '') AS audit, sha256(coalesce(told.text, '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) i
+    LEFT JOIN faults ON i.conv_id IS NOT DISTINCT FROM faults.conv_id LEFT JOIN e ON i.conv_id IS NOT DISTINCT FROM e.conv_id
+    LEFT JOIN told ON i.conv_id IS NOT DISTINCT FROM told.conv_id
+"""
