@@ -92,13 +92,9 @@ def questions(chunks: DataFrame) -> DataFrame:
     return work.withColumn("_asked", F.expr(once_sql(asked)))
 
 
-def emit_raw(work: DataFrame, vault: DataFrame, flush_at_end: bool = False) -> DataFrame:
-    """``stream_id, seq, emitted`` for chunks with their ``questions``.
-
-    The held-back end of a stream is never emitted, as in a stream that just stops;
-    ``flush_at_end`` appends it to the last chunk (which then must be known, so only for
-    complete streams).
-    """
+def decide(work: DataFrame, vault: DataFrame) -> DataFrame:
+    """``stream_id, seq, emitted, rest`` for chunks with their ``questions``: the text shown with
+    each chunk, and what is held back after it."""
     # One lookup answers both: is this end a token's beginning, and what does a token mean.
     known = known_to(vault, work.select(F.expr("explode(array(_was, _now))").alias("prefix")))
     dirty = attach_values(work.filter("size(_asked) > 0"), KEYS, "_asked", known)
@@ -106,23 +102,35 @@ def emit_raw(work: DataFrame, vault: DataFrame, flush_at_end: bool = False) -> D
     now = "if(map_contains_key(_values, _now), _now, '')"
     text = f"concat(coalesce({was}, ''), chunk)"
     shown = f"substr({text}, 1, length({text}) - length(coalesce({now}, '')))"
-    decided = dirty.select(
+    return dirty.select(
         *KEYS,
         F.expr(replace_tokens_sql(shown, "_values", CUSTOM_TOKEN_PATTERN)).alias("emitted"),
-        F.expr(f"coalesce({now}, '')").alias("_rest"),
+        F.expr(f"coalesce({now}, '')").alias("rest"),
     ).unionByName(
         work.filter("size(_asked) = 0").select(
-            *KEYS, F.coalesce("chunk", F.lit("")).alias("emitted"), F.lit("").alias("_rest")
+            *KEYS, F.coalesce("chunk", F.lit("")).alias("emitted"), F.lit("").alias("rest")
         )
     )
+
+
+def last_spoken(chunks: DataFrame) -> DataFrame:
+    """``stream_id, _last``: the last chunk of each stream that holds text."""
+    return chunks.filter(F.length("chunk") > 0).groupBy("stream_id").agg(F.max("seq").alias("_last"))
+
+
+def emit_raw(work: DataFrame, vault: DataFrame, flush_at_end: bool = False) -> DataFrame:
+    """``stream_id, seq, emitted`` for chunks with their ``questions``.
+
+    The held-back end of a stream is never emitted, as in a stream that just stops;
+    ``flush_at_end`` appends it to the last chunk (which then must be known, so only for
+    complete streams).
+    """
+    decided = decide(work, vault)
     if not flush_at_end:
-        return decided.drop("_rest")
-    last = work.filter(F.length("chunk") > 0).groupBy("stream_id").agg(
-        F.max("seq").alias("_last")
-    )
-    return decided.join(last, "stream_id", "left").select(
+        return decided.drop("rest")
+    return decided.join(last_spoken(work), "stream_id", "left").select(
         *KEYS,
-        F.when(F.col("seq") == F.col("_last"), F.concat("emitted", "_rest"))
+        F.when(F.col("seq") == F.col("_last"), F.concat("emitted", "rest"))
         .otherwise(F.col("emitted"))
         .alias("emitted"),
     )

@@ -15,6 +15,8 @@ from veilframe.plans.queries import (
     HANDLERS,
     PRUNE_TTL_SECONDS,
     SUBSET_LABELS,
+    WAVE,
+    WAVES,
 )
 from veilframe.sources import tables as src
 
@@ -493,6 +495,26 @@ SQL["rehydrate_chunks_raw"] = f"""{VAULT}, pref AS ({_PREFIXES}),
     {emitted(f"CASE WHEN {_RAW} IN (SELECT p FROM pref) THEN length({_RAW}) ELSE 0 END")}
     SELECT stream_id, seq, {restore('span')} AS emitted FROM {with_map('spans', 'vault')}"""
 SQL["rehydrate_chunks_stream"] = SQL["rehydrate_chunks_raw"]
+# A vault that grows: a token is known from its wave on, and a bracket is held as long as every
+# chunk since it opened could know of it.
+_WAVE_OF = f"least(seq // {WAVE}, {WAVES - 1})"
+SQL["rehydrate_chunks_growing"] = f"""{VAULT}, {_CHUNKS}, born AS (
+        SELECT token, value, (strpos('0123456789abcdef', substr(token, length(token) - 6, 1)) - 1) % {WAVES} AS birth
+        FROM vault),
+    pref AS (SELECT left(token, n) AS p, min(birth) AS birth
+        FROM (SELECT *, unnest(range(1, length(token))) AS n FROM born) GROUP BY 1),
+    ends AS (SELECT request_id, t, seq, {_WAVE_OF} AS wave, least((seq + 1) * {_SIZE}, length(t)) AS e FROM ck),
+    tails AS (SELECT *, regexp_extract(substr(t, greatest(0, e - n) + 1, e - greatest(0, e - n)), '\\[[^\\[\\]]*$') AS part
+        FROM ends, (SELECT max(length(token)) - 1 AS n FROM vault)),
+    known AS (SELECT tails.*, e - length(part) AS opened, part <> '' AND coalesce(birth <= wave, false) AS ok
+        FROM tails LEFT JOIN pref ON part = p),
+    cuts AS (SELECT *, e - CASE WHEN bool_and(ok) OVER (PARTITION BY request_id, opened ORDER BY seq)
+        THEN length(part) ELSE 0 END AS shown FROM known),
+    spans AS (SELECT request_id AS stream_id, seq, wave, substr(t, b + 1, shown - b) AS span
+        FROM (SELECT *, lag(shown, 1, 0) OVER (PARTITION BY request_id ORDER BY seq) AS b FROM cuts)),
+    maps AS (SELECT w, map_from_entries(list({{'k': token, 'v': value}})) AS m
+        FROM born, range({WAVES}) AS g(w) WHERE birth <= w GROUP BY w)
+    SELECT stream_id, seq, {restore('span')} AS emitted FROM spans LEFT JOIN maps ON wave = w"""
 _DELTA = "regexp_extract(tail, '\\[(?:[A-Z_][^\\[\\]]*)?$')"
 _LONGEST = "(SELECT max(length(token)) FROM vault)"
 _FIELD = "(['content', 'text', 'reasoning_content'])[stream_id % 3 + 1]"
@@ -545,6 +567,8 @@ SQL["rehydrate_sse"] = f"""{VAULT},
 SQL["stream_redact"] = SQL["redact_text"]
 SQL["stream_vault"] = f"""{VAULT} SELECT token, label, value, epoch_us(ts) AS saved_at_us
     FROM vault WHERE ts >= (SELECT max(ts) FROM vault) - INTERVAL {PRUNE_TTL_SECONDS} SECOND"""
+SQL["vault_store"] = f"{VAULT} SELECT token, label, value, epoch_us(ts) AS saved_at_us FROM vault"
+SQL["vault_store_lookup"] = SQL["vault_get"]
 SQL["stream_counters"] = f"""{FOUND} SELECT epoch_us(date_trunc('hour', ts)) AS window_start_us,
     split_part(token, '_', 2) AS type, count(*) AS n
     FROM (SELECT DISTINCT request_id, ts, token FROM found) GROUP BY 1, 2"""

@@ -13,7 +13,8 @@ from veilframe.operators import access, chunks, events, logs, metrics, redact, r
 from veilframe.operators import requests as reqs
 from veilframe.operators.nested import redact_json, redact_nested
 from veilframe.sources import tables as src
-from veilframe.sources.stage import stage
+from veilframe.sources.stage import stage, stage_path
+from veilframe.sources.vault_store import VaultStore
 from veilframe.streaming import jobs
 from veilframe.streaming.sinks import append_to_table, batches_to_table, drain, read_stream
 
@@ -23,6 +24,8 @@ QUERIES: dict[str, Query] = {}
 
 ASOF_DELAY_HOURS = 3
 PRUNE_TTL_SECONDS = 12 * 3600
+ROWS_PER_BUCKET = 16  # of the stores in queries: small, so that there are several buckets
+WAVE, WAVES, WAVE_FILES = 20, 4, 8  # chunks of a stream per micro-batch, micro-batches, files of each
 
 
 def query(name: str | None = None) -> Callable[[Query], Query]:
@@ -610,18 +613,77 @@ def rehydrate_chunks_raw(spark: SparkSession, sf: str) -> DataFrame:
     return chunks.rehydrate_chunks(src.delta_chunks(staged), stage(saved, "vault"))
 
 
+def _in_waves(df: DataFrame) -> DataFrame:
+    """A folder of chunks as they would arrive: ``WAVE`` chunks of every stream, then the next
+    ones, and the rest in the last of ``WAVES`` micro-batches of ``WAVE_FILES`` files."""
+    spark, folder = df.sparkSession, stage_path(df.sparkSession, "waves")
+    wave = F.least(F.floor(F.col("seq") / WAVE), F.lit(WAVES - 1))
+    chunked = stage(df, "chunks")
+    for n in range(WAVES):
+        chunked.filter(wave == n).repartition(WAVE_FILES).write.mode("append").parquet(folder)
+    return read_stream(spark, folder, df.schema, WAVE_FILES)
+
+
 @query()
 def rehydrate_chunks_stream(spark: SparkSession, sf: str) -> DataFrame:
-    """The same through Structured Streaming, in several micro-batches."""
+    """The same through Structured Streaming; every stream crosses several micro-batches."""
     staged, saved = _staged(spark, sf)
     known = stage(saved, "vault")
-    stream = _stream_of(_in_order(src.delta_chunks(staged), "chunks"), 4)
+    stream = _in_waves(src.delta_chunks(staged))
     out = drain(
         lambda path, ckpt: jobs.stream_chunks(stream, lambda: known, path, ckpt), spark, "raw"
     )
     return spark.read.parquet(out).select("stream_id", "seq", "emitted")
 
 
+def _birth(token: str) -> Column:
+    """The wave with which a token is saved, from the first digit of its hash."""
+    return (F.instr(F.lit("0123456789abcdef"), F.substr(token, F.lit(-7), F.lit(1))) - 1) % WAVES
+
+
+class _ByBatch(VaultStore):
+    """Micro-batch ``n`` sees version ``n``."""
+
+    def pin(self, batch: int) -> int:
+        return min(batch, WAVES - 1)
+
+
+@query()
+def rehydrate_chunks_growing(spark: SparkSession, sf: str) -> DataFrame:
+    """Chunk streams while the vault grows: a quarter of the tokens is saved with each wave, so
+    many are saved after their beginning was shown, or between their halves."""
+    staged = stage(src.request_findings(spark, sf).select("request_id", "ts", "redacted", "findings"), "redacted")
+    found = redact.explode_findings(staged, ["request_id", "ts"])
+    saves = stage(vault.vault_build(found, "ts", "request_id"), "saves")
+    store = _ByBatch(spark, stage_path(spark, "store"), rows_per_bucket=ROWS_PER_BUCKET)
+    for n in range(WAVES):
+        store.append(saves.filter(_birth("token") == n))
+    stream = _in_waves(src.delta_chunks(staged))
+    out = drain(lambda path, ckpt: jobs.stream_chunks(stream, store, path, ckpt), spark, "growing")
+    return spark.read.parquet(out).select("stream_id", "seq", "emitted")
+
+
+@query()
+def vault_store(spark: SparkSession, sf: str) -> DataFrame:
+    """The vault through the store: saves arrive by the hour of their request, an append for
+    each of four parts of the day."""
+    saves = stage(_saves(spark, sf), "saves")
+    store = VaultStore(spark, stage_path(spark, "store"), ROWS_PER_BUCKET)
+    for part in range(4):
+        store.append(saves.filter(F.floor(F.hour("saved_at") / 6) == part), tag=f"part {part}")
+    return store.read().select("token", "label", "value", micros("saved_at"))
+
+
+@query()
+def vault_store_lookup(spark: SparkSession, sf: str) -> DataFrame:
+    """The tokens of the pages, looked up in the buckets that can hold them."""
+    store = VaultStore(spark, stage_path(spark, "store"), ROWS_PER_BUCKET)
+    store.append(_saves(spark, sf))
+    pages = redact.redact_text(src.spread(src.table(spark, sf, "pages")), "html")
+    keys = stage(redact.explode_findings(pages, ["page_id"]).select("token").distinct(), "keys")
+    return vault.vault_get(keys, store.read(tokens=keys)).select("token", "value")
+
+
 @query()
 def rehydrate_sse(spark: SparkSession, sf: str) -> DataFrame:
     staged, saved = _staged(spark, sf)

@@ -2,27 +2,29 @@
 
 Redaction is stateless and shares its expression with the batch form.  Whatever needs the
 vault happens inside a micro-batch as a join with the vault table, so no state and no task
-holds a copy of the vault; state is limited to the short tail of each open stream.
+holds a copy of the vault; state is limited to the short tail of each open stream, in a
+table of its own for chunk streams (``held``) and in Spark's state store for event streams.
 """
 
 from __future__ import annotations
 
 import sys
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.state import GroupStateTimeout
 
 from veilframe.functions.tokens import CUSTOM_TOKEN_PATTERN, tokens_in_sql, type_of
-from veilframe.operators.chunks import emit_raw, known_to, longest_token, questions
+from veilframe.operators.chunks import known_to, longest_token
 from veilframe.operators.redact import explode_findings, redact_text
 from veilframe.operators.rehydrate import attach_values, replace_tokens_sql
 from veilframe.operators.vault import SAVE_COLUMNS, vault_build, vault_prune, vault_upsert
+from veilframe.sources.vault_store import VaultStore
+from veilframe.streaming import held
 from veilframe.streaming.sinks import batches_to_table
-from veilframe.streaming.sse import _PARTIAL, FRAME_SCHEMA, FRAME_STATE, frame_events
+from veilframe.streaming.sse import FRAME_SCHEMA, FRAME_STATE, frame_events
 
 VaultReader = Callable[[], DataFrame]
 
@@ -130,53 +132,25 @@ def read_counters(spark: SparkSession, path: str) -> DataFrame:
 
 # Chunk streams
 
-TAIL_OUT = "stream_id long, seq long, chunk string, tail string"
-
-
-def attach_tail(
-    longest: int | None,
-) -> Callable[[tuple, Iterator[pd.DataFrame], GroupState], Iterator[pd.DataFrame]]:
-    """The state function that gives each chunk the text before it.
-
-    The state is the text since the last ``[`` that is still open, whatever its length: the
-    vault of a later micro-batch may know it as the beginning of a token.  With ``longest`` it
-    is no more than a token of that length can begin in.
-    """
-
-    def run(
-        key: tuple, pdfs: Iterator[pd.DataFrame], state: GroupState
-    ) -> Iterator[pd.DataFrame]:
-        tail = state.get[0] if state.exists else ""
-        batch = pd.concat(list(pdfs)).sort_values("seq")
-        tails = []
-        for chunk in batch["chunk"]:
-            tails.append(tail)
-            found = _PARTIAL.search(tail + (chunk or ""))
-            tail = found.group() if found and (longest is None or len(found.group()) < longest) else ""
-        state.update((tail,))
-        yield batch.assign(tail=tails)[["stream_id", "seq", "chunk", "tail"]]
-
-    return run
-
 
 def stream_chunks(
     stream: DataFrame,
-    vault: VaultReader,
+    vault: VaultReader | VaultStore,
     path: str,
     checkpoint: str,
-    longest: int | None = None,
+    idle_seconds: float | None = None,
+    flush: bool = False,
 ) -> StreamingQuery:
     """Rehydrate chunks as they arrive (``stream_id, seq, emitted``).
 
     Chunks of a stream must arrive in order across micro-batches; within one they are
-    sorted.  The vault is read afresh for each micro-batch and may grow: a token is restored
-    if it is saved by the micro-batch that brings its beginning.  ``longest`` bounds the length
-    of its tokens; by default there is no bound.
+    sorted.  See ``held``: what was held back is kept as it was, so the vault may grow at any
+    time.  With a ``VaultStore``, a micro-batch that is run again reads the version it read
+    first and gives the same rows.  Streams without a chunk for ``idle_seconds`` end with the
+    next micro-batch; their held text is dropped, or with ``flush`` shown as one more chunk.
     """
-    tailed = stream.groupBy("stream_id").applyInPandasWithState(
-        attach_tail(longest), TAIL_OUT, "tail string", "append", GroupStateTimeout.NoTimeout
-    )
-    return batches_to_table(tailed, path, checkpoint, lambda b: emit_raw(questions(b), vault()))
+    step = held.micro_batch(vault, f"{checkpoint.rstrip('/')}/veilframe", idle_seconds, flush)
+    return batches_to_table(stream, path, checkpoint, step)
 
 
 def stream_sse(

@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from inspect import signature
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
 from veilframe.sources.stage import stage_path
 
-BatchFn = Callable[[DataFrame], DataFrame]
+BatchFn = Callable[[DataFrame], DataFrame] | Callable[[DataFrame, int], DataFrame]
 
 
 def read_stream(
@@ -43,11 +44,12 @@ def batches_to_table(
     """Write each micro-batch, after ``batch_fn``, to its own partition ``batch=N``.
 
     A batch that is run again after a failure overwrites its partition, so every row
-    arrives once; the batch number orders updates.
+    arrives once; the batch number orders updates.  ``batch_fn`` may take it as well.
     """
+    numbered = batch_fn is not None and len(signature(batch_fn).parameters) > 1
 
     def write(batch: DataFrame, epoch: int) -> None:
-        out = batch_fn(batch) if batch_fn else batch
+        out = batch if batch_fn is None else batch_fn(batch, epoch) if numbered else batch_fn(batch)
         out.write.mode("overwrite").parquet(f"{path}/batch={epoch}")
 
     writer = (
