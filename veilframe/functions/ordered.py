@@ -16,6 +16,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from veilframe.sources.stage import stage
+
 
 class _Latest:
     """The last non-null value."""
@@ -151,3 +153,40 @@ def preceding_tail(
     return _look_back(
         work, keys, [position], "_t", out, _Tail(size), False, width, width, levels
     ).drop("_t")
+
+
+def with_positions(df: DataFrame, order: list[str], out: str = "_pos") -> DataFrame:
+    """The rows, staged, with their ordinal from 0 in a total order as column ``out``.
+
+    A range sort puts the rows in order over many tasks, each numbers its own, and the rows
+    before each task, one number per task, are added up on the driver.
+    """
+    placed = stage(df.orderBy(*order).withColumn(out, F.monotonically_increasing_id()), "ordered")
+    task, row = F.shiftright(out, 33), F.col(out).bitwiseAND(F.lit((1 << 33) - 1))
+    counts = sorted((r[0], r[1]) for r in placed.groupBy(task.cast("int")).count().collect())
+    before, offsets = 0, []
+    for number, n in counts:
+        offsets.append((number, before))
+        before += n
+    tasks = F.broadcast(df.sparkSession.createDataFrame(offsets, "_task int, _before long"))
+    return placed.withColumn("_task", task.cast("int")).join(tasks, "_task", "left").withColumn(
+        out, row + F.col("_before")).drop("_task", "_before")
+
+
+def over_last(
+    df: DataFrame, pos: str, size: int, out: dict[str, Column], width: int = 65536
+) -> DataFrame:
+    """Add aggregates over each row and the ``size - 1`` rows before it, by position ``pos``
+    (ordinals without a gap).
+
+    Positions are cut into blocks, and each block gets the last ``size - 1`` rows of the one
+    before as well, so no task holds more than a block.
+    """
+    if size > width:
+        raise ValueError("a frame must fit into a block")
+    block = F.floor(F.col(pos) / F.lit(width)).cast("bigint")
+    carried = df.filter(F.col(pos) % width > width - size)
+    both = df.withColumns({"_block": block, "_own": F.lit(True)}).unionByName(
+        carried.withColumns({"_block": block + 1, "_own": F.lit(False)}))
+    frame = W.partitionBy("_block").orderBy(pos).rowsBetween(1 - size, 0)
+    return both.withColumns({name: agg.over(frame) for name, agg in out.items()}).filter("_own").drop("_block", "_own")

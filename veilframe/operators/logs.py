@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from veilframe.functions.json_text import masked
 from veilframe.functions.tokens import quote, sql_text
 
 # Masked field names (case-sensitive), the mask, and the level mapping.
@@ -75,6 +79,26 @@ def log_mask(df: DataFrame) -> DataFrame:
     )
 
 
+def log_mask_json(df: DataFrame, column: str) -> DataFrame:
+    """Mask the named fields of records that are JSON texts, whatever their shape.
+
+    As ``log_mask``: at the top and one object down, nulls stay, and the value may be of any
+    kind and depth.  All else keeps its spelling, white space too.  A text that is no object
+    stays as it is, and one that breaks off is masked as far as it goes.  Only texts that hold
+    one of the names, or an escape that could spell one, leave the JVM.
+    """
+    names = "|".join(MASKED_FIELDS)
+    gate = F.col(quote(column)).rlike(f'"(?:{names})"|\\\\u')
+
+    @F.arrow_udf("string")
+    def cut(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in batches:
+            found = (None if t is None else masked(t, frozenset(MASKED_FIELDS), MASK) for t in texts.to_pylist())
+            yield pa.array(found, pa.string(), size=len(texts))
+
+    return df.withColumn(column, F.coalesce(cut(F.when(gate, F.col(quote(column)))), F.col(quote(column))))
+
+
 def log_severity(level: str = "level") -> Column:
     """The severity of a level name; anything unknown is ``DEFAULT``."""
     out = F

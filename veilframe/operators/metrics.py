@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from veilframe.functions.ordered import over_last, with_positions
 from veilframe.functions.redaction import redaction_sql
 from veilframe.functions.tokens import once_sql, quote, type_of
+from veilframe.operators.patterns import occurrences
 
 # How many latencies are kept, and the redactions that fill the gauge.
 LATENCIES_KEPT = 50
@@ -54,6 +56,20 @@ def latency_last(
     )
 
 
+def latency_rolling(
+    metrics: DataFrame, order: list[str], duration: str, keep: int = LATENCIES_KEPT, width: int = 65536
+) -> DataFrame:
+    """Each positive duration, rounded, with the mean of the last ``keep`` ones up to it.
+
+    ``order`` must tell rows apart.  The order is global, but no task sees more than a block of
+    ``width`` rows of it.
+    """
+    ms = F.floor(F.col(duration) + F.lit(0.5)).cast("bigint")
+    placed = with_positions(metrics.select(*order, ms.alias("duration_ms")).filter("duration_ms > 0"), order)
+    mean = {"mean_ms": F.avg("duration_ms")}
+    return over_last(placed, "_pos", keep, mean, width).select(*order, "duration_ms", "mean_ms")
+
+
 def vault_gauge(totals: DataFrame, redacted: str = "redacted_count") -> DataFrame:
     """How full the gauge is, in percent."""
     percent = F.floor(F.col(redacted) / F.lit(GAUGE_FULL) * 100 + F.lit(0.5)).cast("bigint")
@@ -129,52 +145,11 @@ def leak_audit(
     return counted.filter("n_rescan > 0 OR n_known > 0")
 
 
-GRAM = 8
-
-
-def _grams_sql(text: str, size: str) -> str:
-    """The different pieces of ``size`` characters of a text."""
-    # An empty match looks ahead, so pieces overlap and the text is walked once.
-    window = f"concat('(?s)(?=(.{{', {size}, '}}))')"
-    return f"array_distinct(regexp_extract_all({text}, {window}, 1))"
-
+def vault_leak_audit(df: DataFrame, keys: list[str], text: str, vault: DataFrame) -> DataFrame:
+    """Texts in which a value of the whole vault stands, not only their own: ``n_known``.
 
-def vault_leak_audit(
-    df: DataFrame, keys: list[str], text: str, vault: DataFrame, gram: int = GRAM
-) -> DataFrame:
-    """Texts in which a value of the whole vault stands, not only their own.
-
-    A value counts wherever it stands, also inside a longer word, and once per text.  Each
-    value is filed under the one of its pieces of ``gram`` characters that the fewest values
-    share (a shorter value under itself), and each text asks with its different pieces; what
-    meets on a piece is checked in full.  So values with a common beginning or domain do not
-    meet every text that has it.  The pieces are first cut down to those that file a value,
-    and only texts with a candidate are read again.
+    A value counts wherever it stands, also inside a longer word, and once per text.
+    ``occurrences`` finds them by their rarest pieces; the text itself moves only for rows that
+    have a candidate.
     """
-    values = (
-        vault.select("value").filter("value <> ''").distinct()
-        .withColumn("_size", F.least(F.length("value"), F.lit(gram)))
-    )
-    pieces = values.select(
-        "value", F.expr(f"explode({_grams_sql('value', '_size')})").alias("_gram")
-    )
-    shared = pieces.groupBy("_gram").agg(F.count(F.lit(1)).alias("_n"))
-    filed = (
-        pieces.join(shared, "_gram")
-        .groupBy("value")
-        .agg(F.min(F.struct("_n", "_gram")).getField("_gram").alias("_gram"))
-    )
-    sizes = values.agg(F.sort_array(F.collect_set("_size"))).scalar()  # at most ``gram`` numbers
-    asking = df.withColumn("_sizes", F.coalesce(sizes, F.array().cast("array<int>"))).select(
-        *keys,
-        F.expr(
-            f"explode(flatten(transform(_sizes, s -> {_grams_sql(quote(text), 's')})))"
-        ).alias("_gram"),
-    )
-    candidates = asking.join(filed, "_gram").select(*keys, "value")
-    return (
-        candidates.join(df.select(*keys, quote(text)), keys)
-        .filter(F.contains(F.col(quote(text)), F.col("value")))
-        .groupBy(*keys)
-        .agg(F.count(F.lit(1)).alias("n_known"))
-    )
+    return occurrences(df, keys, text, vault.select("value")).groupBy(*keys).agg(F.count(F.lit(1)).alias("n_known"))

@@ -15,6 +15,8 @@ from pyspark.sql import types as T
 
 from veilframe.functions.tokens import TOKEN_PATTERN, quote, sql_text, tokens_in_sql
 from veilframe.operators.nested import JSON_STRING, has_strings, json_quote_sql, rewrite_sql
+from veilframe.operators.patterns import occurrences
+from veilframe.sources.stage import stage
 
 
 def replace_tokens_sql(
@@ -84,6 +86,38 @@ def attach_values(
     return df.join(found, keys, "left")
 
 
+def vault_closure(vault: DataFrame, pattern: str = TOKEN_PATTERN) -> DataFrame:
+    """``token, value``: the vault with the tokens inside its values resolved, however deep.
+
+    Only values that hold a token of the vault take part.  Round by round those whose inner
+    tokens are all resolved are resolved themselves, one round per level of nesting.  What is
+    left is on a cycle or holds a token of one: there the tokens of the cycle stay as they are.
+    """
+    plain = vault.select("token", "value")
+    inner = tokens_in_sql("value", pattern)
+    edges = plain.filter(f"size({inner}) > 0").select("token", F.expr(f"explode(array_distinct({inner}))").alias("inner"))
+    known = plain.select(F.col("token").alias("inner")).distinct()
+    edges = stage(edges.join(known, "inner", "left_semi"), "edges")
+    left = stage(plain.join(edges.select("token").distinct(), "token", "left_semi"), "nested")
+    done = plain.join(left.select("token"), "token", "left_anti")
+
+    def resolve(rows: DataFrame, entries: DataFrame) -> DataFrame:
+        text = replace_tokens_sql("value", "_values", pattern)
+        named = rows.withColumnRenamed("token", "outer")
+        return attach_values(named, ["outer"], inner, entries).select(
+            F.col("outer").alias("token"), F.expr(f"CASE WHEN _values IS NULL THEN value ELSE {text} END").alias("value"))
+
+    while not left.isEmpty():
+        waiting = edges.join(left.select(F.col("token").alias("inner")), "inner", "left_semi").select("token").distinct()
+        ready = left.join(waiting, "token", "left_anti")
+        rest = stage(left.join(waiting, "token", "left_semi"), "nested")
+        resolved = stage(resolve(ready, done), "resolved")
+        if resolved.isEmpty():
+            return done.unionByName(resolve(left, done))
+        done, left = done.unionByName(resolved), rest
+    return done
+
+
 def rehydrate(
     df: DataFrame,
     keys: list[str],
@@ -96,11 +130,13 @@ def rehydrate(
 ) -> DataFrame:
     """Replace the vault tokens in the given columns; unknown tokens stay as they are.
 
-    ``when`` limits this to the rows where a SQL condition holds.  ``fixpoint`` adds a
-    second pass, for values that hold an earlier token themselves (a key block can); one
-    pass leaves those inner tokens standing.  With ``json`` the columns are JSON texts, of which
+    ``when`` limits this to the rows where a SQL condition holds.  One pass leaves standing the
+    tokens inside the values it puts in (a key block can hold some); with ``fixpoint`` those
+    are resolved in the vault first, so that the texts are still read once.  With ``json`` the columns are JSON texts, of which
     only string values change.
     """
+    if fixpoint:
+        vault = vault_closure(vault, pattern)
     fields = {f.name: f.dataType for f in df.schema.fields}
     columns = [c for c in columns if has_strings(fields[c])]
     tokens = f"concat({', '.join(_tokens_sql(c, fields[c], pattern) for c in columns)})"
@@ -123,6 +159,48 @@ def rehydrate(
             for c in df.columns
         ]
     )
-    if fixpoint:
-        restored = rehydrate(restored, keys, columns, vault, pattern, when, json)
     return restored.unionByName(df.filter(f"NOT ({test})"))
+
+
+# Keys of any form
+
+
+def _in_order_sql(entries: str, first: str) -> str:
+    """All stages of a text as the entries replace their keys, one after the other, in order."""
+    last = "element_at(acc, -1)"
+    return (
+        f"aggregate({entries}, array({first}), (acc, e) ->"
+        f" if(contains({last}, e.token), concat(acc, array(replace({last}, e.token, e.value))), acc))"
+    )
+
+
+def rehydrate_literal(df: DataFrame, keys: list[str], column: str, vault: DataFrame, order: str) -> DataFrame:
+    """Replace vault keys of any form, with or without brackets, in a text column.
+
+    As in the batch replacement of a vault in insertion order: the keys are replaced one after
+    the other, by ascending ``order`` (unique), everywhere in the text and in what earlier keys
+    have put in; so an earlier key wins over a longer one that holds it.
+
+    Only keys that stand in a text are replaced in it.  They are found by ``occurrences``; then
+    the stages of the rows that changed are asked again, for later keys that were put in or
+    came about where a value meets its neighbours, until no stage holds a key that was missed.
+    ``keys`` identify a row.  Null texts stay, empty keys are left out.
+    """
+    entries = vault.filter("token <> ''").select(F.col(order).alias("at"), "token", F.coalesce("value", F.lit("")).alias("value"))
+    entries = stage(entries, "entries")
+    strings = entries.select(F.col("token").alias("value"))
+    texts = df.select(*keys, F.col(quote(column)).alias("_text")).filter("_text IS NOT NULL")
+    found = stage(occurrences(texts, keys, "_text", strings).select(*keys, F.col("value").alias("token")).distinct(), "found")
+    while True:
+        held = found.join(entries, "token").groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("at", "token", "value"))).alias("_held"))
+        stages = stage(
+            texts.join(held, keys).select(*keys, "_held", F.expr(_in_order_sql("_held", "_text")).alias("_stages")), "stages")
+        asked = stages.select(*keys, F.expr("posexplode(slice(_stages, 2, size(_stages)))").alias("_n", "_text"), "_held")
+        met = occurrences(asked, [*keys, "_n"], "_text", strings).select(*keys, F.col("value").alias("token"))
+        more = stage(met.distinct().join(found, [*keys, "token"], "left_anti"), "found")
+        if more.isEmpty():
+            break
+        found = found.unionByName(more)
+    done = stages.select(*keys, F.expr("element_at(_stages, -1)").alias("_done"))
+    return df.join(done, keys, "left").select(
+        *[F.coalesce("_done", F.col(quote(c))).alias(c) if c == column else F.col(quote(c)) for c in df.columns])

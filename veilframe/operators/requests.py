@@ -117,8 +117,10 @@ def exchange_join(
     """A log of whole exchanges: what was forwarded, and what the client got back.
 
     The redacted requests are staged once; the vault and the forwarded bodies both read
-    from there.
+    from there.  So are the responses, which are read for their tokens, for the rows that hold
+    one, and for the others.
     """
+    responses = stage(responses, "replies")
     sent = stage(
         body_methods(requests).select(key, saved_at, "forwarded", "findings"), "exchange"
     )

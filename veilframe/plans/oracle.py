@@ -233,6 +233,15 @@ SQL: dict[str, str] = {
         SELECT doc_id, {restore("('from [' || source || '] and [x] ' || text)",
                                 CUSTOM_TOKEN_PATTERN)} AS restored
         FROM {with_map('documents', 'names')}""",
+    "rehydrate_literal": """WITH s AS (SELECT DISTINCT source, ascii(right(source, 1)) AS n FROM documents WHERE source IS NOT NULL),
+        e AS (SELECT 'TOKEN_' || source AS token, source || 'a' AS pos, CASE n % 3 WHEN 0 THEN '<$1 TOKEN_' || source || '0>'
+                WHEN 1 THEN 'TOKEN_src' || n % 7 ELSE 'TOKEN' END AS value FROM s
+            UNION ALL SELECT 'TOKEN_' || source || '0', source || 'b', 'zero' FROM s),
+        names AS (SELECT token, arg_max(value, pos) AS value, max(pos) AS pos FROM e GROUP BY 1),
+        every AS (SELECT list({'k': token, 'v': value} ORDER BY pos) AS l FROM names)
+        SELECT doc_id, list_reduce(l, lambda acc, x: {'k': replace(acc.k, x.k, x.v), 'v': ''},
+            {'k': 'TOKEN_' || source || '0 and TOKEN_' || source || '_' || source || ' ' || text, 'v': ''}).k AS restored
+        FROM documents, every""",
     "rehydrate_nested": f"""{VAULT}, z AS (SELECT request_id, source,
             {restore('t')} AS log FROM {with_map('r', 'vault')})
         SELECT request_id, log, log AS text, source FROM z""",
@@ -303,6 +312,9 @@ SQL["leak_audit_vault"] = f"""WITH {chain('a', _TWICE)},
     SELECT doc_id, count(*) AS n_known FROM a, vals
     WHERE contains(a.t, vals.value) GROUP BY doc_id"""
 _RESCAN_R = chain("b", "SELECT request_id, t AS text, f AS own FROM r")
+SQL["latency_rolling"] = """SELECT event_id, duration_ms, avg(duration_ms) OVER (ORDER BY ts, event_id
+    ROWS BETWEEN 49 PRECEDING AND CURRENT ROW) AS mean_ms
+    FROM (SELECT *, CAST(floor(value + 0.5) AS BIGINT) AS duration_ms FROM events) WHERE duration_ms > 0"""
 SQL["pii_totals"] = f"""{FOUND}, {_RESCAN_R},
     tok AS (SELECT DISTINCT request_id, token FROM found),
     ty AS (SELECT split_part(token, '_', 2) AS type, count(*) AS n FROM tok GROUP BY 1),
@@ -356,6 +368,18 @@ SQL["event_changed_only"] = f"""WITH {_SCANNED} SELECT * FROM (
 for _name in HANDLERS:
     SQL[f"event_{_name}"] = f"""WITH {_SCANNED} SELECT doc_id AS event_id,
         {_RESPONSE} AS response FROM r WHERE handler = '{_name}'"""
+_DEEP = ("repeat('[', 1200)", "repeat(']', 1200)")
+SQL["event_odd_payloads"] = f"""WITH {chain('r', "SELECT doc_id, text FROM documents")}
+    SELECT doc_id AS event_id,
+        (['pre_gemini', 'pre_claude', 'post_builtin', 'after_mcp', 'pre_claude'])[doc_id % 5 + 1] AS handler,
+        CASE WHEN len(f) = 0 THEN NULL ELSE CASE doc_id % 5
+        WHEN 0 THEN '{{"hookSpecificOutput":{{"tool_input":{{"note":' || {js('t')} || '}}}}}}'
+        WHEN 2 THEN '{{"decision":"block","reason":' || {js('t')} || '}}'
+        WHEN 3 THEN '{{"decision":"deny","reason":' || {js("('Result:' || chr(10) || t)")} || '}}'
+        ELSE '{{"hookSpecificOutput":{{"hookEventName":"PreToolUse","permissionDecision":"allow","updatedInput":'
+            || CASE doc_id % 5 WHEN 1 THEN {_DEEP[0]} || {js('t')} || {_DEEP[1]}
+                ELSE '{{"k":' || {js('t')} || ',"k":' || {js('t')} || '}}' END || '}}}}' END END AS response
+    FROM r"""
 SQL["event_quarantine"] = """SELECT doc_id AS event_id, CASE doc_id % 10 WHEN 8 THEN 'blank'
     WHEN 9 THEN 'invalid' ELSE 'ok' END AS status FROM documents"""
 SQL["event_plugin_after"] = f"""WITH {DOCS}
@@ -414,6 +438,15 @@ SQL["log_mask"] = """SELECT event_id, '[REDACTED]' AS token,
     '[REDACTED]' AS extra_id_token, event_type AS extra_path FROM events"""
 _LEVEL = pick(src.LEVELS, "event_id")
 _CASES = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in logs.SEVERITIES.items())
+_P, _T, _M = js("props"), js("event_type"), '"[REDACTED]"'
+SQL["log_mask_json"] = f"""SELECT event_id, CASE event_id % 6
+    WHEN 0 THEN '{{"level":"info","token":{_M},"ctx":{{"password":{_M},"user":' || {_T} || ',"deep":{{"secret":' || {_T} || '}}}}}}'
+    WHEN 1 THEN '{{"msg":' || {_T} || ',"apiKey":null,"list":[{{"token":' || {_T} || '}}],"extra":{{"idToken":{_M},"path":'
+        || {_T} || '}}}}'
+    WHEN 2 THEN '{{ "token" : {_M},' || chr(9) || '"n":1.50 , "m":' || {_T} || '}}'
+    WHEN 3 THEN '[{{"token":' || {_T} || '}}]'
+    WHEN 4 THEN '{{"\\u0073ecret":{_M},"a":{{"clientSecret":{_M},"b":{{"clientSecret":' || {_T} || '}}}},"big":1e400}}'
+    ELSE event_type END AS record FROM events"""
 SQL["log_severity"] = f"""SELECT event_id, {_LEVEL} AS level,
     CASE {_LEVEL} {_CASES} ELSE 'DEFAULT' END AS severity FROM events"""
 _HAS = {

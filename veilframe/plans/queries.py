@@ -302,6 +302,25 @@ def rehydrate_custom(spark: SparkSession, sf: str) -> DataFrame:
     return rehydrate.rehydrate(texts, ["doc_id"], ["restored"], names, CUSTOM_TOKEN_PATTERN)
 
 
+@query()
+def rehydrate_literal(spark: SparkSession, sf: str) -> DataFrame:
+    """Keys without brackets: ``TOKEN_<source>``, of which some hold others, and whose values
+    hold later and earlier keys or make one with what follows."""
+    docs = src.documents(spark, sf)
+    sources = docs.filter("source IS NOT NULL").select("source").distinct()
+    key, n = F.concat(F.lit("TOKEN_"), "source"), F.ascii(F.right("source", F.lit(1)))
+    value = (
+        F.when(n % 3 == 0, F.concat(F.lit("<$1 "), key, F.lit("0>")))
+        .when(n % 3 == 1, F.concat(F.lit("TOKEN_src"), (n % 7).cast("string")))
+        .otherwise(F.lit("TOKEN"))
+    )
+    names = sources.select(key.alias("token"), value.alias("value"), F.concat("source", F.lit("a")).alias("at")).unionByName(
+        sources.select(F.concat(key, F.lit("0")).alias("token"), F.lit("zero").alias("value"), F.concat("source", F.lit("b")).alias("at")))
+    names = names.groupBy("token").agg(F.max_by("value", "at").alias("value"), F.max("at").alias("at"))
+    text = F.concat(key, F.lit("0 and "), key, F.lit("_"), "source", F.lit(" "), "text")
+    return rehydrate.rehydrate_literal(docs.select("doc_id", text.alias("restored")), ["doc_id"], "restored", names, "at")
+
+
 @query()
 def rehydrate_nested(spark: SparkSession, sf: str) -> DataFrame:
     staged, saved = _staged(spark, sf, "source")
@@ -401,6 +420,13 @@ def event_quarantine(spark: SparkSession, sf: str) -> DataFrame:
     return events.event_status(src.tool_events(spark, sf)).select("event_id", "status")
 
 
+@query()
+def event_odd_payloads(spark: SparkSession, sf: str) -> DataFrame:
+    """Payloads with repeated keys and deep nesting, routed and answered."""
+    out = events.event_responses(src.odd_events(spark, sf), changed_only=False)
+    return out.select("event_id", "handler", "response")
+
+
 @query()
 def event_plugin_after(spark: SparkSession, sf: str) -> DataFrame:
     def block(kind: str, text: str) -> Column:
@@ -508,6 +534,12 @@ def latency_last50(spark: SparkSession, sf: str) -> DataFrame:
     return out.select("event_id", "duration_ms")
 
 
+@query()
+def latency_rolling(spark: SparkSession, sf: str) -> DataFrame:
+    out = metrics.latency_rolling(src.events(spark, sf), ["ts", "event_id"], "value", width=4096)
+    return out.select("event_id", "duration_ms", "mean_ms")
+
+
 @query()
 def vault_gauge(spark: SparkSession, sf: str) -> DataFrame:
     by_type = metrics.pii_by_type(_request_findings(spark, sf))
@@ -558,6 +590,11 @@ def log_mask(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+@query()
+def log_mask_json(spark: SparkSession, sf: str) -> DataFrame:
+    return logs.log_mask_json(src.json_logs(spark, sf), "record")
+
+
 @query()
 def log_severity(spark: SparkSession, sf: str) -> DataFrame:
     return src.log_records(spark, sf).select(

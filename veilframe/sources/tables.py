@@ -246,6 +246,43 @@ def tool_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def odd_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hook payloads with repeated keys or deep nesting, one per document: ``event_id, raw``."""
+    t, s = json_quote_sql("text"), json_quote_sql("source")
+    block = f"""'{{"type":"text","text":', {t}, '}}'"""
+    payload = f"""
+        CASE pmod(doc_id, 5)
+        WHEN 0 THEN concat('{{"hook_event_name":"PreToolUse","tool_input":{{"note":', {s}, '}},',
+            '"hook_event_name":"BeforeTool","tool_input":{{"note":', {t}, '}}}}')
+        WHEN 1 THEN concat('{{"hook_event_name":"PreToolUse","tool_input":', repeat('[', 1200), {t},
+            repeat(']', 1200), '}}')
+        WHEN 2 THEN concat('{{"tool_name":"Read","tool_response":{{"stdout":', {s}, '}},',
+            '"tool_response":{{"stderr":', {t}, '}}}}')
+        WHEN 3 THEN concat('{{"hook_event_name":"AfterTool","tool_name":"Bash","tool_name":"mcp__db__query",',
+            '"tool_response":{{"content":[],"content":[{{"text":"Result:"}},', {block}, ']}}}}')
+        ELSE concat('{{"hook_event_name":"PreToolUse","tool_input":{{"k":', {t}, ',"k":', {t}, '}}}}') END"""
+    return documents(spark, sf_dir).select(
+        F.col("doc_id").alias("event_id"), F.expr(payload).alias("raw")
+    )
+
+
+def json_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log records as JSON texts of different shapes: ``event_id, record``."""
+    p, t = json_quote_sql("props"), json_quote_sql("event_type")
+    record = f"""
+        CASE pmod(event_id, 6)
+        WHEN 0 THEN concat('{{"level":"info","token":', {p}, ',"ctx":{{"password":', {p}, ',"user":', {t},
+            ',"deep":{{"secret":', {t}, '}}}}}}')
+        WHEN 1 THEN concat('{{"msg":', {t}, ',"apiKey":null,"list":[{{"token":', {t}, '}}],"extra":{{"idToken":',
+            {p}, ',"path":', {t}, '}}}}')
+        WHEN 2 THEN concat('{{ "token" : {{"a":[1,{{"b":"}}"}}]}},\t"n":1.50 , "m":', {t}, '}}')
+        WHEN 3 THEN concat('[{{"token":', {t}, '}}]')
+        WHEN 4 THEN concat('{{"\\\\u0073ecret":12345678901234567890,"a":{{"clientSecret":[1,', {p},
+            '],"b":{{"clientSecret":', {t}, '}}}},"big":1e400}}')
+        ELSE event_type END"""
+    return events(spark, sf_dir).select("event_id", F.expr(record).alias("record"))
+
+
 def tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tool calls for the access audit: ``event_id, tool, file_path, command``."""
     return events(spark, sf_dir).select(
