@@ -25,6 +25,9 @@ from veilframe.llm.common import bounded_sample
 TOKEN = r"[a-z0-9]+(?:[.-][a-z0-9]+)*+"  # possessive: Java backs up on its stack otherwise
 # Between paragraphs: lines without a letter or digit, such as a comment sign alone.
 BLANK = r"\n(?:[^\p{L}\p{N}\n]*+\n)++"
+# A licence expression of several names, such as ``SPDX-License-Identifier: (MIT OR Apache-2.0)``.
+CHOICE = r"(?i)((?:spdx-license-identifier|licen[sc]e)s?:)([^\n]*\s(?:or|and)\s[^\n]*)"
+JOINED = r"(?i)\s+(?:or|and)\s+|[()]"
 UNKNOWN = "unknown"
 SAMPLE = 400  # documents whose paragraphs may serve as examples of no licence
 PARAGRAPHS = 3000  # paragraphs of that sample, at most
@@ -66,6 +69,7 @@ TEMPLATES = {
         "Licensed under CC BY-NC 4.0.", "Licensed under a Creative Commons Attribution-NonCommercial 4.0 License."),
     "CC0": ("Released under CC0 1.0.", "Dedicated to the public domain under the Creative Commons CC0 1.0 dedication."),
     "Proprietary": (
+        "All rights reserved.", "Copyright. All rights reserved.",
         "All rights reserved. No part of this work may be reproduced without written permission.",
         "Confidential and proprietary. Unauthorized copying is strictly prohibited.",
     ),
@@ -271,7 +275,7 @@ def scan_licenses(docs: DataFrame, text_col: str, model: LicenseModel, out: str
     the family with the share of its word pairs that the paragraph holds.
 
     Paragraphs end at blank lines.  Each is read line by line, and as a whole across its line
-    ends, as notices are often wrapped.  The whole counts if a template confirms it or no line
+    ends, as notices are often wrapped; a line that joins names by ``OR`` or ``AND`` names each.  The whole counts if a template confirms it or no line
     names a licence; a line that nothing confirms is then a fragment if it holds a word pair
     of that template.  Of several finds of one family the closest to a template stays.
 
@@ -291,25 +295,35 @@ def scan_licenses(docs: DataFrame, text_col: str, model: LicenseModel, out: str
     templates = _fixed(compared, "array<struct<family:string,id:string,pairs:array<string>>>")
     none = F.array().cast(f"array<{FOUND}>")
 
-    def classify(piece: Column) -> Column:
-        grams = F.array_distinct(_grams(piece.words))
+    # Each step adds to the struct what the next one reads more than once, so that nothing is
+    # computed again inside a lambda.
+    def grammed(piece: Column) -> Column:
+        return F.struct(piece.at.alias("paragraph"), piece.whole.alias("whole"), F.array_distinct(_grams(piece.words)).alias("grams"))
+
+    def voted(piece: Column) -> Column:
         logits = F.aggregate(
-            F.array_intersect(grams, vocabulary), bias,
+            F.array_intersect(piece.grams, vocabulary), bias,
             lambda acc, g: F.zip_with(acc, F.element_at(weights, g), lambda a, b: a + b))
-        scaled = F.transform(logits, lambda v: F.exp((v - F.array_max(logits)) / F.lit(model.temperature)))
-        total = F.aggregate(scaled, F.lit(0.0), lambda a, v: a + v)
-        family = F.element_at(families, F.array_position(scaled, F.array_max(scaled)).cast("int"))
-        return F.struct(piece.at.alias("paragraph"), piece.whole.alias("whole"), family.alias("family"),
-                        (F.array_max(scaled) / total).alias("probability"), grams.alias("grams"))
+        return F.struct(piece.paragraph.alias("paragraph"), piece.whole.alias("whole"), piece.grams.alias("grams"), logits.alias("logits"))
+
+    def classify(piece: Column) -> Column:
+        top = F.array_max(piece.logits)
+        total = F.aggregate(piece.logits, F.lit(0.0), lambda a, v: a + F.exp((v - F.array_max(piece.logits)) / F.lit(model.temperature)))
+        family = F.element_at(families, F.array_position(piece.logits, top).cast("int"))
+        return F.struct(piece.paragraph.alias("paragraph"), piece.whole.alias("whole"), family.alias("family"),
+                        (1 / total).alias("probability"), piece.grams.alias("grams"))
 
-    def compare(piece: Column) -> Column:
+    def held_by(piece: Column) -> Column:
         own = F.filter(templates, lambda t: t.family == piece.family)
         held = F.array_max(F.transform(own, lambda t: F.struct(
             (F.size(F.array_intersect(t.pairs, piece.grams)) / F.size(t.pairs)).alias("share"), t.id.alias("id"), t.pairs.alias("pairs"))))
+        return F.struct(piece.alias("piece"), held.alias("held"))
+
+    def compare(x: Column) -> Column:
         # in the order of preference among finds of a family
-        return F.struct(held.share.alias("containment"), piece.probability.alias("probability"),
-                        held.id.alias("template"), piece.whole.alias("whole"), piece.paragraph.alias("paragraph"),
-                        piece.family.alias("family"), piece.grams.alias("grams"), held.pairs.alias("pairs"))
+        return F.struct(x.held.share.alias("containment"), x.piece.probability.alias("probability"),
+                        x.held.id.alias("template"), x.piece.whole.alias("whole"), x.piece.paragraph.alias("paragraph"),
+                        x.piece.family.alias("family"), x.piece.grams.alias("grams"), x.held.pairs.alias("pairs"))
 
     def counts(find: Column) -> Column:
         lines = F.exists("_finds", lambda d: (d.paragraph == find.paragraph) & ~d.whole)
@@ -323,8 +337,15 @@ def scan_licenses(docs: DataFrame, text_col: str, model: LicenseModel, out: str
     def piece(text: Column, at: Column, whole: bool) -> Column:
         return F.struct(at.alias("at"), F.lit(whole).alias("whole"), text.alias("text"))
 
+    def named(line: Column) -> Column:
+        """A line that joins names by OR or AND is read as one line for each."""
+        head, names = F.regexp_extract(line, CHOICE, 1), F.split(F.regexp_extract(line, CHOICE, 2), JOINED)
+        one_each = F.transform(names, lambda n: F.concat(head, F.lit(" "), n))
+        return F.when(line.rlike(CHOICE), one_each).otherwise(F.array(line))
+
     def read(p: Column) -> Column:
-        lines = F.transform(F.filter(F.split(p.text, "\n"), lambda t: t.rlike("[a-zA-Z0-9]")), lambda t: piece(t, p.at, False))
+        told = F.flatten(F.transform(F.split(p.text, "\n"), named))
+        lines = F.transform(F.filter(told, lambda t: t.rlike("[a-zA-Z0-9]")), lambda t: piece(t, p.at, False))
         return F.when(F.size(lines) > 1, F.concat(lines, F.array(piece(p.text, p.at, True)))).otherwise(lines)
 
     def worded(p: Column) -> Column:
@@ -336,9 +357,11 @@ def scan_licenses(docs: DataFrame, text_col: str, model: LicenseModel, out: str
         "_likely": F.when(F.arrays_overlap(_tokens(F.col("_text")), anchors),
                           F.filter(paragraphs, lambda p: F.arrays_overlap(_tokens(p.text), anchors))),
         "_pieces": F.transform(F.flatten(F.transform("_likely", read)), worded),
-        "_sure": F.filter(F.transform(F.filter("_pieces", lambda p: F.arrays_overlap(p.words, anchors)), classify),
-                          lambda c: (c.family != UNKNOWN) & (c.probability >= model.threshold)),
-        "_finds": F.transform("_sure", compare),
+        "_grams": F.transform(F.filter("_pieces", lambda p: F.arrays_overlap(p.words, anchors)), grammed),
+        "_votes": F.transform("_grams", voted),
+        "_sure": F.filter(F.transform("_votes", classify), lambda c: (c.family != UNKNOWN) & (c.probability >= model.threshold)),
+        "_held": F.transform("_sure", held_by),
+        "_finds": F.transform("_held", compare),
         "_kept": F.filter("_finds", counts),
         "_names": F.array_distinct(F.transform("_kept", lambda c: F.struct(c.paragraph.alias("paragraph"), c.family.alias("family")))),
         "_best": F.transform("_names", best),
