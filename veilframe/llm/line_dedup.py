@@ -32,6 +32,7 @@ WHITE = b" \t\n\x0b\x0c\r"
 SEGMENT_BITS = 16
 LEAST_BITS, MOST_BITS = 1 << 20, 1 << 30  # the largest filter is 128 MB in the driver and in each worker
 PER_LINE = 16
+HOT = 1000  # a line with more than this part of all suspects is joined by broadcast
 FLUSH = 1 << 19  # hashes that a task holds before it sends them
 
 
@@ -139,14 +140,25 @@ def suspects(body: DataFrame, twice: np.ndarray) -> DataFrame:
 
 
 def lines_to_drop(body: DataFrame, segments: int) -> DataFrame:
-    """``id, digest, lines``: the numbers of the lines that a text loses, for texts that lose any."""
+    """``id, digest, lines``: the numbers of the lines that a text loses, for texts that lose any.
+
+    A line that over a thousandth of all suspects have meets them by broadcast: there are less
+    than a thousand such lines, known by their hashes.  All others are joined by shuffle, so no
+    line sends more than that share to one task.
+    """
     found = stage(suspects(body, seen_twice(body, segments)), "suspects")
     # null ids are one document that comes after all others
     order = F.struct(F.col("id").isNull().alias("none"), "id")
     shared = found.groupBy("key").agg(
-        F.min("id").alias("keeper"), F.max("id").alias("last"), F.max(F.col("id").isNull()).alias("none")
-    ).filter((F.col("keeper") < F.col("last")) | (F.col("keeper").isNotNull() & F.col("none"))).select("key", "keeper")
-    lost = found.join(shared, "key").filter(order != F.struct(F.lit(False).alias("none"), F.col("keeper").alias("id")))
+        F.min("id").alias("keeper"), F.max("id").alias("last"), F.max(F.col("id").isNull()).alias("none"), F.count("*").alias("met")
+    ).filter((F.col("keeper") < F.col("last")) | (F.col("keeper").isNotNull() & F.col("none")))
+    shared = stage(shared.select("key", "keeper", "met"), "shared")
+    often = F.col("met") * HOT > found.count()
+    hot = F.broadcast(shared.filter(often).select(F.sha2("key", 256).alias("name"), "keeper"))
+    named = found.withColumn("name", F.sha2("key", 256))
+    met = named.join(hot, "name").select("id", "digest", "lines", "keeper").unionByName(
+        named.join(hot, "name", "left_anti").join(shared.filter(~often), "key").select("id", "digest", "lines", "keeper"))
+    lost = met.filter(order != F.struct(F.lit(False).alias("none"), F.col("keeper").alias("id")))
     return lost.groupBy("id", "digest").agg(F.flatten(F.collect_set("lines")).alias("lines"))
 
 
