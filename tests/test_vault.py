@@ -179,6 +179,22 @@ TEXT = (
 )
 
 
+def test_asof_at_one_time_stamp(spark):
+    """Saves and lookups of a token that share their time, over many blocks."""
+    rng = random.Random(6)
+    rows = [(f"[T_{rng.randint(1, 3)}]", "L", f"v{n}", at(10 * rng.randint(0, 2)), n, rng.randint(0, 5)) for n in range(300)]
+    asked = [(n, f"[T_{rng.randint(0, 4)}]", at(rng.choice([-1, 0, 5, 10, 20, 45]))) for n in range(300)]
+    saved = spark.createDataFrame(rows, SAVE).repartition(5)
+    lookups = spark.createDataFrame(asked, "n long, token string, at timestamp").repartition(5)
+    got = {r.n: r.value for r in v.vault_asof(saved, lookups, "at", ttl_seconds=10, block=16).collect()}
+    for n, token, when in asked:
+        before = [r for r in rows if r[3] <= when]
+        own = max((r for r in before if r[0] == token), key=lambda r: r[3:], default=None)
+        live = own is not None and (max(r[3] for r in before) - own[3]).total_seconds() <= 10
+        assert got[n] == (own[2] if live else None), n
+    assert v.vault_asof(saved.limit(0), lookups, "at").filter("value is not null").collect() == []
+
+
 def chunk_rows(seed: int, longest: int, texts: list[str]):
     rng = random.Random(seed)
     return {i: split(t, rng, longest) for i, t in enumerate(texts)}

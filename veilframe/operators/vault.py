@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from veilframe.functions.ordered import latest_before
+from veilframe.functions.ordered import latest_before, with_positions
 
 DEFAULT_TTL_SECONDS = 3600
 
@@ -104,45 +104,40 @@ def vault_asof(
     lookups: DataFrame,
     at: str,
     ttl_seconds: int = DEFAULT_TTL_SECONDS,
-    slice_seconds: int = 4,
+    block: int = 65536,
 ) -> DataFrame:
     """The value each looked-up token had at the time of its lookup.
 
     ``lookups`` holds ``token`` and the time column ``at``.  A token counts if it was saved
     at or before that time and had not expired at the last save of *any* token by then.
-    Adds ``value`` (null where not live).  Both questions, the token's last save and the
-    last save of all, look back along time slices, so neither a hot token nor the single
-    global timeline ends up in one task.
+    Adds ``value`` (null where not live).
+
+    Saves are reduced to the last one per token and time.  Saves and lookups are then put in
+    one order, by token and time, in which every row has its ordinal, and look back along
+    blocks of equal row counts with the ends of blocks carried on.  So neither a hot token nor
+    a single time stamp, nor the one global timeline, ends up in one task.
     """
-    second = 1_000_000
-    probe = lookups.withColumn("_id", F.struct(*lookups.columns))
-    # All saves on one timeline: (save time) and (lookup time) rows.
-    timeline = saves.select(
-        F.unix_micros("saved_at").alias("_at"), F.lit(0).alias("_kind")
-    ).distinct().unionByName(
+    micros = F.unix_micros("saved_at").alias("_at")
+    last = saves.groupBy("token", micros).agg(F.max_by("value", F.struct("request_id", "ord")).alias("value"))
+    probe = lookups.withColumn("_id", F.struct(*lookups.columns)).withColumn("_salt", F.monotonically_increasing_id())
+
+    def look_back(df: DataFrame, order: list[str], value: Column, out: str) -> DataFrame:
+        placed = with_positions(df, order)
+        return latest_before(placed, [], "_pos", value, out, width=block, fanout=block).filter("_kind = 1")
+
+    timeline = saves.select(micros, F.lit(0).alias("_kind")).distinct().unionByName(
         lookups.select(F.unix_micros(at).alias("_at"), F.lit(1).alias("_kind")).distinct()
     )
-    last_any = latest_before(
-        timeline, [], "_at", F.when(F.col("_kind") == 0, F.col("_at")), "_any",
-        tie=["_kind"], width=slice_seconds * second,
-    ).filter("_kind = 1").select("_at", "_any")
-    per_token = saves.select(
-        "token", F.unix_micros("saved_at").alias("_at"), F.lit(0).alias("_kind"),
-        "request_id", "ord", "value", F.lit(None).cast(probe.schema["_id"].dataType).alias("_id"),
-    ).unionByName(
-        probe.select(
-            "token", F.unix_micros(at).alias("_at"), F.lit(1).alias("_kind"),
-            F.lit(None).cast("bigint").alias("request_id"),
-            F.lit(None).cast("bigint").alias("ord"),
-            F.lit(None).cast("string").alias("value"), "_id",
-        )
+    last_any = look_back(
+        timeline, ["_at", "_kind"], F.when(F.col("_kind") == 0, F.col("_at")), "_any"
+    ).select("_at", "_any")
+    per_token = last.withColumn("_kind", F.lit(0)).unionByName(
+        probe.select("token", F.unix_micros(at).alias("_at"), F.lit(1).alias("_kind"), "_id", "_salt"),
+        allowMissingColumns=True,
     )
-    own = latest_before(
-        per_token, ["token"], "_at",
-        F.when(F.col("_kind") == 0, F.struct(F.col("_at").alias("at"), "value")), "_own",
-        tie=["_kind", "request_id", "ord"], width=slice_seconds * second,
-    ).filter("_kind = 1")
-    live = F.col("_any") - F.col("_own.at") <= ttl_seconds * second
+    save = F.when(F.col("_kind") == 0, F.struct("token", "_at", "value"))
+    own = look_back(per_token, ["token", "_at", "_kind", "_salt"], save, "_own")
+    live = (F.col("_own.token") == F.col("token")) & (F.col("_any") - F.col("_own._at") <= ttl_seconds * 1_000_000)
     return own.join(last_any, "_at", "left").select(
         "_id.*", F.when(live, F.col("_own.value")).alias("value")
     )
