@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 # The token format is '[' label '_' first hex digits of SHA-256 ']'.
 HASH_WIDTH = 6
-TOKEN_PATTERN = r"\[[A-Z][A-Z0-9_]*_[0-9a-f]{6,64}\]"
+TOKEN_PATTERN = r"\[[A-Z][A-Z0-9_]*_[0-9a-f]{1,64}\]"  # every width that can be minted
 # Anything in brackets, for vaults whose tokens were not minted here.
 CUSTOM_TOKEN_PATTERN = r"\[[^\[\]]+\]"
 

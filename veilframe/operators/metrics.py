@@ -16,7 +16,14 @@ GAUGE_FULL = 1000
 
 
 def request_tokens(findings: DataFrame, request: str = "request_id") -> DataFrame:
-    """The different tokens of each request; repeats inside a request count once."""
+    """The different tokens of each request; repeats inside a request count once.
+
+    Rows that still hold their array ``findings`` are whole requests: repeats go within the row
+    and nothing is shuffled.  Exploded findings of a request may come from several rows.
+    """
+    if "findings" in findings.columns:
+        tokens = F.array_distinct(F.transform("findings", lambda f: F.struct(f["label"].alias("label"), f["token"].alias("token"))))
+        return findings.select(request, F.explode(tokens).alias("_t")).select(request, "_t.label", "_t.token")
     return findings.select(request, "label", "token").distinct()
 
 
@@ -36,6 +43,9 @@ def pii_by_label(findings: DataFrame, request: str = "request_id") -> DataFrame:
 
 
 def request_token_count(findings: DataFrame, request: str = "request_id") -> DataFrame:
+    if "findings" in findings.columns:
+        counted = findings.select(request, F.size(F.array_distinct(F.col("findings.token"))).cast("bigint").alias("token_count"))
+        return counted.filter("token_count > 0")
     return (
         request_tokens(findings, request)
         .groupBy(request)

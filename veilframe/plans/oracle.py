@@ -368,6 +368,11 @@ SQL["event_changed_only"] = f"""WITH {_SCANNED} SELECT * FROM (
 for _name in HANDLERS:
     SQL[f"event_{_name}"] = f"""WITH {_SCANNED} SELECT doc_id AS event_id,
         {_RESPONSE} AS response FROM r WHERE handler = '{_name}'"""
+SQL["payload_lines"] = f"""SELECT status, handler, sum(k) AS n FROM (
+        SELECT CASE doc_id % 10 WHEN 8 THEN 'blank' WHEN 9 THEN 'invalid' ELSE 'ok' END AS status,
+            CASE WHEN doc_id % 10 < 8 THEN {_HANDLER} END AS handler,
+            CASE doc_id % 10 WHEN 8 THEN 2 ELSE 1 END AS k FROM documents)
+    GROUP BY ALL"""
 _DEEP = ("repeat('[', 1200)", "repeat(']', 1200)")
 SQL["event_odd_payloads"] = f"""WITH {chain('r', "SELECT doc_id, text FROM documents")}
     SELECT doc_id AS event_id,
@@ -436,6 +441,7 @@ SQL["log_mask"] = """SELECT event_id, '[REDACTED]' AS token,
     CASE WHEN event_type <> 'view' THEN '[REDACTED]' END AS apiKey, event_type AS Password,
     '[REDACTED]' AS ctx_password, event_type AS ctx_user, event_type AS deep_secret,
     '[REDACTED]' AS extra_id_token, event_type AS extra_path FROM events"""
+SQL["log_files"] = SQL["log_mask"]
 _LEVEL = pick(src.LEVELS, "event_id")
 _CASES = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in logs.SEVERITIES.items())
 _P, _T, _M = js("props"), js("event_type"), '"[REDACTED]"'

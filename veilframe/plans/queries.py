@@ -13,6 +13,7 @@ from veilframe.operators import access, chunks, events, logs, metrics, redact, r
 from veilframe.operators import requests as reqs
 from veilframe.operators.nested import redact_json, redact_nested
 from veilframe.sources import tables as src
+from veilframe.sources.io import read_logs, read_payloads
 from veilframe.sources.stage import stage, stage_path
 from veilframe.sources.vault_store import VaultStore
 from veilframe.streaming import jobs
@@ -386,6 +387,18 @@ def event_route(spark: SparkSession, sf: str) -> DataFrame:
     return events.parse_events(src.tool_events(spark, sf)).select("event_id", "handler")
 
 
+@query()
+def payload_lines(spark: SparkSession, sf: str) -> DataFrame:
+    """Payloads from a text file, one per line (a blank one of two lines is two), by what becomes
+    of them."""
+    folder = stage_path(spark, "payloads")
+    src.tool_events(spark, sf).select("raw").write.text(folder)
+    lines = events.event_status(read_payloads(spark, folder))
+    routed = events.parse_events(lines.select("raw")).select("handler", F.lit("ok").alias("status"))
+    others = lines.filter("status <> 'ok'").select(F.lit(None).cast("string").alias("handler"), "status")
+    return routed.unionByName(others).groupBy("status", "handler").agg(F.count("*").alias("n"))
+
+
 @query()
 def event_text(spark: SparkSession, sf: str) -> DataFrame:
     return events.parse_events(src.tool_events(spark, sf)).select("event_id", "event_text")
@@ -504,27 +517,26 @@ def access_split(spark: SparkSession, sf: str) -> DataFrame:
 
 @query()
 def pii_by_type(spark: SparkSession, sf: str) -> DataFrame:
-    return metrics.pii_by_type(_request_findings(spark, sf))
+    return metrics.pii_by_type(src.request_findings(spark, sf))
 
 
 @query()
 def pii_by_label(spark: SparkSession, sf: str) -> DataFrame:
-    return metrics.pii_by_label(_request_findings(spark, sf))
+    return metrics.pii_by_label(src.request_findings(spark, sf))
 
 
 @query()
 def request_token_count(spark: SparkSession, sf: str) -> DataFrame:
-    return metrics.request_token_count(_request_findings(spark, sf))
+    return metrics.request_token_count(src.request_findings(spark, sf))
 
 
 @query()
 def pii_totals(spark: SparkSession, sf: str) -> DataFrame:
     redacted = src.request_findings(spark, sf).select("request_id", "redacted", "findings")
     staged = stage(redacted, "totals")
-    found = redact.explode_findings(staged, ["request_id"])
     leaks = metrics.leak_audit(staged, ["request_id"])
     return metrics.pii_totals(
-        src.events(spark, sf), found, leaks, ["ts", "event_id"], "value"
+        src.events(spark, sf), staged, leaks, ["ts", "event_id"], "value"
     )
 
 
@@ -542,7 +554,7 @@ def latency_rolling(spark: SparkSession, sf: str) -> DataFrame:
 
 @query()
 def vault_gauge(spark: SparkSession, sf: str) -> DataFrame:
-    by_type = metrics.pii_by_type(_request_findings(spark, sf))
+    by_type = metrics.pii_by_type(src.request_findings(spark, sf))
     totals = by_type.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("redacted_count"))
     return metrics.vault_gauge(totals)
 
@@ -582,7 +594,11 @@ def leak_audit_vault(spark: SparkSession, sf: str) -> DataFrame:
 
 @query()
 def log_mask(spark: SparkSession, sf: str) -> DataFrame:
-    return logs.log_mask(src.log_records(spark, sf)).select(
+    return _masked_logs(src.log_records(spark, sf))
+
+
+def _masked_logs(records: DataFrame) -> DataFrame:
+    return logs.log_mask(records).select(
         "event_id", "token", "apiKey", "Password", F.col("ctx.password").alias("ctx_password"),
         F.col("ctx.user").alias("ctx_user"), F.col("ctx.deep.secret").alias("deep_secret"),
         F.col("extra")["idToken"].alias("extra_id_token"),
@@ -590,6 +606,14 @@ def log_mask(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+@query()
+def log_files(spark: SparkSession, sf: str) -> DataFrame:
+    """Log records from a file of JSON lines, masked."""
+    records, folder = src.log_records(spark, sf), stage_path(spark, "logs")
+    records.write.json(folder)
+    return _masked_logs(read_logs(spark, folder, records.schema))
+
+
 @query()
 def log_mask_json(spark: SparkSession, sf: str) -> DataFrame:
     return logs.log_mask_json(src.json_logs(spark, sf), "record")

@@ -27,32 +27,32 @@ PATHS = (
     "/health",
 )
 FILE_NAMES = (
-    ".env", ".env.local", "credentials.yaml", "db-Credentials", "secrets.yaml", "server.pem",
-    "tls.key", "id_rsa.pub", ".netrc", "store.p12", "app.keystore", "private.asc",
-    "package.json", "README.md", ".gitignore", "environment.ts", "key.txt", "my.env",
-    "pem", " .pgpass ",
+    ".env.staging", "aws-credentials.ini", "Team-Secrets.txt", "ca-bundle.pem", "signing.key",
+    "id_rsa_backup", ".netrc", "wallet.p12", "release.keystore", "mail.asc", ".pgpass",
+    "trust.jks", "client.pfx", " .env ", "notes.md", "setup.cfg", ".editorconfig", "keys.csv",
+    "prod.env", "pem-guide.txt", ".environment", "asc", "store.key.bak",
 )
 COMMANDS = (
-    "cat .env",
-    "cat /app/.env.local",
-    "head -5 secrets.yaml",
-    "tail -n 20 credentials.json",
-    "cat foo.txt && cat .env",
-    "echo hello | cat .env",
-    "cat ${HOME}/.env",
-    'cat "$(echo .env)"',
-    "cat `.env`",
-    "cat <.env",
-    "wc -l < server.pem; less x",
-    "sort < .netrc",
-    "cat README.md",
-    "ls -la .env",
-    "grep password src/config.ts",
-    "head -5 package.json",
-    ".env cat readme",
-    "cat -.env",
-    "batcat id_rsa",
-    "concat .env",
+    "less -N .env.staging",
+    "tail -f app.log && head ca-bundle.pem",
+    "printf x | bat signing.key",
+    "more < .netrc",
+    "cat \"$(ls .env)\"",
+    "cat `pwd`/wallet.p12",
+    "cat ${DIR}/aws-credentials.ini",
+    "tr a b < client.pfx > out.txt",
+    "nl notes.md; cat id_rsa_backup",
+    "batcat -p Team-Secrets.txt",
+    "cat <mail.asc",
+    "less notes.md",
+    "stat signing.key",
+    "find . -name .env",
+    "tail -3 setup.cfg",
+    "signing.key cat notes.md",
+    "less -.netrc",
+    "scatter .env",
+    "head keys.csv | wc",
+    "vi .pgpass",
 )
 # A synthetic key of each kind, as SQL of ``h``, 64 hex digits; digits alone by ``D``.
 D = "translate(h, 'abcdef', '123456')"
@@ -342,7 +342,7 @@ def delta_chunks(redacted: DataFrame) -> DataFrame:
 
 def sse_lines(redacted: DataFrame) -> DataFrame:
     """The same text as lines of an event stream: ``stream_id, seq, line``."""
-    start = json_quote_sql(f"substr(redacted, 1, {DELTA_SIZE})")
+    start = json_quote_sql("redacted")
     head = redacted.select(
         F.col("request_id").alias("stream_id"),
         F.expr(

@@ -154,18 +154,25 @@ def stream_chunks(
 
 
 def stream_sse(
-    stream: DataFrame, vault: VaultReader, path: str, checkpoint: str, longest: int | None = None
+    stream: DataFrame,
+    vault: VaultReader,
+    path: str,
+    checkpoint: str,
+    longest: int | None = None,
+    idle_seconds: float | None = None,
 ) -> StreamingQuery:
     """Rehydrate event streams as they arrive (``stream_id, seq, emitted``).
 
     The vault is read for each micro-batch.  What is held is shorter than ``longest``: by
     default the longest token at the start, and without bound if the vault is empty then.
-    Give it where a vault that holds tokens may still get longer ones.
+    Give it where a vault that holds tokens may still get longer ones.  The state of a stream
+    without a chunk for ``idle_seconds`` is dropped, with what it held.
     """
     if longest is None:
         longest = longest_token(vault()) or sys.maxsize
     framed = stream.groupBy("stream_id").applyInPandasWithState(
-        frame_events(longest), FRAME_SCHEMA, FRAME_STATE, "append", GroupStateTimeout.NoTimeout
+        frame_events(longest, idle_seconds), FRAME_SCHEMA, FRAME_STATE, "append",
+        GroupStateTimeout.NoTimeout if idle_seconds is None else GroupStateTimeout.ProcessingTimeTimeout,
     )
     return batches_to_table(framed, path, checkpoint, lambda b: emit_frames(b, vault()))
 

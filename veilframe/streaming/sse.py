@@ -145,13 +145,16 @@ def advance(
 
 
 def frame_events(
-    longest: int,
+    longest: int, idle_seconds: float | None = None
 ) -> Callable[[tuple, Iterator[pd.DataFrame], GroupState], Iterator[pd.DataFrame]]:
-    """The state function for ``applyInPandasWithState``."""
+    """The state function for ``applyInPandasWithState``.  An idle stream's state is removed."""
 
     def run(
         key: tuple, pdfs: Iterator[pd.DataFrame], state: GroupState
     ) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         buffer, was, packed = state.get if state.exists else ("", "", "{}")
         held = json.loads(packed)
         batch = pd.concat(list(pdfs)).sort_values("seq")
@@ -160,6 +163,8 @@ def frame_events(
             buffer, was, part = advance(buffer, was, held, chunk or "", longest)
             shown.append(part)
         state.update((buffer, was, json.dumps(held)))
+        if idle_seconds is not None:
+            state.setTimeoutDuration(int(idle_seconds * 1000))
         out = pd.DataFrame(shown, columns=["was", "raw", "hold", "pieces"], index=batch.index)
         yield pd.concat([batch[["stream_id", "seq"]], out], axis=1)
 
