@@ -33,7 +33,7 @@ def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of exact and near copies, the one with the smallest id."""
+    """One document of each group that fingerprints within two bits link, the one with the smallest id."""
     return drop_near_duplicates(docs, "doc_id", "text")
 
 
