@@ -9,13 +9,12 @@ therefore meets in at least one of the ``2 ** (radius + 1) - 1`` tables.
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veilframe.llm.common import components, text_batches
@@ -143,260 +142,20 @@ def simhash_components(docs: DataFrame, id_col: str, text_col: str, n: int = 3)
     return fps.join(by_fp, "fp").select("id", "fp", "component_id")
 
 
-SIMILARITY = 0.8
-SHINGLE = 5
-RADIUS = 5
-PARTS = 2
-SPREAD = 8192  # texts that one task puts into tables
-MIX = np.uint64(0x9E3779B97F4A7C15)
-BUCKET_BITS, SLOT_BITS = 10, 28  # of a shingle's hash: where it is counted, and its place in the bitmap
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 3) -> DataFrame:
+    """The rows of ``docs`` of one document of each component, the one with the smallest id.
 
-
-def profile(text: str | None) -> tuple[str, list[int]]:
-    """A key of the text, and its word SimHashes: distinct words vote with 1 + ln(count).
-
-    Words, not shingles, vote: an edit of one word then moves one voter and not five, so that
-    texts with four fifths of their five-word shingles in common differ in few bits.
+    Rows of one id are one document, of which one row stays: it is a component's first document
+    if any of its texts is.  Rows with a null id stay as they are.  Only ids are joined back to
+    the rows, and where no id is repeated no text is moved but for that join.
     """
-    counts = Counter(words(text))
-    key = xxhash.xxh3_128_hexdigest((text or "").encode())
-    if not counts:
-        return key, [0] * PARTS
-    digests = b"".join(xxhash.xxh3_128_digest(w) for w in counts)
-    signs = np.unpackbits(np.frombuffer(digests, np.uint8).reshape(-1, 8 * PARTS), axis=1)
-    votes = (1 + np.log(np.fromiter(counts.values(), np.float32, len(counts))))
-    packed = np.packbits(2 * (votes @ signs.astype(np.float32)) > votes.sum())
-    return key, [int(v) for v in packed.view(">i8")]
-
-
-def profiles(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in text_batches(batches, 256):
-            found = [profile(t.as_py()) for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([k for k, _ in found]),
-                 pa.array([f for _, f in found], pa.list_(pa.int64()))], ["id", "key", "fps"])
-
-    kept = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    return kept.filter("id is not null").mapInArrow(run, "id long, key string, fps array<long>")
-
-
-def shingle_hashes(text: str | None) -> np.ndarray:
-    """The distinct five-word shingles of the whole text as sorted 64-bit hashes."""
-    tokens = words(text)
-    hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, tokens), np.uint64, len(tokens))
-    n = min(SHINGLE, len(tokens))
-    found = np.full(len(tokens) - n + 1 if n else 0, n, np.uint64)
-    for i in range(n):
-        found = (found ^ (found >> np.uint64(29))) * MIX + hashes[i : i + len(found)]
-    found = (found ^ (found >> np.uint64(32))) * MIX
-    return np.unique(found ^ (found >> np.uint64(29)))
-
-
-def shingle_sets(docs: DataFrame) -> DataFrame:
-    """``id, shingles``: the distinct five-word shingles of whole texts as hashes."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in text_batches(batches, 64):
-            sets = [shingle_hashes(t.as_py()).view(np.int64) for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(sets, pa.list_(pa.int64()))], ["id", "shingles"])
-
-    return docs.mapInArrow(run, "id long, shingles array<long>")
-
-
-def shared_slots(body: DataFrame) -> np.ndarray:
-    """A bitmap over the first ``SLOT_BITS`` bits of a shingle's hash: set where a shingle is
-    in two texts of ``body (id, text)`` or more.
-
-    Hashes travel packed, five bytes each, to the bucket of their first bits, which counts
-    them.  The bitmap has a fixed size.  A bit set by chance only lets a shingle through to
-    the joins, which decide; a bit that is not set is sure.
-    """
-
-    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def packed(held: list[np.ndarray]) -> pa.RecordBatch:
-            found = np.sort(np.concatenate(held))
-            ends = np.arange(1, 1 << BUCKET_BITS, dtype=np.uint64) << np.uint64(BITS - BUCKET_BITS)
-            low = (found >> np.uint64(BITS - BUCKET_BITS - 40)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5]
-            parts = [x.tobytes() for x in np.split(low, np.searchsorted(found, ends))]
-            kept = [(n, x) for n, x in enumerate(parts) if x]
-            return pa.RecordBatch.from_arrays(
-                [pa.array([n for n, _ in kept], pa.int32()), pa.array([x for _, x in kept], pa.binary())],
-                ["bucket", "packed"])
-
-        held, size = [], 0
-        for batch in text_batches(batches, 64):
-            for t in batch.column(1):
-                held.append(shingle_hashes(t.as_py()))
-                size += len(held[-1])
-                if size >= 1 << 20:
-                    yield packed(held)
-                    held, size = [], 0
-        if size:
-            yield packed(held)
-
-    def count(table: pa.Table) -> pa.Table:
-        raw = np.frombuffer(b"".join(x.as_py() for x in table.column("packed")), np.uint8).reshape(-1, 5)
-        wide = np.zeros((len(raw), 8), np.uint8)
-        wide[:, :5] = raw
-        found = np.sort(wide.view("<u8").ravel() & np.uint64((1 << 40) - 1))
-        twice = found[1:][found[1:] == found[:-1]]
-        bits = np.zeros(1 << (SLOT_BITS - BUCKET_BITS), np.uint8)
-        bits[(twice >> np.uint64(40 - SLOT_BITS + BUCKET_BITS)).astype(np.int64)] = 1
-        return pa.table({"bucket": table.column("bucket")[:1], "bits": pa.array([np.packbits(bits).tobytes()], pa.binary())})
-
-    counted = body.mapInArrow(pack, "bucket int, packed binary").groupBy("bucket").applyInArrow(
-        count, "bucket int, bits binary")
-    out = np.zeros((1 << BUCKET_BITS, 1 << (SLOT_BITS - BUCKET_BITS - 3)), np.uint8)
-    for r in counted.toLocalIterator():
-        out[r["bucket"]] = np.frombuffer(r["bits"], np.uint8)
-    return out.ravel()
-
-
-def shared_shingles(body: DataFrame) -> DataFrame:
-    """``id, of, own, shingles``: the texts that can be near another one, those that share
-    four fifths of their shingles with any texts; ``own`` of their ``of`` shingles are in no
-    other text, ``shingles`` are the others."""
-    held = body.sparkSession.sparkContext.broadcast(shared_slots(body))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = held.value
-        for batch in text_batches(batches, 64):
-            rows = []
-            for i, t in zip(batch.column(0), batch.column(1)):
-                found = shingle_hashes(t.as_py())
-                slot = (found >> np.uint64(BITS - SLOT_BITS)).astype(np.int64)
-                met = found[(bits[slot >> 3] >> (7 - (slot & 7)).astype(np.uint8)) & 1 == 1]
-                if len(found) and 5 * len(met) >= 4 * len(found):
-                    rows.append((i.as_py(), len(found), len(found) - len(met), met.view(np.int64)))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([r[k] for r in rows], kind) for k, kind in
-                 enumerate((pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.int64())))], ["id", "of", "own", "shingles"])
-
-    return body.mapInArrow(run, "id long, of int, own int, shingles array<long>")
-
-
-def similar(pairs: DataFrame, body: DataFrame) -> DataFrame:
-    """The rows of ``pairs (a, b)`` whose texts in ``body (id, text)`` are near: at least
-    ``SIMILARITY`` of the shingles of both are shared.  Texts without a word are near none."""
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    sets = stage(shingle_sets(body.join(wanted, "id", "left_semi").dropDuplicates(["id"])), "shingles")
-    left, right = sets.toDF("a", "sa"), sets.toDF("b", "sb")
-    shared = F.size(F.array_intersect("sa", "sb"))
-    close = shared >= SIMILARITY * (F.size("sa") + F.size("sb") - shared)
-    return pairs.join(left, "a").join(right, "b").filter(close & (F.size("sa") > 0)).select("a", "b")
-
-
-def _within(a: str, b: str) -> Column:
-    return F.least(*(F.bit_count(F.col(a)[p].bitwiseXOR(F.col(b)[p])) for p in range(PARTS))) <= RADIUS
-
-
-def _split(members: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
-    """The members of each key that still has several components, with its most frequent
-    component as ``main``, and those outside it under other names."""
-    main = (
-        members.groupBy(key, "root").count().groupBy(key)
-        .agg(F.max(F.struct("count", "root"))["root"].alias("main"), F.count("*").alias("k"))
-        .filter("k > 1").select(key, "main")
-    )
-    every = stage(members.join(main, key), "members")
-    outside = every.filter("root <> main").drop("main")
-    return every, outside.select(key, *(F.col(c).alias(f"{c}_x") for c in outside.columns if c != key))
-
-
-def left_over(body: DataFrame, roots: DataFrame) -> DataFrame:
-    """``a, b``: pairs of texts of ``body (id, text)`` in different components of ``roots``,
-    among them every pair that is near.
-
-    Texts are filed under their rarest shingles, a fifth of them and one more: texts with four
-    fifths of their shingles in common share one of these.  The place of the first shared
-    shingle bounds how many they can share at all, so a pair of copies with too many own
-    shingles is not made.
-    """
-    each = stage(shared_shingles(body), "shared").select("id", "of", "own", F.explode("shingles").alias("shingle"))
-    met = each.groupBy("shingle").agg(F.count("*").alias("met"))
-    rarest = Window.partitionBy("id").orderBy("met", "shingle")
-    filed = (
-        each.join(met, "shingle").withColumn("at", F.col("own") + F.row_number().over(rarest))
-        .filter("at <= floor(of / 5) + 1 and met > 1").select("id", "of", "at", "shingle")
-        .join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
-    )
-    every, outside = _split(stage(filed, "filed"), "shingle")
-    pairs = outside.join(every, "shingle").filter(
-        (F.col("root") != F.col("root_x")) & ((F.col("root") == F.col("main")) | (F.col("id_x") < F.col("id")))
-        & F.expr("9 * (least(of - at, of_x - at_x) + 1) >= 4 * (of + of_x)"))
-    return pairs.select(F.least("id_x", "id").alias("a"), F.greatest("id_x", "id").alias("b")).distinct()
-
-
-def one_of_each(every: DataFrame, texts: DataFrame, body: DataFrame) -> DataFrame:
-    """The rows of ``body (id, text)`` without further copies of a text and without repeats of
-    an id.  Only the ids to leave out are joined, so that texts are not moved for it."""
-    first = texts.select("id").distinct().withColumn("first", F.lit(True))
-    left_out = stage(
-        every.groupBy("id").count().join(first, "id", "left")
-        .filter("first is null or count > 1").select("id", F.col("first").isNotNull().alias("again")),
-        "left_out")
-    once = body.filter("id is not null").join(left_out, "id", "left_anti")
-    again = body.join(left_out.filter("again").select("id"), "id", "left_semi").dropDuplicates(["id"])
-    return once.unionByName(again)
-
-
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``id, root`` of every id that is in a group with another: exact copies, and texts whose
-    five-word shingles have a Jaccard similarity of 0.8 or more; ``root`` is the smallest id.
-
-    Equal texts are one text from here on.  Each has two 64-bit SimHashes, and the covering
-    tables of radius 5 bring together every pair that is within the radius in either.  The
-    members of an entry are compared with its smallest and its largest id, which links most
-    copies cheaply.  Then (``left_over``) texts that are still in different components are
-    compared wherever they share rare shingles, so that no near pair is missed, whatever its
-    SimHashes.  All are checked on the shingles of the whole texts.  Texts of fewer than five words are near only to texts of
-    the same words.  Null and empty texts are copies of each other.  Rows of one id are one
-    document; null ids take no part.
-    """
-    every = stage(profiles(docs, id_col, text_col), "profiles")
-    texts = stage(every.groupBy("key").agg(F.min("id").alias("id"), F.min("fps").alias("fps")), "texts")
-    masks = covering_masks(RADIUS)
-    slots = F.array(*(
-        F.xxhash64(F.lit(p * len(masks) + t), F.col("fps")[p].bitwiseAND(F.lit(signed(m))))
-        for p in range(PARTS) for t, m in enumerate(masks)
-    ))
-    # a text makes many rows here, so the small table is spread by its number of texts
-    spread = texts.repartition(max(1, -(-texts.count() // SPREAD)), "id")
-    placed = spread.select("id", F.explode(slots).alias("slot"))
-    entries = placed.groupBy("slot").agg(
-        F.count("*").alias("n"), F.min("id").alias("low"), F.max("id").alias("high")
-    ).filter("n > 1")
-    ends = stage(entries, "slots")
-    pairs = (
-        placed.join(ends, "slot").select("id", F.explode(F.array("low", "high")).alias("other"))
-        .filter("id <> other").select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b"))
-        .distinct()
-    )
-    fps = texts.select(F.col("id").alias("a"), F.col("fps").alias("fa"))
-    pairs = stage(
-        pairs.join(fps, "a").join(fps.toDF("b", "fb"), "b").filter(_within("fa", "fb")).select("a", "b"), "pairs"
-    )
-    body = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    roots = stage(components(similar(pairs, body)), "roots")
-    more = stage(left_over(one_of_each(every, texts, body), roots), "pairs")
-    further = similar(more, body)
-    for end in ("a", "b"):
-        named = roots.withColumnRenamed("node", end).withColumnRenamed("root", "_root")
-        further = further.join(named, end, "left").withColumn(end, F.coalesce("_root", end)).drop("_root")
-    joined = components(further)
-    by_text = texts.select("key", F.col("id").alias("node")).join(roots, "node", "left").select(
-        "key", F.coalesce("root", "node").alias("node"))
-    by_text = by_text.join(joined, "node", "left").select("key", F.coalesce("root", "node").alias("root"))
-    return every.select("id", "key").join(by_text, "key").groupBy("id").agg(F.min("root").alias("root"))
-
-
-def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` without those of ids that are not the smallest of their group."""
-    extra = near_duplicates(docs, id_col, text_col).filter("id <> root").select(F.col("id").alias("_extra"))
-    extra = stage(extra, "extra")
-    return docs.join(extra, docs[id_col] == extra["_extra"], "left_anti")
+    found = simhash_components(docs, id_col, text_col, n).filter("id is not null")
+    first = F.max(F.col("component_id") == F.col("id"))
+    by_id = found.groupBy("id").agg(first.alias("first"), F.count("*").alias("rows")).filter("not first or rows > 1")
+    odd = stage(by_id, "copies").withColumnRenamed("id", "_id")
+    once = docs.join(odd, docs[id_col].cast("long") == odd["_id"], "left_anti")
+    again = docs.join(odd.filter("first").select("_id"), docs[id_col].cast("long") == F.col("_id"), "left_semi")
+    return once.unionByName(again.dropDuplicates([id_col]))
 
 
 def hex_word(column: str) -> Column:
