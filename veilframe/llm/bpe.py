@@ -41,7 +41,7 @@ PLAIN = re.compile("[ \n][!-~\xc0-\xd6\xd8-\xf6\xf8-\xff]+")
 LEAF = 64
 LONG = 256
 PARALLEL = 1 << 16
-MEMO = 1 << 18  # units that a task remembers
+MEMO = 1 << 17  # units that a task remembers
 
 
 def byte_alphabet() -> dict[str, int]:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,8 +25,9 @@ def held_out(doc_id: str, modulus: int, rest: int):
 def bounded_sample(df: DataFrame, by: str, most: int, key: str) -> list:
     """At most ``most`` rows of each value of ``by``, chosen by a hash of ``key``.
 
-    One aggregate finds the share of each value to keep, one scan keeps it; the rows that
-    reach the driver are bounded by ``most`` (and a margin) for each value.
+    One aggregate finds the share of each value to keep, one scan keeps it.  Of rows with one
+    key, which come or stay away together, one is kept before anything is sent, so however often
+    a row is repeated, the driver gets ``most`` rows (and a margin) for each value.
     """
     counts = {r[0]: r[1] for r in df.groupBy(by).count().collect() if r[0] is not None}
     if not counts:
@@ -34,7 +36,7 @@ def bounded_sample(df: DataFrame, by: str, most: int, key: str) -> list:
     for value, n in counts.items():
         share = F.when(F.col(by) == F.lit(value), F.lit(min(1.0, 1.3 * most / n))).otherwise(share)
     drawn = F.pmod(F.xxhash64(F.lit("sample"), F.col(key)), F.lit(1 << 20)) / F.lit(float(1 << 20))
-    rows = df.filter(drawn < share).collect()
+    rows = df.filter(drawn < share).dropDuplicates([by, key]).collect()
     rows.sort(key=lambda r: (np.uint64(hash_of(r[key])), str(r[key])))
     taken: dict = {}
     out = []
@@ -92,8 +94,18 @@ def components(links: DataFrame) -> DataFrame:
     return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(roots)
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, with underscores in front until no column has it."""
+    taken = {c.lower() for c in df.columns}
+    while name in taken:
+        name = "_" + name
+    return name
+
+
 def text_batches(batches: Iterator, rows: int) -> Iterator:
-    """Arrow batches cut to at most ``rows`` rows."""
+    """Arrow batches cut to at most ``rows`` rows.  After the last one, a worker that goes on to
+    other tasks gives the memory of the batches back."""
     for batch in batches:
         for at in range(0, batch.num_rows, rows):
             yield batch.slice(at, rows)
+    pa.default_memory_pool().release_unused()

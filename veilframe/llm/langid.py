@@ -14,17 +14,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from veilframe.llm.common import bounded_sample, held_out, text_batches
+from veilframe.llm.common import bounded_sample, free_name, held_out
 
 SEGMENT = 32
 HIDDEN = 16
 STEPS = 400
 BATCH = 768
 SAMPLE = 400  # labelled rows of each language that training may use
-MEMO = 1 << 18  # segments that a task remembers
+MEMO = 1 << 17  # segments that a task remembers
+PART = 2048  # segments evaluated at once
 UNKNOWN = "und"
 LEAST_SCORE = 0.3  # of a document in a known language
 
@@ -116,8 +117,8 @@ class ByteGru:
     def pooled(self, items: list[bytes]) -> np.ndarray:
         """For each segment the sum of its positions' probabilities."""
         out = np.zeros((len(items), len(self.labels)), np.float32)
-        for at in range(0, len(items), 4096):
-            probs, valid, order = self.positions(items[at : at + 4096])
+        for at in range(0, len(items), PART):
+            probs, valid, order = self.positions(items[at : at + PART])
             out[at + order] = (probs * valid[:, :, None]).sum(axis=0)
         return out
 
@@ -226,32 +227,32 @@ class Scorer:
         return out
 
 
-def label_rows(docs: DataFrame, text_col: str, model: ByteGru | None) -> DataFrame:
-    """``_lang, _score, _row``: language and score of every row's whole text, and the row as a
-    struct.  A text that is null or has no letter is ``und`` with score 0, as is every text
-    if nothing could be learned."""
-    at = docs.columns.index(text_col)
-    kept = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("_row"))
+def language_of(text: Column, model: ByteGru | None) -> Column:
+    """``lang, score`` of a whole text.  One that is null or has no letter is ``und`` with score
+    0, as is every text if nothing could be learned.  Only texts go to the Python worker."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    @F.arrow_udf("lang string, score double")
+    def label(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         scorer = Scorer(model) if model else None
-        for batch in text_batches(batches, 256):
-            texts = [t or "" for t in batch.column(0).flatten()[at].to_pylist()]
-            found = scorer.documents(texts) if scorer else [(UNKNOWN, 0.0)] * len(texts)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64()),
-                 batch.column(0)], ["_lang", "_score", "_row"])
+        for texts in batches:
+            found: list[tuple[str, float]] = []
+            for at in range(0, len(texts), 256):
+                part = [t or "" for t in texts.slice(at, 256).to_pylist()]
+                found += scorer.documents(part) if scorer else [(UNKNOWN, 0.0)] * len(part)
+            yield pa.StructArray.from_arrays(
+                [pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())], ["lang", "score"])
+        pa.default_memory_pool().release_unused()
 
-    kind = kept.schema["_row"].dataType.simpleString()
-    return kept.mapInArrow(run, f"_lang string, _score double, _row {kind}")
+    return label(text)
 
 
 def reject_unknown(docs: DataFrame, text_col: str, model: ByteGru | None) -> DataFrame:
     """The rows of ``docs`` in a known language, with their columns; repeated rows stay or go
     together."""
-    kept = label_rows(docs, text_col, model).filter(
-        (F.col("_lang") != UNKNOWN) & (F.col("_score") >= LEAST_SCORE))
-    return kept.select(*(F.col("_row").getField(c).alias(c) for c in docs.columns))
+    found = free_name(docs, "_language")
+    labelled = docs.withColumn(found, language_of(docs[text_col], model))
+    known = (F.col(found)["lang"] != UNKNOWN) & (F.col(found)["score"] >= LEAST_SCORE)
+    return labelled.filter(known).drop(found)
 
 
 def languages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
@@ -260,7 +261,6 @@ def languages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
     those whose crc32 of the id leaves another rest than 2 by 4.  Repeated rows stay."""
     test = held_out(id_col, 4, 2)
     model = train(docs.filter(~test), text_col, lang_col, id_col, sample)
-    out = label_rows(docs.select(id_col, text_col), text_col, model).select(
-        F.col("_row").getField(id_col).alias(id_col), F.col("_lang").alias("lang_pred"),
-        F.col("_score").alias("score"))
-    return out.select(id_col, test.alias("held_out"), "lang_pred", "score")
+    out = docs.select(docs[id_col].alias(id_col), language_of(docs[text_col], model).alias("found"))
+    return out.select(
+        id_col, held_out(id_col, 4, 2).alias("held_out"), F.col("found.lang").alias("lang_pred"), F.col("found.score").alias("score"))

@@ -17,16 +17,15 @@ from collections.abc import Collection, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from veilframe.llm.common import bounded_sample, held_out, text_batches
+from veilframe.llm.common import bounded_sample, held_out
 
 WORD = re.compile(r"\w+")
 STEMS = range(3, 8)
 SAMPLE = 3000  # labelled rows of each class that training may use
-TERMS = 400
-VOTERS = 60
+TERMS = 400  # voters that the label model and the classifier know
 THRESHOLD = 0.7
 
 
@@ -199,39 +198,39 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, sample
     terms = select_terms([r["text"] for r in rows], toxic, weight)
     model = ToxicityModel(terms, np.zeros(len(terms) + 4))
     x = np.array([model.row(model.features(r["text"])) for r in rows])
-    q = label_model(np.column_stack([x[:, :VOTERS], x[:, -3:] >= 0.5]), toxic, weight)
+    q = label_model(np.column_stack([x[:, : len(terms)], x[:, -3:] >= 0.5]), toxic, weight)
     model.beta = logistic(x, q, weight)
     return model
 
 
-def score_rows(docs: DataFrame, text_col: str, model: ToxicityModel) -> DataFrame:
-    """``_score, _row``: the score of every row's whole text, and the row as a struct."""
-    at = docs.columns.index(text_col)
-    kept = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("_row"))
+def toxicity_score(text: Column, model: ToxicityModel) -> Column:
+    """The score of a whole text.  Only texts go to the Python worker, in slices."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in text_batches(batches, 256):
-            scores = [model.score(t.as_py()) for t in batch.column(0).flatten()[at]]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(scores, pa.float64()), batch.column(0)], ["_score", "_row"])
+    @F.arrow_udf("double")
+    def score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in batches:
+            yield pa.array((model.score(t.as_py()) for t in texts), pa.float64(), size=len(texts))
+        pa.default_memory_pool().release_unused()
 
-    kind = kept.schema["_row"].dataType.simpleString()
-    return kept.mapInArrow(run, f"_score double, _row {kind}")
+    return score(text)
 
 
 def reject_toxic(docs: DataFrame, text_col: str, model: ToxicityModel) -> DataFrame:
     """The rows of ``docs`` below the threshold, with their columns.  A null or empty text has
     the score of a text without any term, and repeated rows stay or go together."""
-    kept = score_rows(docs, text_col, model).filter(F.col("_score") < THRESHOLD)
-    return kept.select(*(F.col("_row").getField(c).alias(c) for c in docs.columns))
+    return docs.filter(toxicity_score(docs[text_col], model) < THRESHOLD)
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id_col, held_out, score, predicted`` of every row; learns from labelled rows not held
-    out, those whose crc32 of the id leaves another rest than 1 by 3."""
+    out, those whose crc32 of the id leaves another rest than 1 by 3.
+
+    Null and empty texts have the score of a text without any term; equal texts score alike, and
+    repeated rows stay as they are.  Of several labels of an id the greatest holds, labels other
+    than 0 and 1 none.  An empty table gives none; without a toxic label every score is 0.
+    """
     model = train(docs, labels, id_col, text_col)
-    scored = score_rows(docs.select(id_col, text_col), text_col, model)
-    out = scored.select(F.col("_row").getField(id_col).alias(id_col), F.col("_score").alias("score"))
+    out = docs.select(docs[id_col].alias(id_col), toxicity_score(docs[text_col], model).alias("score"))
     return out.select(
         id_col, held_out(id_col, 3, 1).alias("held_out"), "score",
         (F.col("score") >= THRESHOLD).cast("int").alias("predicted"),
