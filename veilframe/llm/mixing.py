@@ -1,8 +1,8 @@
 """Mixing sources to target weights by temperature.
 
 Source weights are token shares raised to an exponent and normalised.  The exponent, 1 for
-natural shares and 0 for equal ones, is bisected to reach a target entropy, and again so
-that no source repeats more often than allowed; the larger of the two holds.  The weights
+natural shares, 0 for equal ones and above 1 for sharper ones, is bisected to reach a target
+entropy, as far as no source then repeats more often than allowed.  The weights
 are then realised as blocks: every source is a sequence of passes, each a permutation of all
 its documents, cut off when the source's budget of tokens is spent, and every block takes
 from every source the share of tokens that its weight says.
@@ -22,6 +22,7 @@ ENTROPY = 0.95  # of the entropy of equal shares
 REPEATS = 1.5  # passes over any source
 BLOCK_TOKENS = 1 << 20
 STEPS = 4
+SHARPEST = 64.0  # the greatest exponent
 PARTS = 16
 RUN = 4096  # documents, about, that one task puts in order
 
@@ -32,41 +33,64 @@ def token_count(text_col: str) -> Column:
 
 
 def shares(weighed: DataFrame) -> DataFrame:
-    """``source, docs, tokens, share`` by source."""
+    """``source, docs, tokens, share, top`` by source; ``top`` is the greatest share."""
     totals = weighed.groupBy("source").agg(F.count("*").alias("docs"), F.sum("tokens").alias("tokens"))
-    whole = totals.agg(F.sum("tokens").cast("double").alias("all"))
-    return totals.join(F.broadcast(whole)).withColumn("share", F.col("tokens") / F.col("all")).drop("all")
+    whole = totals.agg(F.sum("tokens").cast("double").alias("all"), F.max("tokens").alias("most"))
+    return totals.join(F.broadcast(whole)).select(
+        "source", "docs", "tokens", (F.col("tokens") / F.col("all")).alias("share"), (F.col("most") / F.col("all")).alias("top"))
+
+
+def powered(exponent: float) -> Column:
+    """The weight of a source before it is normalised; shares over the greatest one keep it from
+    vanishing under large exponents."""
+    return F.pow(F.col("share") / F.col("top"), F.lit(exponent))
 
 
 def exponent(by_source: DataFrame, entropy: float | None, repeats: float | None, budget: float | None) -> float:
     """The exponent by bisection on aggregates over the source table.
 
-    Both the entropy and the number of passes fall steadily as the exponent nears 1.
+    Entropy falls steadily with the exponent.  Natural shares (1) that are not even enough are
+    flattened by an exponent below 1, those that are more even than the target are sharpened by
+    one above.  The number of passes rises with the distance from 1 on either side, so the limit
+    on repeats brings the exponent back towards 1 where it must.  Without an entropy the shares
+    are flattened as far as the limit lets them.  Where no exponent meets the target (equal
+    shares), the shares stay as they are.
+
     ``PARTS`` points of the interval are measured at once, ``STEPS`` times.  ``budget`` is a
     multiple of all tokens, or None for the least budget at which no source is cut short.
     """
     n = by_source.count()
     if n < 2:
         return 1.0
-    low, high = 0.0, 1.0
-    for _ in range(STEPS):
-        points = [low + (high - low) * i / PARTS for i in range(PARTS + 1)]
+    target = None if entropy is None else entropy * math.log(n) - 1e-12
+
+    def measured(points: list[float]) -> list[tuple[float, float]]:
+        """Entropy and passes at each exponent."""
         aggregates = []
         for i, a in enumerate(points):
-            w = F.pow("share", F.lit(a))
-            aggregates += [
-                F.sum(w).alias(f"z{i}"), F.sum(w * F.log("share")).alias(f"l{i}"),
-                F.max(w / F.col("share")).alias(f"m{i}"), F.min(w / F.col("share")).alias(f"s{i}"),
-            ]
+            w, s = powered(a), F.col("share")
+            aggregates += [F.sum(w).alias(f"z{i}"), F.sum(w * F.log(s / F.col("top"))).alias(f"l{i}"),
+                           F.max(w / s).alias(f"m{i}"), F.min(w / s).alias(f"s{i}")]
         row = by_source.agg(*aggregates).first()
-        at = 0  # the last point that is still too flat, or just flat enough
+        out = []
         for i, a in enumerate(points):
-            z, log_mean = row[f"z{i}"], row[f"l{i}"] / row[f"z{i}"]
-            flat = entropy is not None and math.log(z) - a * log_mean >= entropy * math.log(n) - 1e-12
-            passes = row[f"m{i}"] / (row[f"s{i}"] if budget is None else z / budget)
-            if flat or (repeats is not None and passes > repeats + 1e-12):
-                at = i
+            z, m = row[f"z{i}"], row[f"m{i}"]
+            spread = row[f"s{i}"] if budget is None else z / budget
+            out.append((math.log(z) - a * row[f"l{i}"] / z, m / spread if spread else math.inf))
+        return out
+
+    sharpen = target is not None and measured([1.0])[0][0] >= target
+    low, high = (1.0, SHARPEST) if sharpen else (0.0, 1.0)
+    for _ in range(STEPS):
+        points = [low + (high - low) * i / PARTS for i in range(PARTS + 1)]
+        found = [(target is not None and h >= target, repeats is not None and p > repeats + 1e-12) for h, p in measured(points)]
+        if sharpen:  # the last point that is even enough and within the limit
+            at = max(i for i, (flat, often) in enumerate(found) if i == 0 or (flat and not often))
+        else:  # the last point that is still too flat, or just flat enough
+            at = max(i for i, (flat, often) in enumerate(found) if i == 0 or flat or often)
         low, high = points[at], points[min(at + 1, PARTS)]
+    if sharpen:
+        return low if low < SHARPEST else 1.0
     return high if repeats is not None else low
 
 
@@ -103,12 +127,12 @@ def mixture(
     )
     by_source = stage(shares(weighed.select("source", "tokens")), "sources")
     a = exponent(by_source, entropy, repeats, budget)
-    powered = by_source.withColumn("w", F.pow("share", F.lit(a)))
-    z, least, total, count = powered.agg(
+    weights = by_source.withColumn("w", powered(a))
+    z, least, total, count = weights.agg(
         F.sum("w"), F.min(F.col("w") / F.col("share")), F.sum("tokens"), F.sum("docs")
     ).first()
     size = (1.0 / least if budget is None else budget / z) * (total or 0) if count else 0.0
-    plan = powered.select(
+    plan = weights.select(
         F.col("source").alias("s"), F.col("tokens").alias("in_source"),
         F.greatest(F.round(F.col("w") * F.lit(size)).cast("long"), F.lit(1)).alias("quota"),
     )
