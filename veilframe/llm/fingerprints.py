@@ -8,6 +8,8 @@ which counts two bits in the halves of a 64-bit number.
 
 from __future__ import annotations
 
+import json
+import math
 from itertools import combinations
 
 from pyspark.sql import Column, DataFrame
@@ -19,8 +21,7 @@ from veilframe.sources.stage import stage
 BITS = 128
 RADIUS = 6
 BLOCKS = 8
-BUCKET = 2048  # documents, about, that one task puts in order
-MOST_BUCKETS = 1024
+BUCKET = 2048  # documents, about, that one task puts in order, in tables of up to two million
 LANES = (1 << 32) | 1
 
 
@@ -120,6 +121,25 @@ def within_radius(fingerprints: DataFrame, queries: DataFrame, radius: int = RAD
     return met.select("qhi", "qlo", "hi", "lo", distance("", "q").alias("distance"))
 
 
+def ranges(n: int) -> int:
+    """How many ranges ``n`` rows are cut into: ranges of ``BUCKET`` rows, and in large tables as
+    many ranges as a range has rows, so that neither the cuts nor a range outgrow a task."""
+    return max(1, min(-(-n // BUCKET), max(1024, math.isqrt(n))))
+
+
+def number_below(table: Column, size: int, at: str) -> Column:
+    """How many of the ``size`` sorted values of a constant array lie below a column, by halving."""
+
+    def halve(s: Column, _: Column) -> Column:
+        mid = F.shiftright(s["lo"] + s["hi"], 1)
+        done, below = s["lo"] >= s["hi"], F.get(table, mid) < F.col(at)
+        return F.struct(F.when(~done & below, mid + 1).otherwise(s["lo"]).alias("lo"),
+                        F.when(~done & ~below, mid).otherwise(s["hi"]).alias("hi"))
+
+    steps = F.sequence(F.lit(0), F.lit(size.bit_length()))
+    return F.aggregate(steps, F.struct(F.lit(0).alias("lo"), F.lit(size).alias("hi")), halve, lambda s: s["lo"])
+
+
 def with_next(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """``bucket, row, id, text, next_row, next_text``: every row beside the next by descending id.
 
@@ -133,15 +153,14 @@ def with_next(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
         F.coalesce(docs[id_col].cast("long"), F.lit(-(1 << 63))).alias("at"),
         F.coalesce(docs[text_col], F.lit("")).alias("text"))
     n = base.count()
-    buckets = min(MOST_BUCKETS, max(1, -(-n // BUCKET)))
+    buckets = ranges(n)
     marks = [i / buckets for i in range(1, buckets + 1)]
-    cuts = base.agg(F.percentile_approx("at", F.array(*map(F.lit, marks)), F.lit(20 * MOST_BUCKETS)), F.max("at")).first()
+    cuts = base.agg(F.percentile_approx("at", F.array(*map(F.lit, marks)), F.lit(20 * max(1024, buckets))), F.max("at")).first()
     cuts = sorted({*(cuts[0] or []), *([cuts[1]] if cuts[1] is not None else [])})
-    table = F.array(*(F.lit(c).cast("long") for c in cuts)) if cuts else F.array().cast("array<long>")
-    number = F.size(F.filter(table, lambda c: c < F.col("at")))
-    on_cut = F.array_contains(table, F.col("at"))
-    above = F.when(on_cut, F.pmod(number + 1, F.lit(max(1, len(cuts)))))
-    dealt = base.select("*", F.explode(F.filter(F.array(
+    table = F.from_json(F.lit(json.dumps({"v": cuts})), "struct<v:array<bigint>>")["v"]
+    number = F.col("number")
+    above = F.when(F.get(table, number) == F.col("at"), F.pmod(number + 1, F.lit(max(1, len(cuts)))))
+    dealt = base.withColumn("number", number_below(table, len(cuts), "at")).select("*", F.explode(F.filter(F.array(
         F.struct(number.alias("bucket"), F.lit(1).alias("own")),
         F.struct(above.alias("bucket"), F.lit(0).alias("own"))), lambda s: s.bucket.isNotNull())).alias("d")
     ).select("d.bucket", "d.own", "row", "id", "at", "text")

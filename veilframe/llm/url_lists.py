@@ -82,8 +82,11 @@ def evaluate(captures: DataFrame, entries: DataFrame) -> DataFrame:
         asked.period == pieces.period) & (F.col("day") >= F.col("since")) & (
         F.col("until").isNull() | (F.col("day") < F.col("until")))).select(
         "key", "day", F.struct("action", "since", "until").alias("hit"))
-    met = wide.join(active.withColumnRenamed("day", "d").withColumnRenamed("key", "k"),
-                    (F.col("key") == F.col("k")) & (F.col("day") == F.col("d")), "left")
+    found = wide.filter("key IS NOT NULL").join(
+        active.withColumnRenamed("day", "d").withColumnRenamed("key", "k"),
+        (F.col("key") == F.col("k")) & (F.col("day") == F.col("d")), "left")
+    # captures without a host ask for nothing and stay out of the join, where they would meet
+    met = found.unionByName(wide.filter("key IS NULL"), allowMissingColumns=True)
     best = F.max(F.when(F.col("hit").isNotNull(), F.struct(
         "specificity", F.col("key").alias("rule"), "hit.action", "hit.since", "hit.until")))
     return met.groupBy("id", "url", "day", "row").agg(best.alias("best")).select(
