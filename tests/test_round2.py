@@ -64,7 +64,7 @@ def test_every_rule_has_hits(spark):
         assert hits.filter("doc_id % 3 = 0").count() == docs.filter("doc_id % 3 = 0").count(), label
 
 
-FOREIGN = {"[HUSH_EML_1234]": "a@b.io", "[Mail-1]": "m", f"[{'L' * 140}_ab]": "long"}
+FOREIGN = {"[MASK_EML_1234]": "a@b.io", "[Mail-1]": "m", f"[{'L' * 140}_ab]": "long"}
 
 
 def _vault(spark, entries):
@@ -79,8 +79,8 @@ def test_streams_know_any_token_of_the_vault(spark, tmp_path):
 
     longest = max(FOREIGN, key=len)
     streams = {
-        0: ["see [HUSH_EM", "L_1234] and [Mai", "l-1]."], 1: ["see [NOTE", "] [Mail-2]", " [M"],
-        2: [longest[:70], longest[70:141], longest[141:] + "!"], 3: ["a [HUSH_", "x", "EML_1234]"],
+        0: ["see [MASK_EM", "L_1234] and [Mai", "l-1]."], 1: ["see [NOTE", "] [Mail-2]", " [M"],
+        2: [longest[:70], longest[70:141], longest[141:] + "!"], 3: ["a [MASK_", "x", "EML_1234]"],
     }
     rows = [(i, n, c) for i, cs in streams.items() for n, c in enumerate(cs)]
     schema = "stream_id long, seq long, chunk string"
