@@ -115,28 +115,27 @@ def vault_asof(
     Saves are reduced to the last one per token and time.  Saves and lookups are then put in
     one order, by token and time, in which every row has its ordinal, and look back along
     blocks of equal row counts with the ends of blocks carried on.  So neither a hot token nor
-    a single time stamp, nor the one global timeline, ends up in one task.
+    a single time stamp ends up in one task; nor does the one timeline of all saves, whose
+    distinct times look back along slices.
     """
     micros = F.unix_micros("saved_at").alias("_at")
     last = saves.groupBy("token", micros).agg(F.max_by("value", F.struct("request_id", "ord")).alias("value"))
     probe = lookups.withColumn("_id", F.struct(*lookups.columns)).withColumn("_salt", F.monotonically_increasing_id())
 
-    def look_back(df: DataFrame, order: list[str], value: Column, out: str) -> DataFrame:
-        placed = with_positions(df, order)
-        return latest_before(placed, [], "_pos", value, out, width=block, fanout=block).filter("_kind = 1")
-
     timeline = saves.select(micros, F.lit(0).alias("_kind")).distinct().unionByName(
         lookups.select(F.unix_micros(at).alias("_at"), F.lit(1).alias("_kind")).distinct()
     )
-    last_any = look_back(
-        timeline, ["_at", "_kind"], F.when(F.col("_kind") == 0, F.col("_at")), "_any"
-    ).select("_at", "_any")
+    # times are distinct, so a second holds no more than two rows a microsecond
+    last_any = latest_before(
+        timeline, [], "_at", F.when(F.col("_kind") == 0, F.col("_at")), "_any", tie=["_kind"], width=1_000_000
+    ).filter("_kind = 1").select("_at", "_any")
     per_token = last.withColumn("_kind", F.lit(0)).unionByName(
         probe.select("token", F.unix_micros(at).alias("_at"), F.lit(1).alias("_kind"), "_id", "_salt"),
         allowMissingColumns=True,
     )
     save = F.when(F.col("_kind") == 0, F.struct("token", "_at", "value"))
-    own = look_back(per_token, ["token", "_at", "_kind", "_salt"], save, "_own")
+    placed = with_positions(per_token, ["token", "_at", "_kind", "_salt"])
+    own = latest_before(placed, [], "_pos", save, "_own", width=block, fanout=block).filter("_kind = 1")
     live = (F.col("_own.token") == F.col("token")) & (F.col("_any") - F.col("_own._at") <= ttl_seconds * 1_000_000)
     return own.join(last_any, "_at", "left").select(
         "_id.*", F.when(live, F.col("_own.value")).alias("value")
