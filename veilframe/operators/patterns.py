@@ -110,6 +110,12 @@ def asked_pieces(df: DataFrame, keys: list[str], text: Column, filed: DataFrame)
     return rows.mapInArrow(scan, ", ".join([*kinds, "piece long"]))
 
 
+def possible(df: DataFrame, keys: list[str], text: str, filed: DataFrame) -> DataFrame:
+    """``keys, value``: the strings whose piece stands in the text of each row, among them all that
+    stand there themselves.  The texts do not leave their scan."""
+    return asked_pieces(df, keys, F.col(quote(text)), filed).join(filed, "piece").select(*keys, "value")
+
+
 def occurrences(df: DataFrame, keys: list[str], text: str, strings: DataFrame) -> DataFrame:
     """``keys, value``: the strings of ``strings (value)`` that stand in the text of each row.
 
@@ -117,7 +123,6 @@ def occurrences(df: DataFrame, keys: list[str], text: str, strings: DataFrame) -
     apart; texts that share their keys are each asked for what any of them holds.  Null and
     empty texts and strings meet nothing.
     """
-    filed = stage(file_strings(strings), "filed")
-    candidates = asked_pieces(df, keys, F.col(quote(text)), filed).join(filed, "piece").select(*keys, "value")
+    candidates = possible(df, keys, text, stage(file_strings(strings), "filed"))
     return candidates.join(df.select(*keys, F.col(quote(text)).alias("_text")), keys).filter(
         F.contains("_text", F.col("value"))).select(*keys, "value")
