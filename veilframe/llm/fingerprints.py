@@ -101,7 +101,8 @@ def within_radius(fingerprints: DataFrame, queries: DataFrame, radius: int = RAD
     distinct fingerprints within ``radius`` bits (at most 7).
 
     Both frames have ``hi, lo``.  ``radius`` bits touch at most ``radius`` of the eight blocks,
-    so a pair meets in a table; it comes from the first in which it meets.
+    so a pair meets in a table; it comes from the first in which it meets.  The tables are joined
+    by sorting: Spark sizes them as if each fingerprint had one key and would broadcast them.
     """
     groups = list(combinations(range(BLOCKS), BLOCKS - radius))
     base = fingerprints.select("hi", "lo").distinct()
@@ -117,7 +118,7 @@ def within_radius(fingerprints: DataFrame, queries: DataFrame, radius: int = RAD
         need = sum(1 << i for i in groups[t])
         meets = F.xxhash64(F.lit(t), *(block("q", i) for i in groups[t]))
         first = F.when(agreed.bitwiseAND(F.lit(need)) == need, meets).otherwise(first)
-    met = left.join(right, (F.col("slot") == F.col("key")) & (distance("", "q") <= radius) & (F.col("slot") == first))
+    met = left.hint("merge").join(right, (F.col("slot") == F.col("key")) & (distance("", "q") <= radius) & (F.col("slot") == first))
     return met.select("qhi", "qlo", "hi", "lo", distance("", "q").alias("distance"))
 
 
